@@ -7,7 +7,7 @@ many lines as the documents hold sentences.  It is one map over ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lintlake.plans.registry import sql_list
 
@@ -143,7 +143,12 @@ EXTENSIONS = ["py", "ts", "go"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its zone-less timestamps are UTC instants, so the session zone is pinned to UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    naive = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
 def _pick(items: list[str], index: Column) -> Column:
