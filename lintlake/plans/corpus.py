@@ -53,7 +53,7 @@ PY_LINES = [
     'key = os.environ["API_KEY"]',
     "answer = JSONResponse(status_code=200)",
     "# step one\n# step two\n# step three\n# step four",
-    "def heavy_{n}(a):\n" + "".join(f"    if a == {i} and a:\n        print(a)\n" for i in range(6)) + "    return a",
+    "def heavy_{n}(a):\n" + "".join(f"    if a == {i} and a:\n        for b in a:\n            print(b)\n" for i in range(6)) + "    return a",
     "def early_{n}(a):\n    if a: print(a); return 1\n    return 2",
     "async def drop_{n}():\n    await fetch_rows(1)\n    load_{n}(2)",
     "def sync_{n}():\n    load_{n}(3)",
@@ -61,6 +61,9 @@ PY_LINES = [
     "def calculate_{n}(db):\n    return db.total",
     "request.json()",
     "from pydantic import BaseModel",
+    '@router.post("/orders/{n}", response_model=Order)\nasync def post_order_{n}(token):\n    return {"ok": token}',
+    '@router.delete("/orders/{n}", status_code=200)\ndef drop_order_{n}():\n    pass',
+    "class Engine{n}(Base):\n    def start(self):\n        pass",
 ]
 TS_LINES = [
     "const a{n}: any = load();",
@@ -137,7 +140,7 @@ GO_LINES = [
     "x = 2",
     "import fmt",
 ]
-TOP_DIRS = ["api", "services", "repositories", "core", "utils", "tests", "views", "routers", ".codex", "auth"]
+TOP_DIRS = ["api", "services", "repositories", "core", "utils", "tests", "views", "routers", ".codex", "auth/manager"]
 FILE_NAMES = ["views", "user_router", "router", "helper", "test_item", "engine_bridge", "main"]
 EXTENSIONS = ["py", "ts", "go"]
 

@@ -10,7 +10,7 @@ from lintlake.plans.registry import query
 from lintlake.plans.scoring_queries import _pick
 
 CUR_CTE = f"""{FILES_CTE}, cur_files AS (SELECT repo, path, ext, CASE doc_id % 6 WHEN 0 THEN content || chr(10) || content WHEN 1 THEN content || chr(10) || content || chr(10) || content || chr(10) || content
-  WHEN 3 THEN substr(content, 1, CAST(length(content) // 3 AS BIGINT)) WHEN 5 THEN content || chr(10) || '# x' ELSE content END AS content FROM files WHERE doc_id % 6 <> 4 OR repo > 'source_5'),
+  WHEN 3 THEN substr(content, 1, CAST(length(content) // 3 AS BIGINT)) WHEN 5 THEN content || chr(10) || '# x' ELSE content END AS content FROM files WHERE doc_id % 6 NOT IN (2, 3, 4) OR repo > 'src15'),
   base AS (SELECT repo, path, substr(sha256(content), 1, 16) AS content_hash, CAST(len(string_split(content, chr(10))) AS BIGINT) AS line_count FROM files),
   cur AS (SELECT repo, path, substr(sha256(content), 1, 16) AS content_hash, CAST(len(string_split(content, chr(10))) AS BIGINT) AS line_count FROM cur_files)"""
 _GROWTH = """growth AS (SELECT repo, path, b.line_count AS base_lines, c.line_count AS cur_lines, (c.line_count - b.line_count) * 100.0::DOUBLE / b.line_count AS change_pct
@@ -29,7 +29,7 @@ def base_and_cur(spark, sf):
         .when(doc % 6 == 3, F.substring(text, F.lit(1), F.floor(F.length(text) / 3).cast("int")))
         .when(doc % 6 == 5, F.concat(text, F.lit("\n# x"))).otherwise(text)
     )
-    cur = files.filter("doc_id % 6 <> 4 OR repo > 'source_5'").withColumn("content", content)
+    cur = files.filter("doc_id % 6 NOT IN (2, 3, 4) OR repo > 'src15'").withColumn("content", content)
     return files, cur
 
 
@@ -57,17 +57,16 @@ def j2_grown_files(spark, sf):
 
 
 _SUBSYSTEM = r"""subs AS (SELECT repo, path, trim(regexp_extract(h, 'class\s+([^(]+?)\s*\(', 1)) AS class_name FROM (SELECT repo, path,
-  list_filter(string_split(replace(content, 'class Scheduler', 'class Scheduler'), chr(10)), lambda l: regexp_matches(l, '^\s*class [^_(][^(]*\('))[1] AS h FROM subs_files
+  list_filter(string_split(content, chr(10)), lambda l: regexp_matches(l, '^\s*class [^_(][^(]*\('))[1] AS h FROM files
   WHERE regexp_matches(lower(regexp_replace(path, '\.[^./]*$', '')), 'manager|engine|bridge|handler|service|provider|agent')) WHERE h IS NOT NULL)"""
 
 
-@query("j3_subsystem_spikes", f"""WITH {CUR_CTE}, {_GROWTH}, subs_files AS (SELECT repo, path, replace(content, 'class Scheduler', 'class Engine(Base) Scheduler') AS content FROM files), {_SUBSYSTEM}
+@query("j3_subsystem_spikes", f"""WITH {CUR_CTE}, {_GROWTH}, {_SUBSYSTEM}
   SELECT repo, path, base_lines, cur_lines, change_pct, class_name FROM growth JOIN subs USING (repo, path) WHERE abs(change_pct) > 50""")
 def j3_subsystem_spikes(spark, sf):
     files, _ = base_and_cur(spark, sf)
     base, cur = snapshots(spark, sf)
-    marked = files.withColumn("content", F.replace("content", F.lit("class Scheduler"), F.lit("class Engine(Base) Scheduler")))
-    return D.subsystem_spikes(marked, cur, base)
+    return D.subsystem_spikes(files, cur, base)
 
 
 _TOTALS = """b AS (SELECT repo, count(*) AS base_files, CAST(sum(line_count) AS BIGINT) AS base_lines FROM base GROUP BY repo), c AS (SELECT repo, count(*) AS file_count, CAST(sum(line_count) AS BIGINT) AS total_lines FROM cur GROUP BY repo)"""
@@ -94,12 +93,12 @@ def t1_capped_growth_report(spark, sf):
 
 
 @query("a33_drift_score", f"""WITH {CUR_CTE}, {_GROWTH}, k AS (SELECT repo, CASE WHEN change_pct > 100 THEN 20 ELSE 10 END AS cost FROM growth WHERE change_pct > 50
-  UNION ALL SELECT repo, 2 FROM cur c JOIN base b USING (repo, path) WHERE b.content_hash <> c.content_hash AND repo > 'source_3')
+  UNION ALL SELECT repo, 2 FROM cur c JOIN base b USING (repo, path) WHERE b.content_hash <> c.content_hash AND repo > 'src12')
   SELECT repo, CAST(greatest(100 - sum(cost), 0) AS BIGINT) AS score FROM k GROUP BY repo""")
 def a33_drift_score(spark, sf):
     base, cur = snapshots(spark, sf)
     grown = D.growth(cur, base).select("repo", F.concat("level", F.lit("_entropy")).alias("kind"))
-    changed = D.changed_files(cur, base).filter("repo > 'source_3'").select("repo", F.lit("file_content_changed").alias("kind"))
+    changed = D.changed_files(cur, base).filter("repo > 'src12'").select("repo", F.lit("file_content_changed").alias("kind"))
     return D.drift_score(grown.unionByName(changed))
 
 
@@ -204,13 +203,13 @@ def a40_diff_size_gate(spark, sf):
     return D.diff_size_gate(D.read_numstat(numstat_lines(spark, sf)))
 
 
-@query("m9_compared_snapshots", """WITH s AS (SELECT 'r' || l_suppkey AS repo, 'v' || (l_linenumber % 3) AS snapshot_id, CAST(max(CAST(l_quantity AS BIGINT)) AS VARCHAR) AS score,
+@query("m9_compared_snapshots", """WITH s AS (SELECT 'r' || l_partkey AS repo, 'v' || (l_linenumber % 3) AS snapshot_id, CAST(max(CAST(l_quantity AS BIGINT)) AS VARCHAR) AS score,
     CAST(min(l_discount) < 0.01 AS VARCHAR) AS passed, max(l_returnflag) AS description FROM lineitem GROUP BY ALL),
   u AS (SELECT repo, snapshot_id, unnest(['score', 'passed', 'description']) AS field, unnest([score, passed, description]) AS value FROM s)
   SELECT a.repo, a.field, a.value AS from_value, b.value AS to_value FROM u a JOIN u b ON a.repo = b.repo AND a.field = b.field WHERE a.snapshot_id = 'v0' AND b.snapshot_id = 'v1' AND a.value <> b.value""")
 def m9_compared_snapshots(spark, sf):
     snaps = table(spark, sf, "lineitem").groupBy(
-        F.concat(F.lit("r"), F.col("l_suppkey").cast("string")).alias("repo"),
+        F.concat(F.lit("r"), F.col("l_partkey").cast("string")).alias("repo"),
         F.concat(F.lit("v"), (F.col("l_linenumber") % 3).cast("string")).alias("snapshot_id"),
     ).agg(
         F.max(F.col("l_quantity").cast("long")).alias("score"), (F.min("l_discount") < 0.01).alias("passed"),
