@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.functions.scalars import call_confidence
-from lintlake.operators.lines import contains_any
+from lintlake.operators.lines import contains_any, let
 from lintlake.operators.ranking import rank_within
 from lintlake.operators.scans import top_dir
 from lintlake.rules import code_rules, graph_rules as R
@@ -325,25 +325,25 @@ def _tokens_but(line: Column, name: Column) -> Column:
 
 def unused_exports_text(files: DataFrame) -> DataFrame:
     """TypeScript and Go names exported but used on no other code line of the file (a map, no shuffle)."""
-    lines = F.split("content", "\n")
-    code = F.filter(lines, lambda line: ~line.rlike(r"^\s*(//|/\*)"))
-
     def declared(line: Column) -> Column:
         go = F.concat(F.regexp_extract(line, R.GO_EXPORT, 1), F.regexp_extract(line, R.GO_EXPORT, 2))
         return F.when(F.col("ext") == "go", go).otherwise(F.regexp_extract(line, R.TS_EXPORT, 1))
 
-    # commented-out TypeScript exports are exports too, as the pattern reads the whole text
-    source = F.when(F.col("ext") == "go", code).otherwise(lines)
-    names = F.filter(F.transform(source, declared), lambda n: n != "")
-    used = F.flatten(F.transform(code, lambda line: _tokens_but(line, declared(line))))
-    all_names = F.col("_names")
-    once = F.filter(F.col("_free"), lambda n: (F.col("ext") != "go") | (F.size(F.filter(all_names, lambda m: m == n)) == 1))
-    return (
-        files.filter(F.col("ext").isin("ts", "go")).withColumn("_names", names)
-        .filter(F.size("_names") > 0)
-        .withColumn("_free", F.array_except("_names", used))
-        .select("repo", "path", F.explode(once).alias("name"))
-    )
+    def unused(lines: Column) -> Column:
+        code = F.filter(lines, lambda line: ~line.rlike(r"^\s*(//|/\*)"))
+        # commented-out TypeScript exports are exports too, as the pattern reads the whole text
+        source = F.when(F.col("ext") == "go", code).otherwise(lines)
+        names = F.filter(F.transform(source, declared), lambda n: n != "")
+        used = F.flatten(F.transform(code, lambda line: _tokens_but(line, declared(line))))
+
+        def once(all_names: Column) -> Column:
+            free = F.array_except(all_names, used)
+            return F.filter(free, lambda n: (F.col("ext") != "go") | (F.size(F.filter(all_names, lambda m: m == n)) == 1))
+
+        return let(names, lambda all_names: F.when(F.size(all_names) > 0, once(all_names)))
+
+    rows = let(F.split("content", "\n"), unused)
+    return files.filter(F.col("ext").isin("ts", "go")).select("repo", "path", F.explode(rows).alias("name"))
 
 
 def unused_exports_repo(lines: DataFrame) -> DataFrame:

@@ -67,6 +67,14 @@ def contains(text: Column, word: str) -> Column:
     return text.contains(word)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it.
+
+    A column of an earlier select may be inlined at every use; inside a lambda that repeats it per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def frame(lines: Column, line_no: Column, lo: int, hi: int) -> Column:
     """The lines at offsets ``lo..hi`` around ``line_no``, cut at the file's ends."""
     start = F.greatest(line_no + lo, F.lit(1))

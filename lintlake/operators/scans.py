@@ -6,6 +6,8 @@ from the file's own row (``lines.line_hits``); no scan shuffles.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.operators import lines as L
@@ -561,14 +563,12 @@ def async_setter_callers(nodes: DataFrame, edges: DataFrame, setter: str = "setS
 
 def classify_risk(entry: Column) -> Column:
     """Risk of a granted command; the longest dangerous pattern decides."""
-    host = L.contains_any(entry, R.TRUSTED_HOSTS)
+    host = entry.rlike("|".join(re.escape(h) for h in R.TRUSTED_HOSTS))
     risk = None
     for pattern, level in sorted(R.RISK_COMMANDS, key=lambda p: -len(p[0])):
         value = F.when(host, "LOW").otherwise(level) if "curl" in pattern else F.lit(level)
         risk = F.when(entry.contains(pattern), value) if risk is None else risk.when(entry.contains(pattern), value)
-    safe = F.lit(False)
-    for prefix in R.SAFE_PREFIXES:
-        safe = safe | entry.startswith(prefix)
+    safe = entry.rlike("^(?:" + "|".join(re.escape(p) for p in R.SAFE_PREFIXES) + ")")
     return (
         risk.when(safe, "LOW")
         .when(L.contains_any(entry, R.PLAINTEXT_PASSWORD), "CRITICAL")
