@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scan_queries", "telemetry_queries", "scoring_queries", "memory_queries", "drift_queries", "graph_queries", "gate_queries", "rollup_queries"]
+MODULES = [
+    "scan_queries", "telemetry_queries", "scoring_queries", "memory_queries", "drift_queries", "graph_queries", "gate_queries",
+    "rollup_queries", "stream_queries",
+]
 
 
 def catalogue():
