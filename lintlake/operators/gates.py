@@ -116,7 +116,7 @@ def apply_suppressions(findings: DataFrame, files: DataFrame, marker: str, ignor
     Markers are read in the file's row: one row per (file, marked rule) with its line numbers.
     """
     pattern = re.escape(marker) + r"\s*([\w-]+)"
-    marks = line_hits(files.filter(F.col("content").contains(marker)), lambda line: line.rlike(pattern))
+    marks = line_hits(files, lambda line: line.contains(marker) & line.rlike(pattern))
     rules = marks.select("repo", "path", "line_no", F.regexp_extract("line", pattern, 1).alias("rule_id"))
     # a marker covers the lines whose window (5 before .. 4 after, 0-based slice) holds it
     near = rules.select(

@@ -237,19 +237,18 @@ def infer_domain(changes: DataFrame) -> DataFrame:
     ``changes(change_id, pos, path)``.  First seen = lowest (file position, keyword order).
     """
     path = F.lower("path")
-    votes = F.array_compact(F.array(*[
-        F.when(path.contains(word), F.struct(F.lit(i).alias("order"), F.lit(domain).alias("domain")))
-        for i, (word, domain) in enumerate(R.DOMAINS)
-    ]))
+    domains = list(dict.fromkeys(d for _, d in R.DOMAINS))
+    # a vote is the number of its keyword; files that vote for nothing keep one empty row
+    votes = F.array_compact(F.array(*[F.when(path.contains(word), F.lit(i)) for i, (word, _) in enumerate(R.DOMAINS)]))
+    domain_of = F.array(*[F.lit(domains.index(d)) for _, d in R.DOMAINS])
     scored = (
-        changes.select("change_id", "pos", F.inline_outer(votes))
-        .groupBy("change_id", "domain")
-        .agg(F.count("domain").alias("n"), F.min(F.struct("pos", "order")).alias("first"))
-    )
-    best = F.struct(F.col("n"), (-F.col("first.pos")).alias("p"), (-F.col("first.order")).alias("o"))
-    return scored.groupBy("change_id").agg(
-        F.coalesce(F.max_by("domain", F.when(F.col("domain").isNotNull(), best)), F.lit("general")).alias("domain")
+        changes.select("change_id", "pos", F.explode_outer(votes).alias("vote"))
+        .groupBy("change_id", F.coalesce(F.get(domain_of, F.col("vote")), F.lit(-1)).alias("d"))
+        .agg(F.count("vote").alias("n"), F.min(F.col("pos").cast("long") * 100 + F.coalesce("vote", F.lit(99))).alias("first"))
     )
+    best = scored.groupBy("change_id").agg(F.max_by("d", F.struct("n", -F.col("first"))).alias("d"))
+    names = F.array(*[F.lit(d) for d in domains])
+    return best.select("change_id", F.coalesce(F.get(names, F.col("d")), F.lit("general")).alias("domain"))
 
 
 def infer_principles(message: Column, has_python: Column, has_tests: Column) -> Column:

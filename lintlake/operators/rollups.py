@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.operators import lines as L, scans as S
 from lintlake.operators.ranking import rank_within
-from lintlake.rules import gate_rules as G
+from lintlake.rules import code_rules as R, gate_rules as G
 
 FINDING = ["repo", "path", "line_no", "rule_id", "type", "level", "message"]
 
@@ -32,12 +32,30 @@ def union_findings(*parts: DataFrame) -> DataFrame:
 
 
 def quick_findings(files: DataFrame) -> DataFrame:
-    """The quick rules over a corpus."""
+    """The quick rules over a corpus: one pass for all line rules, one for the file rules."""
+    line = F.col("line")
+    found = L.line_hits(
+        files, lambda x: S.secret_line(x) | S.sql_call(x) | S.route_line(x) | S.catch_line(x), {"before": (-5, 0), "after": (1, 10)}
+    )
+
+    def row(cond: Column | None, rule: Column, kind: str, level: Column, message: Column) -> Column:
+        value = F.struct(rule.alias("rule_id"), F.lit(kind).alias("type"), level.alias("level"), message.alias("message"))
+        return F.when(cond, value)
+
+    secret, kind = S.secret_line(line), S.interpolation(F.col("before"))
+    unguarded = S.route_line(line) & ~L.contains_any(F.array_join("after", "\n"), R.AUTH_WORDS)
+    rows = [row(secret & r.isNotNull(), r["rule"], "fail", r["level"], F.lit("")) for r in S.secret_rules(line)]
+    rows += [
+        row(S.sql_call(line) & kind.isNotNull(), F.lit("SQL-001"), "fail", F.lit("CRITICAL"), kind),
+        row(unguarded, F.lit("AUTH-001"), "warn", F.lit("MEDIUM"), S.route_framework(line)),
+    ]
+    rows += [
+        row(S.catch_line(line) & line.rlike(p), F.lit("CATCH-001"), "warn", F.lit("LOW"), F.lit(f"[TS-003] {label}"))
+        for p, label in R.CATCH_DANGER
+    ]
+    in_lines = found.select("repo", "path", F.col("line_no").cast("long").alias("line_no"), F.inline(F.array_compact(F.array(*rows))))
     return union_findings(
-        finding(S.scan_secrets(files), F.col("rule"), "fail", F.col("level")),
-        finding(S.scan_sql_injection(files), "SQL-001", "fail", "CRITICAL", F.col("kind")),
-        finding(S.scan_auth(files), "AUTH-001", "warn", "MEDIUM", F.col("framework")),
-        finding(S.scan_catch(files), "CATCH-001", "warn", "LOW", F.concat(F.lit("[TS-003] "), "label")),
+        in_lines,
         finding(S.scan_yagni(files), "YAGNI-001", "warn", "LOW", F.lit("[YAGNI-001] imports or todos")),
         finding(S.scan_stdlib(files), "STDLIB-001", "info", "INFO", F.concat(F.lit("[STDLIB-001] "), "package")),
     )

@@ -35,22 +35,27 @@ def preview(line: Column) -> Column:
 
 # --- R1-R3: SQL -------------------------------------------------------------------------------
 
+def sql_call(line: Column) -> Column:
+    return line.rlike(L.any_of(R.SQL_EXEC))
+
+
+def interpolation(context: Column) -> Column:
+    """Name of the first interpolation pattern in the lines, else null."""
+    return L.first_label(F.array_join(context, "\n"), R.INTERPOLATION, L.rlike)
+
+
 def scan_sql_injection(files: DataFrame) -> DataFrame:
     """An SQL call with interpolation in it or in the 5 lines before; the first pattern names it."""
-    files = files.filter(F.col("content").rlike(L.any_of(R.SQL_EXEC)))
-    found = L.line_hits(files, lambda line: line.rlike(L.any_of(R.SQL_EXEC)), {"ctx": (-5, 0)})
-    kind = L.first_label(F.array_join("ctx", "\n"), R.INTERPOLATION, L.rlike)
-    return found.select(*LINE_COLS, kind.alias("kind")).filter("kind IS NOT NULL")
+    found = L.line_hits(files, sql_call, {"ctx": (-5, 0)})
+    return found.select(*LINE_COLS, interpolation(F.col("ctx")).alias("kind")).filter("kind IS NOT NULL")
 
 
 def scan_sql_injection_v2(files: DataFrame) -> DataFrame:
     """R2: more SQL calls, any case; comment lines give no context."""
     pattern = "(?i)" + L.any_of(R.SQL_EXEC_WIDE)
-    files = files.filter(F.col("content").rlike(pattern))
     found = L.line_hits(files, lambda line: line.rlike(pattern), {"ctx": (-5, 0)})
     code = F.filter("ctx", lambda line: ~line.rlike(L.CODE_COMMENT))
-    kind = L.first_label(F.array_join(code, "\n"), R.INTERPOLATION, L.rlike)
-    return found.select(*LINE_COLS, kind.alias("kind")).filter("kind IS NOT NULL")
+    return found.select(*LINE_COLS, interpolation(code).alias("kind")).filter("kind IS NOT NULL")
 
 
 def scan_orm(files: DataFrame) -> DataFrame:
@@ -63,21 +68,29 @@ def scan_orm(files: DataFrame) -> DataFrame:
 
 # --- R4-R7: quick rules -----------------------------------------------------------------------
 
+ROUTE_PACKS = [(("py",), R.ROUTES_PY), (("ts", "js", "tsx", "jsx"), R.ROUTES_TS), (("go",), R.ROUTES_GO)]
+
+
+def route_line(line: Column) -> Column:
+    """Whether a line holds a route marker of the file's language, outside test paths."""
+    hit = F.lit(False)
+    for exts, routes in ROUTE_PACKS:
+        hit = hit | (F.col("ext").isin(*exts) & L.contains_any(line, [w for w, _ in routes]))
+    return hit & ~F.lower("path").contains("test")
+
+
+def route_framework(line: Column) -> Column:
+    return F.coalesce(*[
+        F.when(F.col("ext").isin(*exts), L.first_label(line, routes, L.contains)) for exts, routes in ROUTE_PACKS
+    ])
+
+
 def scan_auth(files: DataFrame) -> DataFrame:
     """A route whose next 10 lines hold no authentication word, outside test paths."""
-    files = files.filter(~F.lower("path").contains("test"))
-    packs = [(("py",), R.ROUTES_PY), (("ts", "js", "tsx", "jsx"), R.ROUTES_TS), (("go",), R.ROUTES_GO)]
-    out = None
-    for exts, routes in packs:
-        words = [w for w, _ in routes]
-        found = L.line_hits(only_ext(files, *exts), lambda line: L.contains_any(line, words), {"ctx": (1, 10)})
-        part = found.select(
-            *LINE_COLS,
-            L.first_label(F.col("line"), routes, L.contains).alias("framework"),
-            F.array_join("ctx", "\n").alias("ctx"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out.filter(~L.contains_any(F.col("ctx"), R.AUTH_WORDS)).drop("ctx")
+    found = L.line_hits(files, route_line, {"ctx": (1, 10)})
+    return found.filter(~L.contains_any(F.array_join("ctx", "\n"), R.AUTH_WORDS)).select(
+        *LINE_COLS, route_framework(F.col("line")).alias("framework")
+    )
 
 
 def scan_view_orm(files: DataFrame) -> DataFrame:
@@ -124,27 +137,50 @@ def scan_async_no_try(files: DataFrame) -> DataFrame:
 
 # --- R8-R11: leaks ----------------------------------------------------------------------------
 
+def secret_line(line: Column) -> Column:
+    """Cheap word test first, patterns only where it holds."""
+    return (
+        L.contains_any(F.lower(line), R.SECRET_HINTS)
+        & line.rlike(L.any_of(p for _, p, _ in R.SECRETS)) & ~line.rlike(L.COMMENT) & ~line.rlike(R.PLACEHOLDER)
+    )
+
+
+def secret_rules(line: Column) -> list[Column]:
+    return [
+        F.when(line.rlike(p), F.struct(F.lit(name).alias("rule"), F.lit(level).alias("level"))) for name, p, level in R.SECRETS
+    ]
+
+
 def scan_secrets(files: DataFrame) -> DataFrame:
     """Hard-coded secrets; comments, placeholders and environment reads are no secrets."""
-    pattern = L.any_of(p for _, p, _ in R.SECRETS)
-    files = files.filter(F.col("content").rlike(pattern))
-    found = L.line_hits(
-        files, lambda line: line.rlike(pattern) & ~line.rlike(L.COMMENT) & ~line.rlike(R.PLACEHOLDER)
-    )
-    rules = F.array_compact(
-        F.array(*[
-            F.when(F.col("line").rlike(p), F.struct(F.lit(name).alias("rule"), F.lit(level).alias("level")))
-            for name, p, level in R.SECRETS
-        ])
-    )
-    return found.select(*LINE_COLS, F.inline(rules))
+    found = L.line_hits(files, secret_line)
+    return found.select(*LINE_COLS, F.inline(F.array_compact(F.array(*secret_rules(F.col("line"))))))
+
+
+def contact_line(line: Column) -> Column:
+    return line.contains("@") & line.rlike(R.EMAIL) | line.rlike(R.LICENSE_LINE)
+
+
+def contact_rules(line: Column) -> list[Column]:
+    return [
+        F.when(line.contains("@") & line.rlike(R.EMAIL), F.struct(F.lit("email").alias("rule"), F.lit("MEDIUM").alias("level"))),
+        F.when(line.rlike(R.LICENSE_LINE), F.struct(F.lit("license").alias("rule"), F.lit("INFO").alias("level"))),
+    ]
 
 
 def scan_contacts(files: DataFrame) -> DataFrame:
     """Pattern pack for e-mail addresses and licence lines, one row per (line, rule)."""
-    pack = [(R.EMAIL, "email"), (R.LICENSE_LINE, "license")]
-    found = L.line_hits(files, lambda line: line.rlike(L.any_of(p for p, _ in pack)))
-    return L.labelled_hits(found, pack, F.col("line"), "rule").select(*LINE_COLS, "rule")
+    found = L.line_hits(files, contact_line)
+    return found.select(*LINE_COLS, F.inline(F.array_compact(F.array(*contact_rules(F.col("line")))))).drop("level")
+
+
+def scan_secrets_and_contacts(files: DataFrame) -> DataFrame:
+    """R8 and the contact pack in one pass over the files."""
+    found = L.line_hits(files, lambda line: secret_line(line) | contact_line(line))
+    line = F.col("line")
+    secret = secret_line(line)
+    rules = [F.when(secret, rule) for rule in secret_rules(line)] + contact_rules(line)
+    return found.select(*LINE_COLS, F.inline(F.array_compact(F.array(*rules))))
 
 
 def scan_api_key(files: DataFrame) -> DataFrame:
@@ -157,10 +193,7 @@ def scan_api_key(files: DataFrame) -> DataFrame:
 def scan_paths(files: DataFrame) -> DataFrame:
     """Hard-coded sensitive paths, first pattern per line."""
     pattern = L.any_of(R.SENSITIVE_PATHS)
-    found = L.line_hits(
-        files.filter(F.col("content").rlike(pattern)),
-        lambda line: line.rlike(pattern) & ~line.rlike(L.CODE_COMMENT),
-    )
+    found = L.line_hits(files, lambda line: line.rlike(pattern) & ~line.rlike(L.CODE_COMMENT))
     hit = F.coalesce(*[F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for p in R.SENSITIVE_PATHS])
     return found.select(*LINE_COLS, hit.alias("hit"), preview(F.col("line")).alias("preview"))
 
@@ -205,11 +238,13 @@ def scan_non_null(files: DataFrame) -> DataFrame:
     ).select(*LINE_COLS, preview(F.col("line")).alias("preview"))
 
 
+def catch_line(line: Column) -> Column:
+    return (F.col("ext") == "ts") & line.rlike(L.any_of(p for p, _ in R.CATCH_DANGER)) & ~line.rlike(L.SLASH_COMMENT)
+
+
 def scan_catch(files: DataFrame) -> DataFrame:
     """R14."""
-    pattern = L.any_of(p for p, _ in R.CATCH_DANGER)
-    found = L.line_hits(only_ext(files, "ts"), lambda line: line.rlike(pattern) & ~line.rlike(L.SLASH_COMMENT))
-    return L.labelled_hits(found, R.CATCH_DANGER, F.col("line")).select(*LINE_COLS, "label")
+    return L.labelled_hits(L.line_hits(files, catch_line), R.CATCH_DANGER, F.col("line")).select(*LINE_COLS, "label")
 
 
 def scan_dedup_doc(files: DataFrame) -> DataFrame:
@@ -432,7 +467,7 @@ def scan_manual_json(files: DataFrame, repo_frameworks: DataFrame) -> DataFrame:
     """JSON parsed by hand in repos that use FastAPI; ``repo_frameworks(repo, framework)``."""
     fastapi = repo_frameworks.filter("framework = 'fastapi'").select("repo").distinct()
     found = L.line_hits(
-        files.filter(F.col("content").rlike(r"json\.loads|request\.json\(\)")),
+        files,
         lambda line: (line.contains("json.loads") | line.contains("request.json()"))
         & ~line.rlike(r"^\s*(import |from |#)"),
     )

@@ -154,6 +154,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan that has fewer splits than the cluster has cores (a small or single-row-group file).
+
+    Scans of large tables have many splits and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+
+
 def _pick(items: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(i) for i in items]), (index + 1).cast("int"))
 
@@ -180,14 +193,14 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(FILE_NAMES, doc % 7), F.lit("."), ext,
     )
     content = F.when(doc % 3 == 0, body(PY_LINES)).when(doc % 3 == 1, body(TS_LINES)).otherwise(body(GO_LINES))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.col("source").alias("repo"), path.alias("path"), ext.alias("ext"), content.alias("content")
     )
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(repo, path, ext, content) holding the documents as they are."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("source").alias("repo"),
         F.concat_ws("", "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("path"),
         F.col("lang").alias("ext"),

@@ -24,11 +24,8 @@ _MATRIX = "count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE level = {sq
 
 @query("flagship_document_matrix", over_lines(f"SELECT repo, {_MATRIX} FROM f GROUP BY repo", docs=True, ctes=f"{SQ._SECRET_LINES}, {_DOC_FINDINGS}"))
 def flagship_document_matrix(spark, sf):
-    docs = doc_files(spark, sf)
-    secrets = R.finding(S.scan_secrets(docs), F.col("rule"), "fail", F.col("level"))
-    level = F.when(F.col("rule") == "email", "MEDIUM").otherwise("INFO")
-    contacts = R.finding(S.scan_contacts(docs), F.col("rule"), "warn", level)
-    return R.file_level_matrix(R.union_findings(secrets, contacts), "repo")
+    found = S.scan_secrets_and_contacts(doc_files(spark, sf))
+    return R.file_level_matrix(found, "repo")
 
 
 # --- findings of the derived corpus -------------------------------------------------------------

@@ -62,6 +62,8 @@ PLACEHOLDER = (
     r"(?i)(your|my|example|test|demo|sample)[-_](api|secret|password|token|key)"
     r"|changeme|x{4,}|os\.getenv|os\.environ|process\.env"
 )
+# every secret pattern needs one of these (lower case) in its line
+SECRET_HINTS = ["akia", "ghp_", "gho_", "aiza", "xox", "password", "secret", "private key", "eyj", "api", "token"]
 API_KEY = r"[Ss][Kk]-[a-zA-Z0-9]{20,}"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+\.[A-Za-z]{2,}"
 LICENSE_LINE = r"(?i)license|copyright"
