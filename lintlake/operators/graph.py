@@ -109,7 +109,7 @@ def cycles(edges: DataFrame, max_len: int = 6, trims: int = 2) -> DataFrame:
     the modules that are on no cycle.  Lineage is cut with tables in the shared folder, so a lost executor
     never replays the earlier steps.
     """
-    e = edges.select("repo", "src", "dst").distinct()
+    e = materialise(edges.select("repo", "src", "dst").distinct(), "edges")
     for _ in range(trims):
         e = _trim(e)
     e = materialise(e, "edges")

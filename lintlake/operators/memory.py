@@ -61,8 +61,10 @@ def new_since(bugs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
 
 def quality_score(bug_row: DataFrame, insight_row: DataFrame) -> DataFrame:
     """A10: 50 + 20·apply rate and fixed steps, over the one-row results of A5 and A6."""
-    b = bug_row.select("avg_pain", "total_occurrences", "unique_errors", F.lit(1).alias("_one"))
-    i = insight_row.select("applied", F.col("total").alias("insights"), F.lit(1).alias("_one"))
+    b = bug_row.select("avg_pain", "total_occurrences", "unique_errors")
+    i = insight_row.select("applied", F.col("total").alias("insights"))
+    stacked = b.unionByName(i, allowMissingColumns=True)
+    both = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])  # one row each, side by side
     score = (
         F.lit(50.0)
         + F.when(F.col("applied") > 0, F.col("applied") * 20.0 / F.greatest("insights", F.lit(1))).otherwise(0.0)
@@ -73,7 +75,7 @@ def quality_score(bug_row: DataFrame, insight_row: DataFrame) -> DataFrame:
     clamped = F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0))
     s = F.col("score")
     level = F.when(s >= 80, "excellent").when(s >= 60, "good").when(s >= 40, "fair").otherwise("poor")
-    return b.join(i, "_one").select(clamped.alias("score")).withColumn("level", level)
+    return both.select(clamped.alias("score")).withColumn("level", level)
 
 
 def store_counts(tables: dict[str, DataFrame]) -> DataFrame:

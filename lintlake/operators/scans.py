@@ -157,14 +157,18 @@ def scan_secrets(files: DataFrame) -> DataFrame:
     return found.select(*LINE_COLS, F.inline(F.array_compact(F.array(*secret_rules(F.col("line"))))))
 
 
+def license_line(line: Column) -> Column:
+    return L.contains_any(F.lower(line), R.LICENSE_WORDS)
+
+
 def contact_line(line: Column) -> Column:
-    return line.contains("@") & line.rlike(R.EMAIL) | line.rlike(R.LICENSE_LINE)
+    return line.contains("@") & line.rlike(R.EMAIL) | license_line(line)
 
 
 def contact_rules(line: Column) -> list[Column]:
     return [
         F.when(line.contains("@") & line.rlike(R.EMAIL), F.struct(F.lit("email").alias("rule"), F.lit("MEDIUM").alias("level"))),
-        F.when(line.rlike(R.LICENSE_LINE), F.struct(F.lit("license").alias("rule"), F.lit("INFO").alias("level"))),
+        F.when(license_line(line), F.struct(F.lit("license").alias("rule"), F.lit("INFO").alias("level"))),
     ]
 
 

@@ -65,18 +65,15 @@ def component_detail(events: DataFrame) -> DataFrame:
 def overview(events: DataFrame, own_prefix: str, now: Column) -> DataFrame:
     """Own components by latest status, foreign ones, and PANICs of the last hour."""
     own = F.col("component_id").startswith(own_prefix)
-    latest = latest_status(events).agg(
-        F.count_if(own).alias("own_components"),
-        F.count_if(own & (F.col("status") == "OK")).alias("healthy"),
-        F.count_if(own & (F.col("status") == "DEGRADED")).alias("degraded"),
-        F.count_if(own & (F.col("status") == "PANIC")).alias("panic"),
-        F.count_if(~own).alias("other_components"),
-    )
+    counts = {
+        "own_components": own, "healthy": own & (F.col("status") == "OK"), "degraded": own & (F.col("status") == "DEGRADED"),
+        "panic": own & (F.col("status") == "PANIC"), "other_components": ~own,
+    }
+    latest = latest_status(events).agg(*[F.count_if(cond).alias(name) for name, cond in counts.items()])
     last_hour = events.filter((F.col("ts") > now - F.expr("INTERVAL 1 HOUR")) & (F.col("status") == "PANIC"))
-    # two one-row aggregates side by side
-    return latest.withColumn("_one", F.lit(1)).join(
-        last_hour.agg(F.count("*").alias("panics_last_hour")).withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    # two one-row aggregates side by side: stacked and summed
+    both = latest.unionByName(last_hour.agg(F.count("*").alias("panics_last_hour")), allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 def reportable(events: DataFrame, ok_threshold: float = OK_REPORT_MS) -> DataFrame:

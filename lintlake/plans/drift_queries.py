@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.operators import contracts as C, drift as D
-from lintlake.plans.corpus import FILES_CTE, code_files, table
+from lintlake.plans.corpus import FILES_CTE, code_files, spread, table
 from lintlake.plans.registry import query
 from lintlake.plans.scoring_queries import _pick
 
@@ -114,7 +114,7 @@ def symbol_tables(spark, sf):
     def s(c):
         return F.col(c).cast("string")
 
-    rows = table(spark, sf, "lineitem").select(
+    rows = spread(table(spark, sf, "lineitem"), "l_orderkey").select(
         F.concat(F.lit("r"), (F.col("l_suppkey") % 5).cast("string")).alias("repo"),
         F.concat(F.lit("m"), s("l_suppkey"), F.lit(".py")).alias("path"),
         F.concat(F.lit("f"), (F.col("l_partkey") % 400).cast("string")).alias("name"),
@@ -230,7 +230,7 @@ def field_tables(spark, sf):
     def s(c):
         return c.cast("string")
 
-    raw = table(spark, sf, "lineitem").select(
+    raw = spread(table(spark, sf, "lineitem"), "l_orderkey").select(
         F.concat(F.lit("s"), s(F.col("l_suppkey") % 20)).alias("service"), _pick(["GET", "POST", "PUT"], F.col("l_partkey") % 3).alias("method"),
         F.concat(F.lit("/p"), s(F.col("l_partkey") % 60)).alias("endpoint"),
         F.when(F.col("l_linenumber") % 2 == 0, "request").otherwise("response").alias("side"),

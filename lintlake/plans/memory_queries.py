@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.operators import memory as M
-from lintlake.plans.corpus import table
+from lintlake.plans.corpus import spread, table
 from lintlake.plans.model import ERRORS_CTE, errors, latest_ts
 from lintlake.plans.registry import query, sq, sql_list, sql_values
 from lintlake.plans.scan_queries import has_any
@@ -281,7 +281,7 @@ CHANGES_CTE = f"changes AS (SELECT l_orderkey AS change_id, l_linenumber AS pos,
 
 
 def changes(spark, sf):
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem"), "l_partkey").select(
         F.col("l_orderkey").alias("change_id"), F.col("l_linenumber").alias("pos"), _pick(CHANGE_PATHS, F.col("l_partkey") % 10).alias("path")
     )
 

@@ -18,7 +18,7 @@ LEVELS = R.LEVELS
 # --- flagship: secrets and contacts of the documents, level by source ---------------------------
 
 _DOC_FINDINGS = f"""f AS (SELECT repo, path, line_no, rule, level FROM ({SQ._SECRET_ROWS}) UNION ALL SELECT repo, path, line_no, rule, CASE rule WHEN 'email' THEN 'MEDIUM' ELSE 'INFO' END
-  FROM ({SQ.label_rows('lines', [(code_rules.EMAIL, 'email'), (code_rules.LICENSE_LINE, 'license')], 'rule')}))"""
+  FROM ({SQ.label_rows('lines', [(code_rules.EMAIL, 'email'), ('(?i)' + '|'.join(code_rules.LICENSE_WORDS), 'license')], 'rule')}))"""
 _MATRIX = "count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE level = {sq(v)}) AS {v.lower()}" for v in LEVELS)
 
 

@@ -176,7 +176,7 @@ def r8_secrets_in_documents(spark, sf):
 
 
 @query("r8_contacts_in_documents", over_lines(
-    label_rows("lines", [(R.EMAIL, "email"), (R.LICENSE_LINE, "license")], "rule"), docs=True))
+    label_rows("lines", [(R.EMAIL, "email"), ('(?i)' + '|'.join(R.LICENSE_WORDS), "license")], "rule"), docs=True))
 def r8_contacts_in_documents(spark, sf):
     return S.scan_contacts(doc_files(spark, sf))
 

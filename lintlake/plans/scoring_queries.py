@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import scalars as fn
 from lintlake.operators import scoring as S
-from lintlake.plans.corpus import code_files, over_files, table
+from lintlake.plans.corpus import code_files, over_files, spread, table
 from lintlake.plans.model import latest_ts
 from lintlake.plans.registry import query, sq, sql_list, sql_values
 from lintlake.plans.scan_queries import has_any
@@ -34,7 +34,7 @@ def _pick(items, index):
 
 def error_reports(spark, sf):
     event = F.col("event_id")
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events"), "event_id").select(
         event.alias("id"), _pick(TYPES, event % 11).alias("error_type"), _pick(PATHS, F.col("user_id") % 7).alias("file_path"),
         F.concat(_pick(MESSAGES, F.floor(event / 11) % 9), F.lit(" "), "props").alias("message"), "ts", "user_id",
     )

@@ -66,7 +66,7 @@ PLACEHOLDER = (
 SECRET_HINTS = ["akia", "ghp_", "gho_", "aiza", "xox", "password", "secret", "private key", "eyj", "api", "token"]
 API_KEY = r"[Ss][Kk]-[a-zA-Z0-9]{20,}"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+\.[A-Za-z]{2,}"
-LICENSE_LINE = r"(?i)license|copyright"
+LICENSE_WORDS = ["license", "copyright"]
 
 SENSITIVE_PATHS = [
     r"""['"]/home/dev/(\.\w+)/?['"]""",
