@@ -92,7 +92,10 @@ def contract_breaks(old: DataFrame, new: DataFrame) -> DataFrame:
     def side(df: DataFrame, p: str) -> DataFrame:
         return df.select(*key, F.lit(True).alias(f"{p}_here"), *[F.col(c).alias(f"{p}_{c}") for c in ("type", "format", "required")])
 
-    kept = old.select(*ENDPOINT).distinct().join(new.select(*ENDPOINT).distinct(), ENDPOINT, "left_semi")
+    def status(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*ENDPOINT).agg(F.max("status_code").alias(name))
+
+    kept = status(old, "_os").join(status(new, "_ns"), ENDPOINT)
     # only old fields can break; a field new on the other side never does
     both = side(old, "o").join(side(new, "n"), key, "left").join(kept, ENDPOINT, "left_semi")
     request, lost = F.col("side") == "request", F.col("n_here").isNull()
@@ -108,12 +111,7 @@ def contract_breaks(old: DataFrame, new: DataFrame) -> DataFrame:
     ))
     fields = both.select(*ENDPOINT, "field", F.explode(reasons).alias("reason"))
 
-    def status(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*ENDPOINT).agg(F.max("status_code").alias(name))
-
-    moved = status(old, "_os").join(status(new, "_ns"), ENDPOINT).filter("_os <> _ns").select(
-        *ENDPOINT, F.lit("").alias("field"), F.lit("status_changed").alias("reason")
-    )
+    moved = kept.filter("_os <> _ns").select(*ENDPOINT, F.lit("").alias("field"), F.lit("status_changed").alias("reason"))
     return fields.unionByName(moved)
 
 
