@@ -137,7 +137,7 @@ def f5_adaptive_pain_score(spark, sf):
 
 @query("a24_total_pain", f"""WITH {REPORTS_CTE}, {_SCORED} SELECT count(*) AS error_count, sum(pain_score) / count(*) AS mean_score,
   CASE WHEN bool_or(pain_level = 'CRITICAL') THEN 'CRITICAL' WHEN bool_or(pain_level = 'HIGH') THEN 'HIGH' WHEN bool_or(pain_level = 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END AS overall_level,
-  CASE WHEN bool_or(pain_level = 'CRITICAL') THEN 'fix now' ELSE 'other' END AS action FROM scored""")
+  CASE WHEN bool_or(pain_level = 'CRITICAL') THEN 'fix now' WHEN bool_or(pain_level = 'HIGH') THEN 'fix in this work cycle' WHEN bool_or(pain_level = 'MEDIUM') THEN 'plan for the next iteration' ELSE 'optional' END AS action FROM scored""")
 def a24_total_pain(spark, sf):
     return S.total_pain(S.pain_score(error_reports(spark, sf)))
 
