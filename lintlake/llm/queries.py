@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.llm import cover_dedup, line_quality, line_runs, quality_trees, simhash
+from lintlake.llm import cover_dedup, line_quality, line_runs, quality_trees, simhash, toxicity
 from lintlake.plans.registry import QueryFn
 
 QUERIES: dict[str, QueryFn] = {}
@@ -66,6 +66,11 @@ def op6_quality_trees(spark, sf):
     return quality_trees.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op7_toxic_neighbours(spark, sf):
+    return toxicity.flagged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query(rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, p, line, {_KEY} AS k FROM (SELECT r, unnest(range(1, len(ls) + 1)) AS p, unnest(ls) AS line FROM d)),
