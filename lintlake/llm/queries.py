@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.llm import cover_dedup, line_quality, line_runs, quality_trees, simhash, toxicity
+from lintlake.llm import cover_dedup, line_quality, line_runs, packing, quality_trees, simhash, spotsigs, toxicity
 from lintlake.plans.registry import QueryFn
 
 QUERIES: dict[str, QueryFn] = {}
@@ -35,6 +35,11 @@ def op1_simhash_near_dedup(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query()
+def op2_retrieval_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query(rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 g AS (SELECT r, unnest(range(1, len(w) - 6)) AS p, w FROM d),
@@ -84,6 +89,11 @@ def op8_line_runs(spark, sf):
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query()
+def op9_spotsigs(spark, sf):
+    return spotsigs.edited_and_next(table(spark, sf, "documents"))
+
+
 @query(rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS i, {_WORDS} AS w FROM documents),
 g AS (SELECT r, i, p, array_to_string(w[p:p + 12], ' ') AS k FROM (SELECT r, i, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
