@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.llm import cover_dedup, line_quality, line_runs, packing, quality_trees, simhash, spotsigs, toxicity
+from lintlake.llm import cover_dedup, line_quality, line_runs, mixing, packing, quality_trees, simhash, site_style, spotsigs, toxicity
 from lintlake.plans.registry import QueryFn
 
 QUERIES: dict[str, QueryFn] = {}
@@ -40,6 +40,16 @@ def op2_retrieval_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
 
 
+@query()
+def op3_site_style(spark, sf):
+    return site_style.main_texts(table(spark, sf, "pages"))
+
+
+@query()
+def op4_block_mixing(spark, sf):
+    return mixing.mix_report(table(spark, sf, "documents"))
+
+
 @query(rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 g AS (SELECT r, unnest(range(1, len(w) - 6)) AS p, w FROM d),
