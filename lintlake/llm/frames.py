@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lintlake.session import materialise
 
@@ -10,14 +12,24 @@ from lintlake.session import materialise
 NO_ID = (1 << 63) - 1
 
 
-def rows_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, with ``_row``: a key of the row's id and text. Repeated rows share it and so share their results."""
-    return docs.select(*columns, row_key().alias("_row"))
-
-
 def row_key() -> Column:
     """Equal for rows with the same doc_id and text only, up to collisions of 64-bit hashes within one doc_id."""
     return F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), "text")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 stash = materialise
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM notice that finished steps are unreachable, so that Spark's cleaner deletes their shuffle files now and not
+    whenever the driver next runs short of memory. Only a hint; results do not depend on it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

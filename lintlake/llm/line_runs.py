@@ -5,7 +5,8 @@ at level 0; once a level has ``FANOUT`` runs they are merged into one run of the
 batches came. A batch can be checked against the runs at any time: lines whose key reaches the limit are removed by an anti-join.
 
 A null or empty text is one empty line; empty keys never count; a key repeated in one document counts once; repeated rows are
-separate documents; null doc_ids are documents like others; extra columns are kept by ``drop_lines``; an empty table gives no rows.
+separate documents; null doc_ids are documents like others; extra columns are kept by ``drop_lines``
+(one called n_lines or n_dropped is replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lintlake.llm.frames import row_key, stash
+from lintlake.llm.frames import fresh, row_key, stash
 
 MIN_DOCUMENTS, FANOUT, BATCHES = 10, 2, 3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -63,10 +64,11 @@ class LineRuns:
 
     def drop(self, docs: DataFrame, min_docs: int = MIN_DOCUMENTS) -> DataFrame:
         """``docs`` with the common lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``."""
-        lines = docs.select(row_key().alias("_row"), F.posexplode(_lines(docs)).alias("place", "k")).filter("k is not null")
-        found = lines.select("_row", "place", "k.h1", "k.h2").join(self.common(min_docs), ["h1", "h2"], "left_semi")
-        places = found.groupBy("_row").agg(F.collect_set("place").alias("_places"))
-        return _without(docs.withColumn("_row", row_key()).join(places, "_row", "left").drop("_row"), docs)
+        row, gone = fresh(docs, "_row"), fresh(docs, "_gone")
+        lines = docs.select(row_key().alias(row), F.posexplode(_lines(docs)).alias("place", "k")).filter("k is not null")
+        found = lines.select(row, "place", "k.h1", "k.h2").join(self.common(min_docs), ["h1", "h2"], "left_semi")
+        places = found.groupBy(row).agg(F.collect_set("place").alias(gone))
+        return _without(docs.withColumn(row, row_key()).join(places, row, "left").drop(row), docs, gone)
 
 
 def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -76,13 +78,13 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
     return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def _without(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+def _without(keyed: DataFrame, docs: DataFrame, gone_name: str) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
 
     def run(batches):
         for batch in batches:
             texts, counts, dropped = [], [], []
-            for text, places in zip(batch.column("text"), batch.column("_places"), strict=True):
+            for text, places in zip(batch.column("text"), batch.column(gone_name), strict=True):
                 lines, gone = (text.as_py() or "").split("\n"), set(places.as_py() or ())
                 counts.append(len(lines))
                 dropped.append(len(gone))
@@ -94,7 +96,7 @@ def _without(keyed: DataFrame, docs: DataFrame) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return keyed.select(*names, "_places").mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    return keyed.select(*names, gone_name).mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lintlake.llm import text as T
-from lintlake.llm.frames import row_key, stash
+from lintlake.llm.frames import fresh, row_key, stash
 
 WEIGHTS, MOST, BLOCK_WORDS, LEAST_BLOCKS = (1, 2, 3), 3, 256, 128
 SHARD_SLOTS, BUCKETS, SEED = 16384, 1024, 42
@@ -151,11 +151,11 @@ def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def _cut_rows(names: list[str]):
+def _cut_rows(names: list[str], plan_name: str):
     def run(batches):
         for batch in batches:
             out: list[list] = []
-            for k, (text, plan) in enumerate(zip(batch.column("text").to_pylist(), batch.column("plan").to_pylist(), strict=True)):
+            for k, (text, plan) in enumerate(zip(batch.column("text").to_pylist(), batch.column(plan_name).to_pylist(), strict=True)):
                 data, off = T.flat(pa.array([text], pa.large_string()))
                 words = T.Words(data, off)
                 for first, end in _stretches(plan):
@@ -187,8 +187,9 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     (a whole text where all of it is taken)."""
     mix = Mix(docs, seed)
     piece = F.struct("begin", "turn", "first", "end")
-    plan = mix.pieces().join(mix.slots(), ["sid", "block"]).groupBy("_row").agg(F.collect_list(piece).alias("plan"))
+    row, plan = fresh(docs, "_row"), fresh(docs, "_plan")
+    taken = mix.pieces().join(mix.slots(), ["sid", "block"]).groupBy(F.col("_row").alias(row)).agg(F.collect_list(piece).alias(plan))
     names = docs.columns
-    keyed = docs.withColumn("_row", row_key()).dropDuplicates(["_row"]).join(plan, "_row").select(*names, "plan")
+    keyed = docs.withColumn(row, row_key()).dropDuplicates([row]).join(taken, row).select(*names, plan)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed.mapInArrow(_cut_rows(names), schema)
+    return keyed.mapInArrow(_cut_rows(names, plan), schema)

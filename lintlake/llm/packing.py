@@ -123,7 +123,7 @@ class Shard:
 
     def __init__(self, terms: list[np.ndarray]):
         n = len(terms)
-        size = np.array([len(t) for t in terms])
+        size = np.array([len(t) for t in terms], np.int64)
         flat = np.concatenate(terms) if n else np.zeros(0, np.int64)
         _, flat = np.unique(flat, return_inverse=True)
         doc = np.repeat(np.arange(n), size)

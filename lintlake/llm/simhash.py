@@ -8,7 +8,7 @@ not compared in its task but split again the same way: its other half is cut int
 differs by at most one bit; after the second split a bucket holds at most 2^11 fingerprints, so every task is bounded.
 
 Null or wordless texts have fingerprint zero and link like any other; null doc_ids count as larger than every id (a component of
-null ids alone has a null id); repeated rows share a fingerprint and so a component; extra columns are ignored; an empty table
+null ids alone has a null id; null ids with different fingerprints are different documents); repeated rows share a fingerprint and so a component; extra columns are ignored; an empty table
 gives no rows.
 """
 
@@ -22,9 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lintlake.llm import text as T
-from lintlake.llm.frames import NO_ID, stash
+from lintlake.llm.frames import NO_ID, fresh, row_key, stash
 
 SHINGLE, DISTANCE, MAX_BUCKET = 3, 3, 16384
+#: Node numbers kept free above all doc_ids.
+NAMELESS = 1 << 40
 #: The parts of a fingerprint (lowest bit, width) that each level cuts into variants, by the half that the first level matched.
 _LEVELS = {0: ((0, 32), (32, 32)), 1: ((0, 16), (16, 16)), 2: ((0, 8), (8, 8))}
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -61,7 +63,7 @@ def _fingerprint_rows(batches):
         data, off = T.flat(batch.column("text"))
         fps = [fingerprints_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in T.slices(off)]
         fp = np.concatenate(fps) if fps else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(fp.view(np.int64))], ["doc_id", "row_key", "fp"])
 
 
 def _variant_rows(level: int):
@@ -215,13 +217,25 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable through links) per row of ``docs``."""
-    rows = stash(docs.select("doc_id", "text").mapInArrow(_fingerprint_rows, "doc_id long, fp long"), "fingerprints")
-    nodes = stash(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node")), "nodes")
-    # repeated doc_ids may stand for several fingerprints, which then are one document
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable through links), row_key, component (never null) per
+    row of ``docs``."""
+    keyed = docs.select("doc_id", row_key().alias("row_key"), "text")
+    rows = stash(keyed.mapInArrow(_fingerprint_rows, "doc_id long, row_key long, fp long"), "fingerprints")
+    # fingerprints of null ids alone become nodes of their own above all ids; repeated ids with several fingerprints are one node
+    nameless = F.lit(NO_ID) - F.pmod(F.xxhash64("fp"), F.lit(NAMELESS))
+    nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("low")).select("fp", F.coalesce("low", nameless).alias("node")), "nodes")
     parts = connected(near_edges(nodes))
     named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return rows.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
+        F.when(F.col("component") <= NO_ID - NAMELESS, F.col("component")).alias("component_id"), "row_key", "component",
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their components: one row with the smallest doc_id (of a component of null ids: any one)."""
+    rows = near_duplicates(docs)
+    row = fresh(docs, "_row")
+    first = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias(row))
+    kept = docs.withColumn(row, row_key()).join(first, row, "left_semi")
+    return kept.dropDuplicates([row]).select(*docs.columns)

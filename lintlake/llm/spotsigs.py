@@ -131,11 +131,12 @@ def _ordered(docs: DataFrame) -> DataFrame:
     """Rows dealt into ranges of doc_id, sorted downwards, each range followed by a copy of the next range's first row."""
     n = docs.count()
     most = max(1, min(MAX_BUCKETS, -(-n // BUCKET_ROWS)))
-    splits = docs.agg(F.percentile_approx("doc_id", [k / most for k in range(1, most)] or [0.5], 100_000)).first()[0] or []
+    splits = docs.agg(F.percentile_approx("doc_id", [k / most for k in range(1, most)] or [1.0], 100_000)).first()[0] or []
     splits = sorted(set(splits), reverse=True)
     # range k holds the ids from splits[k] up to under splits[k - 1]; the last one the rest and null ids
-    cuts = F.array(*[F.lit(-s).cast("long") for s in splits]) if splits else F.array(F.lit(0).cast("long"))
-    bucket = F.coalesce(F.size(F.filter(cuts, lambda c: c < -F.col("doc_id"))), F.lit(len(splits) or 1))
+    cuts = F.array(*[F.lit(-s).cast("long") for s in splits])
+    last = F.lit(len(splits))
+    bucket = F.when(F.col("doc_id").isNull(), last).otherwise(F.size(F.filter(cuts, lambda c: c < -F.col("doc_id"))) if splits else last)
     dealt = docs.select(bucket.cast("int").alias("bucket"), "doc_id", "text")
     heads = docs.select(bucket.cast("int").alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()
     if not heads:

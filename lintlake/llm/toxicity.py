@@ -163,7 +163,7 @@ def fit(examples: DataFrame) -> Examples | None:
     return model
 
 
-def _score_rows(model: Examples | None):
+def _score_rows(model: Examples | None, names: list[str], score_name: str, examples_name: str):
     def run(batches):
         for batch in batches:
             for lo, hi, doc, term in _terms(batch.column("text")):
@@ -178,9 +178,9 @@ def _score_rows(model: Examples | None):
                         who, cosine = model.nearest(*model.vector(key[a:b] % len(model.terms), count[a:b]))
                         score[owner[a]] = model.calibrated(model.vote(who, cosine))
                         near[owner[a]] = model.ids[who[:EVIDENCE]].tolist()
+                own = [batch.column(c).slice(lo, n) for c in names]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(score) if c == "score" else pa.array(near, pa.list_(pa.int64())) if c == "examples" else batch.column(c).slice(lo, n) for c in [*batch.schema.names, "score", "examples"]],
-                    [*batch.schema.names, "score", "examples"],
+                    [*own, pa.array(score), pa.array(near, pa.list_(pa.int64()))], [*names, score_name, examples_name]
                 )
 
     return run
@@ -193,20 +193,22 @@ def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), np.append(first[1:], len(keys)).tolist(), strict=True))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``examples`` (ids of the nearest labelled examples). ``texts``: the documents that labels
-    speak of, if others than ``docs``."""
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None, score: str = "score", examples: str = "examples"
+) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``examples`` (ids of the nearest labelled examples), under free names. ``texts``: the documents
+    that labels speak of, if others than ``docs``."""
     sample = F.broadcast(learnable(labels, "toxic", MAX_ROWS))
     known = (docs if texts is None else texts).select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"])
     spread = known.repartition("doc_id")  # a few thousand texts, used twice
     model = docs.sparkSession.sparkContext.broadcast(fit(spread))
-    names = [c for c in docs.columns if c not in ("score", "examples")]
+    names = docs.columns
 
     def run(batches):
-        return _score_rows(model.value)(batches)
+        return _score_rows(model.value, names, score, examples)(batches)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*names).mapInArrow(run, f"{schema}, score double, examples array<long>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, `{score}` double, `{examples}` array<long>")
 
 
 def flagged(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
