@@ -11,7 +11,6 @@ from lintlake.functions.scalars import version_matches
 from lintlake.operators.lines import any_line, contains_any, frame, line_hits
 from lintlake.operators.scans import classify_risk, file_name, top_dir
 from lintlake.rules import code_rules, gate_rules as R
-from lintlake.session import broadcast_if_small
 
 MAX_PATTERNS = 10_000
 
@@ -168,7 +167,7 @@ def vulnerabilities(dependencies: DataFrame, advisories: DataFrame) -> DataFrame
     dim = advisories.select("ecosystem", F.lower("package").alias("_pkg"), "range_op", "range_version", "severity", "summary")
     return (
         dependencies.withColumn("_pkg", F.lower("package"))
-        .join(broadcast_if_small(dim), ["ecosystem", "_pkg"])
+        .join(dim, ["ecosystem", "_pkg"])
         .filter(version_matches(F.col("version"), F.col("range_op"), F.col("range_version")))
         .drop("_pkg")
     )
@@ -294,7 +293,7 @@ def coverage_gate(coverage: DataFrame, changed: DataFrame) -> DataFrame:
 
 def critical_coverage(coverage: DataFrame, groups: DataFrame) -> DataFrame:
     """Covered share per critical group and its grade; ``groups(group_name, path)``."""
-    both = coverage.join(broadcast_if_small(groups), "path").groupBy("group_name").agg(
+    both = coverage.join(groups, "path").groupBy("group_name").agg(
         F.sum("covered").alias("covered"), F.sum("statements").alias("statements")
     )
     pct = F.coalesce(F.try_divide(F.col("covered") * 100.0, F.col("statements")), F.lit(0.0))

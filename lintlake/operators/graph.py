@@ -9,7 +9,7 @@ from lintlake.operators.lines import contains_any, let
 from lintlake.operators.ranking import rank_within
 from lintlake.operators.scans import top_dir
 from lintlake.rules import code_rules, graph_rules as R
-from lintlake.session import broadcast_if_small, materialise
+from lintlake.session import materialise
 
 MODULE = ["repo", "module"]
 
@@ -79,7 +79,7 @@ def core_modules(edges: DataFrame) -> DataFrame:
     ranked = rank_within(
         counted, ["repo"], [("_b", -F.col("importers")), ("_p", F.substring("dst", 1, 2))], [F.col("dst")]
     )
-    return ranked.join(broadcast_if_small(limits), "repo").filter(F.col("rank") <= F.col("_k")).select("repo", F.col("dst").alias("module"), "importers")
+    return ranked.join(limits, "repo").filter(F.col("rank") <= F.col("_k")).select("repo", F.col("dst").alias("module"), "importers")
 
 
 def core_depends_on_edge(edges: DataFrame, core: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def cycles(edges: DataFrame, max_len: int = 6, trims: int = 2) -> DataFrame:
 def callers(nodes: DataFrame, edges: DataFrame, name: str, language: str = "typescript") -> DataFrame:
     """Nodes calling any node called ``name``."""
     targets = nodes.filter((F.col("name") == name) & (F.col("language") == language)).select(F.col("id").alias("target"))
-    calls = edges.filter("kind = 'calls'").join(broadcast_if_small(targets), "target", "left_semi").select(F.col("source").alias("id"))
+    calls = edges.filter("kind = 'calls'").join(targets, "target", "left_semi").select(F.col("source").alias("id"))
     return nodes.join(calls.distinct(), "id")
 
 
@@ -159,7 +159,7 @@ def text_callers(lines: DataFrame, names: DataFrame) -> DataFrame:
     words = lines.filter(F.col("line").contains("(") & ~F.col("line").contains("#")).select(
         "repo", "path", "line_no", "line", F.explode(called).alias("name")
     )
-    hit = words.join(broadcast_if_small(names.select("repo", "name").distinct()), ["repo", "name"], "left_semi")
+    hit = words.join(names.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
     return hit.filter(
         ~F.col("line").contains(F.concat(F.lit("def "), "name")) & ~F.col("line").contains(F.concat(F.lit("class "), "name"))
     ).select("repo", "name", F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("caller"))
@@ -191,12 +191,12 @@ def impact_2hop(nodes: DataFrame, edges: DataFrame, name: str, language: str = "
     files = nodes.select(F.col("id").alias("source"), "file_path")
 
     def calling(targets: DataFrame) -> DataFrame:
-        hit = calls.join(broadcast_if_small(targets.select(F.col("id").alias("target")).distinct()), "target", "left_semi")
+        hit = calls.join(targets.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
         return hit.join(files, "source").select("file_path").distinct()
 
     direct = calling(typed.filter(F.col("name") == name))
-    names = nodes.filter(F.col("kind").isin("function", "method")).join(broadcast_if_small(direct), "file_path", "left_semi").select("name").distinct()
-    second = calling(typed.join(broadcast_if_small(names), "name", "left_semi"))
+    names = nodes.filter(F.col("kind").isin("function", "method")).join(direct, "file_path", "left_semi").select("name").distinct()
+    second = calling(typed.join(names, "name", "left_semi"))
     both = direct.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
     total = F.col("direct_files") + F.col("indirect_files")
     return both.agg(F.count_if(F.col("hop") == 1).alias("direct_files"), F.count_if(F.col("hop") == 2).alias("indirect_files")).withColumn(

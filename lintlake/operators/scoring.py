@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lintlake.functions.scalars import glob_match, module_of
 from lintlake.operators.lines import contains_any
 from lintlake.rules import scoring_rules as R
-from lintlake.session import broadcast_if_small
 
 
 def level_of(score: Column) -> Column:
@@ -79,7 +78,7 @@ def calibrate(feedback: DataFrame, weights: DataFrame) -> DataFrame:
     base = F.coalesce("weight", F.lit(R.DEFAULT_TYPE_WEIGHT))
     factor = F.when((F.col("false_positive_rate") > 0.5) & enough, 0.7).when((F.col("confirmed_rate") > 0.8) & enough, 1.3)
     return (
-        rates.join(broadcast_if_small(weights), "error_type", "left")
+        rates.join(weights, "error_type", "left")
         .filter(factor.isNotNull())
         .select("error_type", (base * factor).cast("int").cast("long").alias("weight"))
     )
@@ -90,7 +89,7 @@ def adaptive_pain_score(errors: DataFrame, calibrated: DataFrame) -> DataFrame:
     factors = pain_factors(F.col("file_path"), F.col("error_type"), F.col("message"), adaptive=True)
     extra = F.coalesce("weight", F.lit(0))
     score = _clamp((_weighted(factors, R.PAIN_WEIGHTS) + extra).cast("double"))
-    joined = errors.join(broadcast_if_small(calibrated), "error_type", "left")
+    joined = errors.join(calibrated, "error_type", "left")
     return joined.withColumn("pain_score", score).withColumn("pain_level", level_of(F.col("pain_score"))).drop("weight")
 
 
@@ -261,7 +260,7 @@ def evolve(insights: DataFrame, newest: int = 50) -> DataFrame:
 def mark_applied(insights: DataFrame, rules: DataFrame) -> DataFrame:
     """M6: ``insights`` with those behind ``rules`` marked applied."""
     used = rules.select(F.col("source_insight_id").alias("id"), F.lit(True).alias("_used")).distinct()
-    return insights.join(broadcast_if_small(used), "id", "left").withColumn(
+    return insights.join(used, "id", "left").withColumn(
         "applied", F.col("applied") | F.coalesce("_used", F.lit(False))
     ).drop("_used")
 
@@ -279,7 +278,7 @@ def rescore(errors: DataFrame, rules: DataFrame) -> DataFrame:
     share = F.when(F.col("type") == "pain_weight", 0.5).when(F.col("type") == "check_priority", 0.3).otherwise(0.0)
     wanted = rules.select(F.col("module").alias("_key"), "pattern", (1.0 + F.col("confidence") * share).alias("_mult"))
     factor = (
-        pairs.join(broadcast_if_small(wanted), "_key")
+        pairs.join(wanted, "_key")
         .filter((F.col("pattern") == "") | glob_match(F.col("error_type"), F.col("pattern")))
         .groupBy("_module", "error_type").agg(F.product("_mult").alias("_factor"))
     )

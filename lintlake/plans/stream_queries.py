@@ -20,12 +20,30 @@ from lintlake.streaming import live
 _STATUS = "CASE event_type WHEN 'error' THEN 'PANIC' WHEN 'signup' THEN 'DEGRADED' ELSE 'OK' END"
 
 
+PARTS = 4
+
+
 def event_stream(spark, sf):
-    """The given events as a file stream."""
-    table(spark, sf, "events")  # pins the session zone
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The given events as a stream that brings them in time order, one of ``PARTS`` folders of files per micro-batch.
+
+    A file source follows the order in which files were written, so the parts are cut by time and written one by one.
+    """
+    events = table(spark, sf, "events")
+    path, at = work_path(spark, "events"), F.unix_micros("ts")
+    cuts = events.agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)], 10_000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = events
+        part = part.filter(at > low) if low is not None else part
+        part = part.filter(at <= high) if high is not None else part
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def log_stream(spark, sf):
+    """The log lines, in several files and micro-batches."""
+    path = work_path(spark, "logs")
+    log_lines(spark, sf).select(F.col("line").alias("value")).repartition(PARTS).write.text(path)
+    return readers.tail_log(spark, path, 1)
 
 
 def sensor_stream(spark, sf):
@@ -41,9 +59,7 @@ def sensor_stream(spark, sf):
   FROM documents WHERE source NOT IN ('src3', 'src7') GROUP BY source""")
 def s1_corpus_tree(spark, sf):
     root = work_path(spark, "tree")
-    repo = F.when(F.col("source") == "src7", "build").otherwise(F.col("source"))
-    table(spark, sf, "documents").select(F.concat(F.lit("repo="), repo).alias("d"), "source", "text").select(
-        "source", "text").write.partitionBy("source").text(root)
+    table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(root)
     files = readers.read_files(spark, root, "*.txt", ["source=src3", "source=src7"])
     newlines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
     return files.groupBy(F.replace("repo", F.lit("source="), F.lit("")).alias("repo")).agg(
@@ -56,7 +72,7 @@ def s2_recent_json_events(spark, sf):
     events = sensor_events(spark, sf).select("event_id", "component_id", "status", F.col("duration_ms").cast("double").alias("duration_ms"), "ts")
     broken = F.when(F.col("event_id") % 5 == 0, "{broken").otherwise(F.to_json(F.struct(*events.columns)))
     events.select(broken.alias("value")).write.text(path)
-    return readers.read_events(spark, path).select("event_id", "component_id", "status")
+    return readers.read_events(spark, path, 200).select("event_id", "component_id", "status")
 
 
 @query("k1_appended_events", f"WITH {SENSOR_CTE} SELECT event_id, component_id, status FROM sensor WHERE status <> 'OK'")
@@ -65,7 +81,7 @@ def k1_appended_events(spark, sf):
     events = sensor_events(spark, sf).select("event_id", "component_id", "status", "ts")
     sinks.append(events.filter("status = 'PANIC'"), path)
     sinks.append(events.filter("status = 'DEGRADED'"), path)
-    return readers.read_events(spark, path, None).select("event_id", "component_id", "status")
+    return readers.read_events(spark, path).select("event_id", "component_id", "status")
 
 
 @query("k2_replaced_snapshots", over_files("SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS snapshot_id, path FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"))
@@ -90,31 +106,25 @@ def k4_report_rows(spark, sf):
 
 # --- streaming --------------------------------------------------------------------------------
 
-def log_directory(spark, sf) -> str:
-    path = work_path(spark, "logs")
-    log_lines(spark, sf).select(F.col("line").alias("value")).write.text(path)
-    return path
-
-
 _MATCHED = "regexp_matches(line, 'ERROR|Traceback|WARN')"
 _LEVEL = "CASE WHEN contains(line, 'ERROR') OR contains(line, 'Traceback') THEN 'ERROR' WHEN contains(line, 'WARN') THEN 'WARNING' ELSE 'INFO' END"
 
 
 @query("s3_tailed_log", f"WITH {LOG_CTE} SELECT trim(line, ' ') AS line, count(*) AS n FROM loglines WHERE trim(line, ' ') <> '' GROUP BY 1")
 def s3_tailed_log(spark, sf):
-    lines = live.drain(readers.tail_log(spark, log_directory(spark, sf)), "tail")
+    lines = live.drain(log_stream(spark, sf), "tail")
     return lines.groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("x1_stream_error_lines", f"WITH {LOG_CTE} SELECT trim(line, ' ') AS line, {_LEVEL} AS level, count(*) AS n FROM loglines WHERE {_MATCHED} GROUP BY ALL")
 def x1_stream_error_lines(spark, sf):
-    stream = live.stream_errors(readers.tail_log(spark, log_directory(spark, sf)), "ERROR|Traceback|WARN")
+    stream = live.stream_errors(log_stream(spark, sf), "ERROR|Traceback|WARN")
     return live.drain(stream, "errors").groupBy("line", "level").agg(F.count("*").alias("n"))
 
 
 @query("x1_stream_error_counts", f"WITH {LOG_CTE} SELECT {_LEVEL} AS level, count(*) AS errors FROM loglines WHERE {_MATCHED} GROUP BY 1")
 def x1_stream_error_counts(spark, sf):
-    stream = live.stream_errors(readers.tail_log(spark, log_directory(spark, sf)), "ERROR|Traceback|WARN")
+    stream = live.stream_errors(log_stream(spark, sf), "ERROR|Traceback|WARN")
     return live.drain(live.running_errors(stream), "error-counts", "complete")
 
 
@@ -135,10 +145,7 @@ def x3_stream_suppression(spark, sf):
   s AS (SELECT s.component_id, count(*) FILTER (WHERE status <> 'OK' AND (ok.k IS NULL OR (ts, event_id) > ok.k)) AS consecutive_failures, coalesce(max(epoch_us(ts)) FILTER (WHERE status = 'OK'), 0) AS last_success,
   coalesce(max(epoch_us(ts)) FILTER (WHERE status <> 'OK'), 0) AS last_failure FROM sensor s LEFT JOIN ok ON ok.component_id = s.component_id GROUP BY s.component_id) SELECT *, consecutive_failures < 2 AS healthy FROM s""")
 def x4_stream_health(spark, sf):
-    states = live.drain(live.stream_health(sensor_stream(spark, sf)), "health", "update")
-    newest = F.greatest("last_success", "last_failure")
-    rest = F.struct("consecutive_failures", "last_success", "last_failure", "healthy")
-    return states.groupBy("component_id").agg(F.max_by(rest, newest).alias("s")).select("component_id", "s.*")
+    return live.drain(live.stream_health(sensor_stream(spark, sf)), "health", "update", ["component_id"])
 
 
 @query("x5_stream_debounce", _greedy_sql("e AS (SELECT 'u' || (user_id % 12) AS component_id, ts, event_id FROM events)", "component_id", "90 MINUTE").replace("SELECT kept.component_id, min", "SELECT kept.component_id AS path, min"))
@@ -147,7 +154,7 @@ def x5_stream_debounce(spark, sf):
     return live.drain(live.stream_debounce(changes, 90 * 60), "debounced").select("path", "event_id")
 
 
-@query("x6_stream_check", """SELECT 0 AS batch_id, count(*) AS error_count, sum(CASE WHEN event_type = 'error' THEN 20 ELSE 0 END) / count(*)::DOUBLE AS mean_score FROM events""")
+@query("x6_stream_check", """SELECT CAST(count(*) AS BIGINT) AS error_count, sum(CASE WHEN event_type = 'error' THEN 20 ELSE 0 END) / count(*)::DOUBLE AS mean_score FROM events""")
 def x6_stream_check(spark, sf):
     changes = event_stream(spark, sf).select(
         F.when(F.col("event_type") == "error", "api_change").otherwise("note").alias("error_type"), F.lit("lib/x.py").alias("file_path"), F.lit("").alias("message"))
@@ -157,7 +164,10 @@ def x6_stream_check(spark, sf):
         return SC.total_pain(SC.pain_score(batch)).select("error_count", "mean_score")
 
     live.stream_check(changes, check, path, work_path(spark, "status-checkpoint")).awaitTermination()
-    return spark.read.schema("error_count long, mean_score double, batch_id int").option("recursiveFileLookup", "true").parquet(path)
+    rows = spark.read.schema("error_count long, mean_score double").option("recursiveFileLookup", "true").parquet(path)
+    # a row per micro-batch; the mean is weighted by each batch's errors
+    total = F.sum("error_count")
+    return rows.agg(total.alias("error_count"), (F.sum(F.round(F.col("mean_score") * F.col("error_count"))) / total).alias("mean_score"))
 
 
 @query("x7_stream_windows", f"""WITH {METRICS_CTE} SELECT epoch_us(date_trunc('day', ts)) AS start_us, type, count(*) AS n, avg(value) AS mean FROM metrics
@@ -168,6 +178,13 @@ def x7_stream_windows(spark, sf):
     return live.drain(live.stream_metrics(metrics), "windows")
 
 
+@query("x7_open_windows", f"""WITH {METRICS_CTE} SELECT epoch_us(date_trunc('day', ts)) AS start_us, type, count(*) AS n, avg(value) AS mean FROM metrics GROUP BY ALL""")
+def x7_open_windows(spark, sf):
+    kind = F.create_map(*[F.lit(x) for kv in DIMS.items() for x in kv])
+    metrics = event_stream(spark, sf).select(kind[F.col("event_type")].alias("type"), (F.floor(F.col("value") * 1024 / 500) / 1024.0).alias("value"), "ts")
+    return live.drain(live.stream_metrics(metrics, delay="2 days"), "open-windows", "update", ["start_us", "type"])
+
+
 @query("k3_panic_alerts", "SELECT k.* FROM (" + _greedy_sql(f"{SENSOR_CTE}, e AS (SELECT component_id, ts, event_id FROM sensor WHERE status <> 'OK')", "component_id", "6 HOUR")
        + ") k JOIN events v ON v.event_id = k.event_id WHERE v.event_type = 'error'")
 def k3_panic_alerts(spark, sf):

@@ -1,15 +1,17 @@
-"""Session defaults, the shared work folder and size-checked broadcasts."""
+"""Session defaults and the shared work folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROWS = 50_000
 _LOCAL_DIRS: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def build_session(app: str = "lintlake", cpus: int | str = "*", shuffle: int = 8) -> SparkSession:
@@ -30,19 +32,34 @@ def build_session(app: str = "lintlake", cpus: int | str = "*", shuffle: int = 8
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where unset."""
+    """The folder that all nodes share (``spark.checkpoint.dir``). Only a local session may do without: it gets a temporary one,
+    which is deleted at its end."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
     return _LOCAL_DIRS[app]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the work folder; never reused, so a table is never read and overwritten at once."""
-    return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _MADE.append(path)
+    return path
+
+
+def clean_work(spark: SparkSession) -> None:
+    """Delete the tables that this process put into the work folder; for the end of a job, when no result is read any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _MADE:
+        path = hadoop.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -50,10 +67,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it is proven to hold at most ``max_rows`` rows, else leave the join to AQE."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -39,15 +39,16 @@ def read_files(
     )
 
 
-def read_events(spark: SparkSession, path: str, limit: int | None = 200) -> DataFrame:
-    """JSON-lines events; malformed and blank lines drop out; the newest ``limit``."""
+def read_events(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """JSON-lines events; malformed and blank lines drop out; all, or the newest ``limit``."""
     rows = spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(path).filter("component_id IS NOT NULL")
     return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit) if limit else rows
 
 
-def tail_log(spark: SparkSession, path: str) -> DataFrame:
+def tail_log(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """S3: new lines of the text files in a directory as a stream, blank ones dropped."""
-    lines = spark.readStream.text(path)
+    stream = spark.readStream
+    lines = (stream.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else stream).text(path)
     return lines.select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line")).filter("line <> ''")
 
 

@@ -1,7 +1,8 @@
 """Streaming operators: log filter, event threshold, suppression, health state, debounce, checks, windows.
 
-State is bounded: keyed state is dropped an hour of event time after a key's last row, windows by the watermark.
-The rows of one micro-batch are bounded by the source's ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
+State is bounded: a suppressed key is forgotten once its gap is over and the watermark has passed it, windows close by the
+watermark, health is one small row per component (kept for good unless a time to live is given, as an old failure still counts).
+The rows of one micro-batch, and so of one key in it, are bounded by the source's ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
 """
 
 from __future__ import annotations
@@ -10,15 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lintlake.operators.telemetry import OK_REPORT_MS, matching_lines, reportable
 from lintlake.session import work_path
 from lintlake.sources.sinks import panics
 
-STATE_TTL_US = 3_600_000_000
-
 
 def stream_errors(lines: DataFrame, regex: str = "ERROR|Traceback") -> DataFrame:
     """Matching log lines with their level."""
@@ -37,8 +36,9 @@ def stream_events(events: DataFrame, ok_threshold: float = OK_REPORT_MS) -> Data
 
 
 
-def _keep_alive(state: GroupState, newest: int) -> None:
-    state.setTimeoutTimestamp(max(newest + STATE_TTL_US, state.getCurrentWatermarkMs() * 1000 + 1_000_000) // 1000)
+def _forget_after(state: GroupState, micros: int) -> None:
+    """Time the state out when the watermark passes ``micros`` of event time."""
+    state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + 1)
 
 
 def _ordered(batches: Iterator[pd.DataFrame], columns: list[str]) -> dict[str, np.ndarray]:
@@ -56,7 +56,7 @@ def stream_suppress(
 
     ``carry`` names one text column to keep.
     Rows of a key are taken in time order within a micro-batch; rows older than the key's last passed event
-    never pass.
+    never pass. A key whose gap the watermark has passed needs no state: whatever still comes is due.
     """
     gap = int(gap_seconds * 1_000_000)
 
@@ -74,7 +74,7 @@ def stream_suppress(
         if at:
             state.update((int(times[at[-1]]),))
         if state.exists:
-            _keep_alive(state, int(times[-1]))
+            _forget_after(state, state.get[0] + gap)
         yield pd.DataFrame({"_key": k[0], "_us": times[at], "_id": rows["_id"][at], "_carry": rows["_carry"][at]})
 
     slim = events.withWatermark(ts, delay).select(
@@ -98,8 +98,12 @@ def stream_debounce(changes: DataFrame, gap_seconds: float = 2, row_id: str = "e
     return stream_suppress(changes, gap_seconds, key="path", row_id=row_id)
 
 
-def stream_health(events: DataFrame, threshold: int = 2, delay: str = "10 minutes") -> DataFrame:
-    """Health per component after each micro-batch it has rows in (update mode)."""
+def stream_health(events: DataFrame, threshold: int = 2, delay: str = "10 minutes", ttl_seconds: float | None = None) -> DataFrame:
+    """Health per component after each micro-batch it has rows in (update mode).
+
+    A component's counters live for good, so that a streak survives any silence: state grows with the number of
+    components. ``ttl_seconds`` of event time without rows forgets a component.
+    """
 
     def track(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -116,7 +120,8 @@ def stream_health(events: DataFrame, threshold: int = 2, delay: str = "10 minute
         if (~ok).any():
             last_fail = max(last_fail, int(rows["_us"][np.flatnonzero(~ok)[-1]]))
         state.update((fails, last_ok, last_fail))
-        _keep_alive(state, int(rows["_us"][-1]))
+        if ttl_seconds is not None:
+            _forget_after(state, int(rows["_us"][-1] + ttl_seconds * 1_000_000))
         yield pd.DataFrame({
             "component_id": [k[0]], "consecutive_failures": [fails], "last_success": [last_ok], "last_failure": [last_fail],
             "healthy": [fails < threshold],
@@ -128,12 +133,14 @@ def stream_health(events: DataFrame, threshold: int = 2, delay: str = "10 minute
     )
     return slim.groupBy("_key").applyInPandasWithState(
         track, "component_id string, consecutive_failures long, last_success long, last_failure long, healthy boolean",
-        "fails long, last_ok long, last_fail long", "update", GroupStateTimeout.EventTimeTimeout,
+        "fails long, last_ok long, last_fail long", "update",
+        GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def stream_metrics(metrics: DataFrame, width: str = "24 hours", delay: str = "1 hour") -> DataFrame:
-    """Closed tumbling windows with count and mean value per metric type (``1 day`` gives the trend)."""
+    """Tumbling windows with count and mean value per metric type (``1 day`` gives the trend): closed ones in append mode,
+    the open ones too, as far as they have come, in update mode."""
     return (
         metrics.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "type")
         .agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
@@ -151,10 +158,10 @@ def stream_check(changes: DataFrame, check: Callable[[DataFrame], DataFrame], pa
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all data there is now and read what it wrote.
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all data there is now and read its result.
 
-    Append streams go to a Parquet sink; in other modes the result of the last micro-batch holds.
+    Append: all rows. Complete: what the newest micro-batch gave. Update: of each key (``keys``) the newest row.
     """
     spark = stream.sparkSession
     path, checkpoint = work_path(spark, name), work_path(spark, f"{name}-checkpoint")
@@ -166,4 +173,11 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
         writer = stream.writeStream.foreachBatch(keep)
     writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+    if mode == "append":
+        return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    if mode == "complete":
+        newest = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(newest), "batch", "left_semi").select(*stream.columns)  # one row
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*[c if c in keys else f"_r.{c}" for c in stream.columns])
