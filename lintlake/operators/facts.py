@@ -1,230 +1,26 @@
-"""V4: flat code facts of Python files, one row in, many out.
-
-The standard library's parser runs inside the tasks, a file at a time; everything after it is relational.
-Files that do not parse give one ``parse_error`` fact.
-"""
+"""Code facts read from lines by patterns: imports and definitions of Python files."""
 
 from __future__ import annotations
 
-import ast
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-COLUMNS = [
-    "kind", "name", "qualifier", "line_no", "is_async", "enclosing", "is_awaited", "signature", "body_hash", "cyclomatic",
-    "cognitive",
-]
-SCHEMA = (
-    "repo string, path string, kind string, name string, qualifier string, line_no int, is_async boolean, "
-    "enclosing string, is_awaited boolean, signature string, body_hash string, cyclomatic int, cognitive int"
-)
-FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp)
-# fixed values: cost of each construct
-COGNITIVE = {
-    ast.If: 1, ast.For: 2, ast.AsyncFor: 2, ast.While: 2, ast.With: 1, ast.AsyncWith: 1, ast.Try: 1, ast.ExceptHandler: 1,
-    ast.Match: 1,
-}
-
-
-def _fact(kind, name="", qualifier="", line_no=0, is_async=False, enclosing="", is_awaited=False, signature="",
-          body_hash="", cyclomatic=0, cognitive=0):
-    return kind, name, qualifier, line_no, is_async, enclosing, is_awaited, signature, body_hash, cyclomatic, cognitive
-
-
-def _signature(args: ast.arguments) -> str:
-    names = [a.arg for a in args.posonlyargs]
-    names += ["/"] if args.posonlyargs else []
-    names += [a.arg for a in args.args]
-    names += [f"*{args.vararg.arg}"] if args.vararg else (["*"] if args.kwonlyargs else [])
-    names += [a.arg for a in args.kwonlyargs]
-    names += [f"**{args.kwarg.arg}"] if args.kwarg else []
-    return f"({', '.join(names)})"
-
-
-def _function(node, enclosing):
-    inner = list(ast.walk(node))
-    cyclomatic = 1 + sum(isinstance(n, BRANCHES) for n in inner)
-    cyclomatic += sum(len(n.values) - 1 for n in inner if isinstance(n, ast.BoolOp))
-    cognitive = sum(COGNITIVE.get(type(n), 0) for n in inner) + sum(isinstance(n, ast.If) and bool(n.orelse) for n in inner)
-    body = "\n".join(ast.dump(s) for s in node.body)
-    return _fact(
-        "def", node.name, line_no=node.lineno, is_async=isinstance(node, ast.AsyncFunctionDef), enclosing=enclosing,
-        signature=_signature(node.args), body_hash=hashlib.sha256(body.encode()).hexdigest()[:16],
-        cyclomatic=cyclomatic, cognitive=cognitive,
-    )
-
-
-def _call_form(func):
-    if isinstance(func, ast.Name):
-        return func.id, "name", ""
-    if isinstance(func, ast.Attribute):
-        return func.attr, "attribute", func.value.id if isinstance(func.value, ast.Name) else ""
-    return "", "subscript" if isinstance(func, ast.Subscript) else "other", ""
-
-
-def _dead_lines(node):
-    parents = node.handlers if isinstance(node, ast.Try) else [node] if isinstance(node, (ast.If, ast.For, ast.While)) else []
-    for parent in parents:
-        returns = {n.lineno for n in ast.walk(parent) if isinstance(n, ast.Return)}
-        for child in ast.iter_child_nodes(parent):
-            text = isinstance(child, ast.Expr) and isinstance(child.value, ast.Constant) and isinstance(child.value.value, str)
-            if isinstance(child, ast.Expr) and child.lineno in returns and not text:
-                yield child.lineno
-
-
-def _node_facts(item, parent, grandparent, where: str):
-    """Facts of one node; its parents tell dropped results, awaited calls and module-level names."""
-    if isinstance(item, FUNCTIONS):
-        yield _function(item, where)
-        a = item.args
-        for arg in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]:
-            yield _fact("arg", arg.arg, line_no=item.lineno, enclosing=where)
-    elif isinstance(item, ast.ClassDef):
-        yield _fact("class", item.name, line_no=item.lineno, enclosing=where)
-    elif isinstance(item, ast.Lambda):
-        for arg in item.args.args:
-            yield _fact("arg", arg.arg, line_no=item.lineno, enclosing=where)
-    elif isinstance(item, ast.Import):
-        for alias in item.names:
-            yield _fact("import", alias.asname or alias.name.split(".")[0], alias.name, item.lineno, signature=alias.name)
-    elif isinstance(item, ast.ImportFrom):
-        for alias in item.names:
-            yield _fact("import", alias.asname or alias.name, item.module or "", item.lineno, signature=alias.name)
-    elif isinstance(item, ast.Call):
-        name, form, owner = _call_form(item.func)
-        awaited = isinstance(parent, ast.Await)
-        dropped = isinstance(grandparent if awaited else parent, ast.Expr)
-        yield _fact(
-            "call", name, form, item.lineno, enclosing=where, is_awaited=awaited, signature=owner,
-            body_hash="dropped" if dropped else "",
-        )
-    elif isinstance(item, ast.Name):
-        if isinstance(item.ctx, ast.Store):
-            module_level = isinstance(parent, ast.Assign) and isinstance(grandparent, ast.Module)
-            yield _fact("assign", item.id, "global" if module_level else "", item.lineno, enclosing=where)
-        else:
-            yield _fact("use", item.id, "", item.lineno, enclosing=where)
-    elif isinstance(item, ast.Attribute):
-        yield _fact("use", item.attr, "attribute", item.lineno, enclosing=where)
-    elif isinstance(item, ast.ExceptHandler) and item.name:
-        yield _fact("assign", item.name, "handler", item.lineno, enclosing=where)
-    elif isinstance(item, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in item.targets):
-        for element in getattr(item.value, "elts", []):
-            if isinstance(element, ast.Constant) and isinstance(element.value, str):
-                yield _fact("export", element.value, line_no=item.lineno)
-    for line in _dead_lines(item):
-        yield _fact("dead", line_no=line, enclosing=where)
-
-
-def file_facts(content: str) -> list[tuple]:
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        return [_fact("parse_error")]
-    facts, todo = [], [(tree, None, None, ())]
-    while todo:
-        item, parent, grandparent, chain = todo.pop()
-        facts += _node_facts(item, parent, grandparent, "/".join(chain))
-        inner = (*chain, item.name) if isinstance(item, FUNCTIONS) else chain
-        todo += [(child, item, parent, inner) for child in ast.iter_child_nodes(item)]
-    return facts
+IMPORT = r"^(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import\s+(.+))$"
+DEFINITION = r"^\s*(?:async\s+)?(def|class)\s+(\w+)"
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [
-            (repo, path, *fact)
-            for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"])
-            for fact in file_facts(content)
-        ]
-        if rows:
-            yield pd.DataFrame(rows, columns=["repo", "path", *COLUMNS])
-
-
-def extract_facts(files: DataFrame) -> DataFrame:
-    """V4: facts of the Python files."""
-    return files.filter("ext = 'py'").select("repo", "path", "content").mapInPandas(_extract, SCHEMA)
-
-
-# --- endpoints --------------------------------------------------------------------------------
-
-VERBS = {"get", "post", "put", "delete", "patch", "options", "head"}  # fixed values
-ENDPOINT_SCHEMA = (
-    "repo string, path string, function string, line_no int, method string, route string, status_code int, "
-    "has_model boolean, has_return_type boolean, returns_response_object boolean, returns_dict boolean, has_return boolean"
-)
-
-
-def _routes(node):
-    for decorator in node.decorator_list:
-        if isinstance(decorator, ast.Call) and isinstance(decorator.func, ast.Attribute) and decorator.func.attr.lower() in VERBS:
-            first = decorator.args[0] if decorator.args else None
-            words = {k.arg: k.value for k in decorator.keywords if k.arg}
-            status = words.get("status_code")
-            yield (
-                decorator.func.attr.upper(), str(first.value) if isinstance(first, ast.Constant) else "",
-                status.value if isinstance(status, ast.Constant) and isinstance(status.value, int) else 0,
-                "response_model" in words,
-            )
-            return  # the first route decorator counts
-
-
-def file_endpoints(content: str) -> list[tuple]:
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        return []
-    out = []
-    for node in ast.walk(tree):
-        if isinstance(node, FUNCTIONS):
-            values = [n.value for n in ast.walk(node) if isinstance(n, ast.Return) and n.value]
-            named = [_call_form(v.func)[0] for v in values if isinstance(v, ast.Call)]
-            for method, route, status, model in _routes(node):
-                out.append((
-                    node.name, node.lineno, method, route, status, model, node.returns is not None,
-                    any("JSONResponse" in n for n in named), any(isinstance(v, (ast.Dict, ast.Call)) for v in values), bool(values),
-                ))
-    return out
-
-
-def _endpoints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in ENDPOINT_SCHEMA.split(", ")]
-    for pdf in batches:
-        rows = [
-            (repo, path, *found)
-            for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"])
-            for found in file_endpoints(content)
-        ]
-        if rows:
-            yield pd.DataFrame(rows, columns=columns)
-
-
-def extract_endpoints(files: DataFrame) -> DataFrame:
-    """Routes of the Python files outside tests, with what their functions return."""
-    api = F.col("path").rlike(r"(^|/)(api|app|routers|views|endpoints)/|/(routes|views)\.py$") & ~F.col("path").rlike("test_|/tests?/")
-    return files.filter("ext = 'py'").filter(api).select("repo", "path", "content").mapInPandas(_endpoints, ENDPOINT_SCHEMA)
-
-
-def api_conformance(endpoints: DataFrame) -> DataFrame:
-    """Per endpoint whether the response is a standard one, JSON, and its status code."""
-    standard = F.col("has_model") | F.col("has_return_type") | F.col("returns_response_object")
-    default = (
-        F.when(F.col("method").isin("GET", "PUT", "PATCH"), 200).when(F.col("method") == "POST", 201)
-        .when(F.col("method") == "DELETE", 204).otherwise(0)
-    )
-    return endpoints.select(
-        "repo", "path", "function", "line_no", "method", "route", standard.alias("standard"),
-        (standard | F.col("returns_dict") | F.col("has_return")).alias("returns_json"),
-        F.when(F.col("status_code") > 0, F.col("status_code")).otherwise(default).alias("status_code"),
-    )
+def import_facts(lines: DataFrame) -> DataFrame:
+    """V4: (repo, path, line_no, module, imported) of import statements; one row per imported name."""
+    found = lines.filter((F.col("ext") == "py") & F.col("line").rlike(IMPORT))
+    part = [F.regexp_extract("line", IMPORT, k) for k in (1, 2, 3)]
+    names = F.when(part[0] != "", F.array(part[0])).otherwise(F.transform(F.split(part[2], ","), lambda n: F.trim(n)))
+    module = F.when(part[0] != "", part[0]).otherwise(part[1])
+    return found.select("repo", "path", "line_no", module.alias("module"), F.explode(names).alias("imported"))
 
 
-def api_conformance_summary(checked: DataFrame) -> DataFrame:
-    """A37 per repo."""
-    return checked.groupBy("repo").agg(
-        F.count("*").alias("endpoints"), F.count_if("standard").alias("standard"), F.count_if(~F.col("returns_json")).alias("not_json")
+def definition_facts(lines: DataFrame) -> DataFrame:
+    """V4: (repo, path, line_no, kind, name, is_async) of functions and classes."""
+    found = lines.filter((F.col("ext") == "py") & F.col("line").rlike(DEFINITION))
+    return found.select(
+        "repo", "path", "line_no", F.regexp_extract("line", DEFINITION, 1).alias("kind"), F.regexp_extract("line", DEFINITION, 2).alias("name"),
+        F.col("line").rlike(r"^\s*async").alias("is_async"),
     )

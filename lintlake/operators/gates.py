@@ -12,17 +12,6 @@ from lintlake.operators.lines import any_line, contains_any, frame, line_hits
 from lintlake.operators.scans import classify_risk, file_name, top_dir
 from lintlake.rules import code_rules, gate_rules as R
 
-MAX_PATTERNS = 10_000
-
-
-def pattern_list(patterns: DataFrame, column: str = "pattern") -> list[str]:
-    """Patterns as a driver-side list, for turning them into column expressions; refused above a fixed size."""
-    rows = patterns.select(column).distinct().limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns")
-    return sorted(r[0] for r in rows)
-
-
 # --- P2-P6, P9, P10 ---------------------------------------------------------------------------
 
 def ignore_patterns(lines: DataFrame) -> DataFrame:
@@ -78,8 +67,13 @@ def changed_union(*lists: DataFrame) -> DataFrame:
 
 
 def max_size(files: DataFrame, limit: int = R.MAX_FILE_BYTES, size: str = "size") -> DataFrame:
-    """Files the gate checks; larger ones pass unchecked."""
-    return files.filter(F.col(size) <= limit)
+    """Files the gate checks; larger ones pass unchecked, see ``skipped_files``."""
+    return files.filter(F.coalesce(F.col(size) <= limit, F.lit(True)))
+
+
+def skipped_files(files: DataFrame, limit: int = R.MAX_FILE_BYTES, size: str = "size") -> DataFrame:
+    """The files the gate leaves out for their size, as ``skip`` findings."""
+    return files.filter(F.col(size) > limit).select("repo", "path", F.lit("file-size").alias("rule"), F.lit("skip").alias("level"))
 
 
 def gate(findings: DataFrame, block_on: tuple[str, ...] = ("CRITICAL", "ERROR")) -> DataFrame:

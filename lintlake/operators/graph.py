@@ -102,21 +102,77 @@ def _trim(edges: DataFrame) -> DataFrame:
     )
 
 
-def cycles(edges: DataFrame, max_len: int = 6, trims: int = 2) -> DataFrame:
-    """Simple cycles of at most ``max_len`` modules, each once, starting at its smallest module.
+def _spread_labels(labels: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """Each module's smallest label among its own and those that lead to it within ``hops`` edges."""
+    for _ in range(hops):
+        sent = edges.join(labels.withColumnRenamed("module", "src"), ["repo", "src"]).select("repo", F.col("dst").alias("module"), "label")
+        labels = labels.unionByName(sent).groupBy("repo", "module").agg(F.min("label").alias("label"))
+    return labels
+
+
+def _settled(step, start: DataFrame, name: str) -> DataFrame:
+    """Repeat ``step`` on written tables until nothing changes."""
+    current, mark = materialise(start, name), None
+    while True:
+        following = materialise(step(current), name)
+        sums = following.agg(F.count("*"), F.sum(F.xxhash64(*following.columns).cast("decimal(38,0)"))).first()
+        if sums == mark:
+            return following
+        current, mark = following, sums
+
+
+def cycle_groups(edges: DataFrame, hops: int = 4) -> DataFrame:
+    """(repo, module, cycle, modules): every module on a cycle of any length, the smallest module that it shares cycles with, and how
+    many do (strongly connected parts).
+
+    Smallest labels run along the edges until none changes; within one label, what leads back to the label's module is one part. Parts
+    found and edges between labels leave, until no edge is left. Rounds are written tables; no path is listed and no group collected.
+    """
+    rest = materialise(_trim(_trim(edges.select("repo", "src", "dst").distinct())), "edges")
+    found = None
+    while not rest.isEmpty():
+        own = rest.select("repo", F.col("src").alias("module")).union(rest.select("repo", "dst")).distinct().withColumn("label", F.col("module"))
+        labels = _settled(lambda at, e=rest: _spread_labels(at, e, hops), own, "labels")
+        by_src, by_dst = (labels.select("repo", F.col("module").alias(c), F.col("label").alias(f"{c}_label")) for c in ("src", "dst"))
+        inner = rest.join(by_src, ["repo", "src"]).join(by_dst, ["repo", "dst"]).filter("src_label = dst_label").select("repo", "src", "dst")
+        inner = materialise(inner, "edges")
+        back = inner.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+        def reach(at: DataFrame, e: DataFrame = back) -> DataFrame:
+            for _ in range(hops):
+                ahead = e.join(at.withColumnRenamed("module", "src"), ["repo", "src"]).select("repo", F.col("dst").alias("module"), "label")
+                at = at.unionByName(ahead).distinct()
+            return at
+
+        part = _settled(reach, labels.filter("module = label"), "reach")
+        found = part if found is None else found.unionByName(part)
+        gone = part.select("repo", "module")
+        left = inner.join(gone.withColumnRenamed("module", "src"), ["repo", "src"], "left_anti")
+        rest = materialise(_trim(left.join(gone.withColumnRenamed("module", "dst"), ["repo", "dst"], "left_anti")), "edges")
+    if found is None:
+        return edges.select("repo", F.col("src").alias("module"), F.col("src").alias("cycle"), F.lit(1).cast("long").alias("modules")).limit(0)
+    sizes = found.groupBy("repo", "label").agg(F.count("*").alias("modules"))
+    loops = edges.filter("src = dst").select("repo", F.col("src").alias("module")).distinct().withColumn("_loop", F.lit(True))
+    return (
+        found.join(sizes, ["repo", "label"]).join(loops, ["repo", "module"], "left").filter("modules > 1 OR _loop")
+        .select("repo", "module", F.col("label").alias("cycle"), "modules")
+    )
 
-    Paths only grow to modules greater than their start, so every cycle has one rotation; trimming first drops
-    the modules that are on no cycle.  Lineage is cut with tables in the shared folder, so a lost executor
-    never replays the earlier steps.
+
+def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Simple cycles, each once, starting at its smallest module; all of them, or those of at most ``max_len`` modules.
+
+    Paths only grow to modules greater than their start and inside one strongly connected part, so every cycle has one rotation and no
+    path leaves the cycles. The number of simple cycles can be exponential in a dense graph; ``cycle_groups`` needs no listing.
     """
-    e = materialise(edges.select("repo", "src", "dst").distinct(), "edges")
-    for _ in range(trims):
-        e = _trim(e)
-    e = materialise(e, "edges")
+    groups = cycle_groups(edges).select("repo", "module", "cycle")
+    a, b = (groups.select("repo", F.col("module").alias(c), F.col("cycle").alias(f"_{c}")) for c in ("src", "dst"))
+    inside = edges.select("repo", "src", "dst").distinct().join(a, ["repo", "src"]).join(b, ["repo", "dst"]).filter("_src = _dst")
+    e = materialise(inside.select("repo", "src", "dst"), "edges")
     step = e.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
-    paths = e.filter("dst >= src").select("repo", F.array("src").alias("path"), F.col("dst").alias("next"))
-    found = None
-    for length in range(1, max_len + 1):
+    paths = materialise(e.filter("dst >= src").select("repo", F.array("src").alias("path"), F.col("dst").alias("next")), "paths")
+    found, length = None, 1
+    while not paths.isEmpty():
         start = F.col("path")[0]
         closed = paths.filter(F.col("next") == start).select("repo", "path")
         found = closed if found is None else found.unionByName(closed)
@@ -124,8 +180,9 @@ def cycles(edges: DataFrame, max_len: int = 6, trims: int = 2) -> DataFrame:
             break
         open_ = paths.filter((F.col("next") > start) & ~F.array_contains("path", F.col("next")))
         grown = open_.select("repo", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("last"))
-        grown = grown.join(step, ["repo", "last"]).filter(F.col("next") >= F.col("path")[0]).select("repo", "path", "next")
-        paths = materialise(grown, "paths") if length > 1 else grown
+        paths = materialise(grown.join(step, ["repo", "last"]).filter(F.col("next") >= F.col("path")[0]).select("repo", "path", "next"), "paths")
+        length += 1
+    found = paths.select("repo", "path").limit(0) if found is None else found
     return found.select("repo", F.concat_ws(">", "path").alias("cycle"), F.size("path").cast("long").alias("length"))
 
 
@@ -212,12 +269,12 @@ def graph_filter(nodes: DataFrame, kind: str | None = None, name: str | None = N
     return nodes.filter(F.col("kind") == kind) if kind else nodes
 
 
-def edge_filter(edges: DataFrame, source=None, target=None, kind: str | None = None, cap: int = R.EDGE_CAP) -> DataFrame:
-    """Edges by source, target and kind; the look-up gives at most ``cap``, lowest ids first."""
+def edge_filter(edges: DataFrame, source=None, target=None, kind: str | None = None, cap: int | None = None) -> DataFrame:
+    """Edges by source, target and kind; all of them, or the first ``cap`` by ids."""
     for column, value in (("source", source), ("target", target), ("kind", kind)):
         if value is not None:
             edges = edges.filter(F.col(column) == value)
-    return edges.orderBy("source", "target", "kind").limit(cap)
+    return edges.orderBy("source", "target", "kind").limit(cap) if cap else edges
 
 
 # --- layers -----------------------------------------------------------------------------------
@@ -290,7 +347,7 @@ def missing_imports(facts: DataFrame) -> DataFrame:
     """Calls of names that are no builtin and that the file neither defines, assigns nor imports."""
     bound = facts.filter(F.col("kind").isin("def", "class", "arg", "assign", "import")).select(*FACT)
     packages = facts.filter("kind = 'import'").select("repo", "path", F.split("qualifier", "\\.")[0].alias("name"))
-    builtin = F.col("name").isin(R.BUILTIN_FUNCTIONS + R.BUILTIN_NAMES)
+    builtin = F.col("name").isin(R.NEEDS_NO_IMPORT)
     return _called_names(facts).filter(~builtin).join(bound.unionByName(packages).distinct(), FACT, "left_anti")
 
 

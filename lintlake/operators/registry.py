@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.operators import lines as L
 from lintlake.operators.rollups import FINDING, union_findings
@@ -14,7 +14,6 @@ from lintlake.operators.rollups import FINDING, union_findings
 Check = Callable[[dict[str, DataFrame]], DataFrame]
 FileRule = Callable[[str, str], list[tuple[int, str]]]
 RULE_SCHEMA = "repo string, path string, line_no long, rule_id string, message string, error string"
-MAX_RULES = 10_000
 
 
 class Checks:
@@ -65,18 +64,27 @@ def rules_from_json(text: str) -> list[dict]:
 
 
 def rule_rows(pack: DataFrame) -> list[dict]:
-    """V5: an enabled rule table as rows on the driver; its size is checked."""
-    rows = pack.filter("enabled").orderBy("rule_id").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    return [r.asDict() for r in rows]
-
-
-def run_rule_pack(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """V5: all pattern rules in one pass over the files; one finding per (line, rule)."""
-    found = L.line_hits(files, lambda line: line.rlike(L.any_of(r["pattern"] for r in rules)))
-    rows = F.array_compact(F.array(*[
-        F.when(F.col("line").rlike(r["pattern"]), F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("level")))
-        for r in rules
+    """V5: an enabled rule table as rows on the driver: rules are configuration, of any number."""
+    return [r.asDict() for r in pack.filter("enabled").orderBy("rule_id").toLocalIterator()]
+
+
+def run_rule_pack(files: DataFrame, rules: list[dict], group: int = 200) -> DataFrame:
+    """V5: all pattern rules in one pass over the files; one finding per (line, rule). Patterns are searched together in groups of
+    ``group``, so packs of any size stay within the regex engine's and the code generator's limits."""
+    groups = [rules[k : k + group] for k in range(0, len(rules), group)]
+    if not groups:
+        return files.select("repo", "path", F.lit(0).cast("long").alias("line_no"), F.lit("").alias("rule_id"), F.lit("").alias("level")).limit(0)
+
+    def any_rule(line: Column) -> Column:
+        hit = F.lit(False)
+        for part in groups:
+            hit = hit | line.rlike(L.any_of(r["pattern"] for r in part))
+        return hit
+
+    found = L.line_hits(files, any_rule)
+    rows = F.flatten(F.array(*[
+        F.array_compact(F.array(*[
+            F.when(F.col("line").rlike(r["pattern"]), F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("level"))) for r in part
+        ])) for part in groups
     ]))
     return found.select("repo", "path", F.col("line_no").cast("long").alias("line_no"), F.inline(rows))

@@ -93,12 +93,12 @@ def t1_capped_growth_report(spark, sf):
 
 
 @query("a33_drift_score", f"""WITH {CUR_CTE}, {_GROWTH}, k AS (SELECT repo, CASE WHEN change_pct > 100 THEN 20 ELSE 10 END AS cost FROM growth WHERE change_pct > 50
-  UNION ALL SELECT repo, 2 FROM cur c JOIN base b USING (repo, path) WHERE b.content_hash <> c.content_hash AND repo > 'src12')
+  UNION ALL SELECT repo, 2 FROM cur c JOIN base b USING (repo, path) WHERE b.content_hash <> c.content_hash)
   SELECT repo, CAST(greatest(100 - sum(cost), 0) AS BIGINT) AS score FROM k GROUP BY repo""")
 def a33_drift_score(spark, sf):
     base, cur = snapshots(spark, sf)
     grown = D.growth(cur, base).select("repo", F.concat("level", F.lit("_entropy")).alias("kind"))
-    changed = D.changed_files(cur, base).filter("repo > 'src12'").select("repo", F.lit("file_content_changed").alias("kind"))
+    changed = D.changed_files(cur, base).select("repo", F.lit("file_content_changed").alias("kind"))
     return D.drift_score(grown.unionByName(changed))
 
 

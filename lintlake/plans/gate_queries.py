@@ -77,6 +77,11 @@ def p9_size_cut(spark, sf):
     return G.max_size(sized, 2000).select("repo", "path", "size")
 
 
+@query("p9_skipped_files", over_files("SELECT repo, path, 'file-size' AS rule, 'skip' AS level FROM files WHERE octet_length(encode(content)) > 2000"))
+def p9_skipped_files(spark, sf):
+    return G.skipped_files(code_files(spark, sf).withColumn("size", F.octet_length("content").cast("long")), 2000)
+
+
 _SECRET_FINDINGS = " UNION ALL ".join(
     f"SELECT repo, path, {sq(lv)} AS level FROM c WHERE regexp_matches(line, {sq(p)})" for _, p, lv in code_rules.SECRETS)
 
@@ -92,9 +97,9 @@ def j28_core_file_changes(spark, sf):
     return G.core_file_changes(changed_lists(spark, sf)[0])
 
 
-@query("j28_core_change_verdict", over_files(f"SELECT repo, count(*) AS checked, count(rule) AS core_changes, CASE WHEN count(rule) > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM (SELECT repo, {_core_case('path')} AS rule FROM files WHERE doc_id % 36 = 0) GROUP BY repo"))
+@query("j28_core_change_verdict", over_files(f"SELECT repo, count(*) AS checked, count(rule) AS core_changes, CASE WHEN count(rule) > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM (SELECT repo, {_core_case('path')} AS rule FROM files WHERE doc_id % 4 = 0) GROUP BY repo"))
 def j28_core_change_verdict(spark, sf):
-    return G.core_change_verdict(changed_lists(spark, sf)[0].filter("doc_id % 36 = 0"))
+    return G.core_change_verdict(changed_lists(spark, sf)[0])
 
 
 # --- suppressions -----------------------------------------------------------------------------
@@ -200,7 +205,7 @@ def grants(spark, sf):
 
 def usage(spark, sf):
     p = F.col("l_partkey")
-    return table(spark, sf, "lineitem").filter(F.col("l_linenumber") < 3).select(
+    return table(spark, sf, "lineitem").select(
         F.concat(F.lit("tool"), (p % 3).cast("string")).alias("tool"), _pick(USED, (p % 3 + F.col("l_linenumber")) % 4).alias("text"))
 
 
@@ -211,7 +216,7 @@ _RISK = ("CASE " + " ".join(
     + f" WHEN {_SAFE} THEN 'LOW' WHEN {has_any('entry', code_rules.PLAINTEXT_PASSWORD)} THEN 'CRITICAL' WHEN regexp_matches(entry, {sq(code_rules.API_KEY)}) THEN 'CRITICAL' ELSE 'INFO' END")
 GRANTS_CTE = f"""g AS (SELECT 'tool' || (p_partkey % 3) AS tool, ({sql_list(COMMANDS)})[1 + (p_partkey % 13)] || p_partkey || ')' AS entry FROM part),
   graded AS (SELECT tool, entry, CASE WHEN contains(entry, '(') THEN string_split(entry, '(')[1] ELSE 'unknown' END AS type, {_RISK} AS risk FROM g),
-  u AS (SELECT DISTINCT 'tool' || (l_partkey % 3) AS tool, ({sql_list(USED)})[1 + ((l_partkey % 3 + l_linenumber) % 4)] AS text FROM lineitem WHERE l_linenumber < 3),
+  u AS (SELECT DISTINCT 'tool' || (l_partkey % 3) AS tool, ({sql_list(USED)})[1 + ((l_partkey % 3 + l_linenumber) % 4)] AS text FROM lineitem),
   used AS (SELECT DISTINCT tool, trim(string_split(c, '(')[1]) AS used FROM (SELECT tool, unnest(regexp_extract_all(text, 'Bash\\(([^)]+)\\)', 1)) AS c FROM u)),
   idle AS (SELECT * FROM graded g WHERE risk <> 'LOW' AND NOT EXISTS (SELECT 1 FROM used WHERE used.tool = g.tool AND contains(used.used, g.type)))"""
 
@@ -241,14 +246,14 @@ def a46_idle_suggestions(spark, sf):
 
 ROOT_NAMES = R.SENSITIVE_FILES + ["README.md", "main.py"]
 IGNORE_TEXT = [".env*", "# .env.prod", "credentials.json", "*.pyc", "secrets/", ".ssh", "id_rsa", "", ".aws and .config"]
-ROOTS_CTE = f"""rootf AS (SELECT DISTINCT 'r' || p_brand AS repo, ({sql_list(ROOT_NAMES)})[1 + (p_partkey % {len(ROOT_NAMES)})] AS name FROM part WHERE p_size < 25),
+ROOTS_CTE = f"""rootf AS (SELECT DISTINCT 'r' || p_brand AS repo, ({sql_list(ROOT_NAMES)})[1 + (p_partkey % {len(ROOT_NAMES)})] AS name FROM part),
   ign AS (SELECT 'r' || p_brand AS repo, ({sql_list(IGNORE_TEXT)})[1 + (p_size % {len(IGNORE_TEXT)})] AS line FROM part WHERE p_partkey % 9 = 0 AND p_brand <> 'Brand#3')"""
 
 
 def root_tables(spark, sf):
     part = table(spark, sf, "part")
     repo = F.concat(F.lit("r"), "p_brand").alias("repo")
-    files = part.filter("p_size < 25").select(repo, _pick(ROOT_NAMES, F.col("p_partkey") % len(ROOT_NAMES)).alias("path"))
+    files = part.select(repo, _pick(ROOT_NAMES, F.col("p_partkey") % len(ROOT_NAMES)).alias("path"))
     ignores = part.filter("p_partkey % 9 = 0 AND p_brand <> 'Brand#3'").select(repo, _pick(IGNORE_TEXT, F.col("p_size") % len(IGNORE_TEXT)).alias("line"))
     return files, ignores
 
@@ -291,7 +296,7 @@ def a47_leak_rollup(spark, sf):
 
 TEST_DIRS = ["services", "core", "api", "lib", "models", "services"]
 TFILES_CTE = f"""tf AS (SELECT DISTINCT repo, path FROM (SELECT 'r' || (l_suppkey % 7) AS repo, CASE WHEN l_linenumber < 4 THEN ({sql_list(TEST_DIRS)})[1 + (l_partkey % 6)] || '/x/f' || (l_partkey % 400) || '.py'
-  WHEN l_linenumber = 4 THEN ({sql_list(TEST_DIRS)})[1 + (l_partkey % 6)] || '/__init__.py' ELSE 'tests/unit/' || ({sql_list(TEST_DIRS)})[1 + (l_partkey % 6)] || '/test_f' || (l_partkey % 400) || '.py' END AS path FROM lineitem WHERE l_quantity > 45))"""
+  WHEN l_linenumber = 4 THEN ({sql_list(TEST_DIRS)})[1 + (l_partkey % 6)] || '/__init__.py' ELSE 'tests/unit/' || ({sql_list(TEST_DIRS)})[1 + (l_partkey % 6)] || '/test_f' || (l_partkey % 400) || '.py' END AS path FROM lineitem))"""
 
 
 def test_tree(spark, sf):
@@ -300,7 +305,7 @@ def test_tree(spark, sf):
         F.when(F.col("l_linenumber") < 4, F.concat(d, F.lit("/x/f"), n, F.lit(".py"))).when(F.col("l_linenumber") == 4, F.concat(d, F.lit("/__init__.py")))
         .otherwise(F.concat(F.lit("tests/unit/"), d, F.lit("/test_f"), n, F.lit(".py")))
     )
-    return table(spark, sf, "lineitem").filter("l_quantity > 45").select(
+    return table(spark, sf, "lineitem").select(
         F.concat(F.lit("r"), (F.col("l_suppkey") % 7).cast("string")).alias("repo"), path.alias("path")).distinct()
 
 

@@ -12,10 +12,6 @@ from lintlake.plans.scoring_queries import _pick
 from lintlake.rules import code_rules, graph_rules as R
 
 
-def code_facts(spark, sf):
-    return V.extract_facts(code_files(spark, sf))
-
-
 # --- facts of the derived corpus, checked by patterns that fit its templates --------------------
 
 _IMPORT = r"^(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import\s+(.+))$"
@@ -24,74 +20,20 @@ _IMPORT = r"^(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import\s+(.+))$"
 @query("v4_import_facts", over_lines(rf"""SELECT path, line_no, CASE WHEN m[2] <> '' THEN m[2] ELSE m[3] END AS module, CASE WHEN m[2] <> '' THEN m[2] ELSE trim(unnest(string_split(m[4], ','))) END AS imported
   FROM (SELECT path, line_no, [''] || [regexp_extract(line, {sq(_IMPORT)}, 1), regexp_extract(line, {sq(_IMPORT)}, 2), regexp_extract(line, {sq(_IMPORT)}, 3)] AS m FROM lines WHERE ext = 'py' AND regexp_matches(line, {sq(_IMPORT)}))"""))
 def v4_import_facts(spark, sf):
-    return code_facts(spark, sf).filter("kind = 'import'").select(
-        "path", F.col("line_no").cast("long").alias("line_no"), F.col("qualifier").alias("module"), F.col("signature").alias("imported")
-    )
+    return V.import_facts(L.to_lines(code_files(spark, sf))).select("path", F.col("line_no").cast("long").alias("line_no"), "module", "imported")
 
 
 @query("v4_definition_facts", over_lines(r"""SELECT path, line_no, regexp_extract(line, '^\s*(?:async\s+)?(def|class)\s+(\w+)', 1) AS kind, regexp_extract(line, '^\s*(?:async\s+)?(def|class)\s+(\w+)', 2) AS name,
   regexp_matches(line, '^\s*async') AS is_async FROM lines WHERE ext = 'py' AND regexp_matches(line, '^\s*(?:async\s+)?(def|class)\s+\w+')"""))
 def v4_definition_facts(spark, sf):
-    return code_facts(spark, sf).filter("kind IN ('def', 'class')").select(
-        "path", F.col("line_no").cast("long").alias("line_no"), "kind", "name", "is_async"
-    )
-
-
-@query("v4_fact_counts")
-def v4_fact_counts(spark, sf):
-    return code_facts(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("r38_async_safety", over_lines(r"""SELECT path, line_no, 'create_task' AS name, 'fire_and_forget' AS rule FROM lines WHERE ext = 'py' AND starts_with(line, 'asyncio.create_task(')
-  UNION ALL SELECT path, line_no, 'fetch_rows', 'discarded_await' FROM lines WHERE ext = 'py' AND line = '    await fetch_rows(1)'
-  UNION ALL SELECT path, line_no, regexp_extract(line, '(load_\d)\(3\)', 1), 'sync_calls_async' FROM lines l WHERE ext = 'py' AND regexp_matches(line, '^    load_\d\(3\)')
-    AND EXISTS (SELECT 1 FROM lines d WHERE d.path = l.path AND starts_with(d.line, 'async def ' || regexp_extract(l.line, '(load_\d)\(3\)', 1) || '('))"""))
-def r38_async_safety(spark, sf):
-    return G.async_safety(code_facts(spark, sf)).select("path", F.col("line_no").cast("long").alias("line_no"), "name", "rule")
-
-
-@query("r39_cyclomatic_complexity", over_lines(r"""SELECT repo, path, line_no, regexp_extract(line, 'def (\w+)', 1) AS name, 19::BIGINT AS cyclomatic FROM lines WHERE ext = 'py' AND starts_with(line, 'def heavy_')"""))
-def r39_cyclomatic_complexity(spark, sf):
-    return G.complex_functions(code_facts(spark, sf), "cyclomatic", 10).withColumns(
-        {c: F.col(c).cast("long") for c in ("line_no", "cyclomatic")})
-
-
-@query("r40_cognitive_complexity", over_lines(r"""SELECT repo, path, line_no, regexp_extract(line, 'def (\w+)', 1) AS name, 18::BIGINT AS cognitive FROM lines WHERE ext = 'py' AND starts_with(line, 'def heavy_')"""))
-def r40_cognitive_complexity(spark, sf):
-    return G.complex_functions(code_facts(spark, sf), "cognitive", 15).withColumns(
-        {c: F.col(c).cast("long") for c in ("line_no", "cognitive")})
-
-
-@query("r41_dead_code", over_lines("SELECT repo, path, line_no FROM lines WHERE ext = 'py' AND line = '    if a: print(a); return 1'"))
-def r41_dead_code(spark, sf):
-    return G.dead_code(code_facts(spark, sf)).withColumn("line_no", F.col("line_no").cast("long"))
-
-
-_API_PATH = r"(^|/)(api|app|routers|views|endpoints)/|/(routes|views)\.py$"
-_ENDPOINTS = rf"""eps AS (SELECT repo, path, line_no + 1 AS line_no, upper(regexp_extract(line, '^@router\.(\w+)\(', 1)) AS method, regexp_extract(line, '"([^"]+)"', 1) AS route, contains(line, 'response_model') AS standard,
-  NOT contains(line, 'delete') AS returns_json, CASE WHEN contains(line, '.post') THEN 201 ELSE 200 END AS status_code FROM lines
-  WHERE ext = 'py' AND starts_with(line, '@router.') AND regexp_matches(path, '{_API_PATH}') AND NOT regexp_matches(path, 'test_|/tests?/'))"""
-
-
-@query("a37_api_conformance", over_lines("SELECT * FROM eps", ctes=_ENDPOINTS))
-def a37_api_conformance(spark, sf):
-    return V.api_conformance(V.extract_endpoints(code_files(spark, sf))).drop("function").withColumn("line_no", F.col("line_no").cast("long"))
-
-
-@query("a37_api_conformance_by_repo", over_lines("SELECT repo, count(*) AS endpoints, count(*) FILTER (WHERE standard) AS standard, count(*) FILTER (WHERE NOT returns_json) AS not_json FROM eps GROUP BY repo", ctes=_ENDPOINTS))
-def a37_api_conformance_by_repo(spark, sf):
-    return V.api_conformance_summary(V.api_conformance(V.extract_endpoints(code_files(spark, sf))))
-
-
-@query("g2_call_edges_in_code")
-def g2_call_edges_in_code(spark, sf):
-    return G.call_edges(code_facts(spark, sf).filter("kind = 'call'"))
+    return V.definition_facts(L.to_lines(code_files(spark, sf))).select("path", F.col("line_no").cast("long").alias("line_no"), "kind", "name", "is_async")
 
 
 # --- a relational fact table from the order lines -----------------------------------------------
 
-FACTS_CTE = """facts AS (SELECT 'r' || (l_suppkey % 5) AS repo, 'd' || (l_suppkey % 10) || '/m' || l_suppkey || '.py' AS path,
-  (['def', 'call', 'import', 'assign', 'call', 'export', 'use'])[1 + ((l_linenumber + l_partkey) % 7)] AS kind, 'n' || (l_partkey % 700) AS name,
+CALLED = ["print", "len", "breakpoint", "exit", "reduce", "__import__", "fetch_rows", "create_task", "pytest", "ValueError"]
+FACTS_CTE = f"""facts AS (SELECT 'r' || (l_suppkey % 5) AS repo, 'd' || (l_suppkey % 10) || '/m' || l_suppkey || '.py' AS path,
+  (['def', 'call', 'import', 'assign', 'call', 'export', 'use'])[1 + ((l_linenumber + l_partkey) % 7)] AS kind, CASE WHEN l_partkey % 700 < 40 THEN ({sql_list(CALLED)})[1 + (l_partkey % 700 % {len(CALLED)})] ELSE 'n' || (l_partkey % 700) END AS name,
   (['name', 'attribute', 'subscript', 'other'])[1 + (l_orderkey % 4)] AS qualifier, l_linenumber AS line_no, l_returnflag = 'A' AS is_async, 'fn' || (l_orderkey % 30) AS enclosing,
   (['self', 'obj', 'n' || (l_orderkey % 300)])[1 + (l_orderkey % 3)] AS signature FROM lineitem)"""
 
@@ -104,7 +46,7 @@ def fact_table(spark, sf):
     return table(spark, sf, "lineitem").select(
         F.concat(F.lit("r"), s(k % 5)).alias("repo"), F.concat(F.lit("d"), s(k % 10), F.lit("/m"), s(k), F.lit(".py")).alias("path"),
         _pick(["def", "call", "import", "assign", "call", "export", "use"], (F.col("l_linenumber") + p) % 7).alias("kind"),
-        F.concat(F.lit("n"), s(p % 700)).alias("name"), _pick(["name", "attribute", "subscript", "other"], o % 4).alias("qualifier"),
+        F.when(p % 700 < 40, _pick(CALLED, p % 700 % len(CALLED))).otherwise(F.concat(F.lit("n"), s(p % 700))).alias("name"), _pick(["name", "attribute", "subscript", "other"], o % 4).alias("qualifier"),
         F.col("l_linenumber").alias("line_no"), (F.col("l_returnflag") == "A").alias("is_async"),
         F.concat(F.lit("fn"), s(o % 30)).alias("enclosing"),
         F.when(o % 3 == 0, "self").when(o % 3 == 1, "obj").otherwise(F.concat(F.lit("n"), s(o % 300))).alias("signature"),
@@ -112,9 +54,9 @@ def fact_table(spark, sf):
     )
 
 
-_MISSING = """called AS (SELECT repo, path, line_no, CASE WHEN qualifier = 'name' THEN name WHEN qualifier = 'attribute' AND signature NOT IN ('self', '') THEN signature END AS name FROM facts WHERE kind = 'call'),
+_MISSING = f"""called AS (SELECT repo, path, line_no, CASE WHEN qualifier = 'name' THEN name WHEN qualifier = 'attribute' AND signature NOT IN ('self', '') THEN signature END AS name FROM facts WHERE kind = 'call'),
   bound AS (SELECT repo, path, name FROM facts WHERE kind IN ('def', 'assign', 'import') UNION SELECT repo, path, qualifier FROM facts WHERE kind = 'import'),
-  missing AS (SELECT repo, path, name, line_no FROM called c WHERE name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bound b WHERE b.repo = c.repo AND b.path = c.path AND b.name = c.name))"""
+  missing AS (SELECT repo, path, name, line_no FROM called c WHERE name IS NOT NULL AND name NOT IN {sql_in(R.NEEDS_NO_IMPORT)} AND NOT EXISTS (SELECT 1 FROM bound b WHERE b.repo = c.repo AND b.path = c.path AND b.name = c.name))"""
 
 
 @query("j8_missing_imports", f"WITH {FACTS_CTE}, {_MISSING} SELECT * FROM missing")
@@ -122,9 +64,34 @@ def j8_missing_imports(spark, sf):
     return G.missing_imports(fact_table(spark, sf))
 
 
-@query("j8_missing_imports_in_code")
-def j8_missing_imports_in_code(spark, sf):
-    return G.missing_imports(code_facts(spark, sf))
+ASYNC_CTE = """af AS (SELECT 'r' || (l_suppkey % 5) AS repo, 'd/m' || l_suppkey || '.py' AS path, CASE WHEN l_linenumber < 4 THEN 'call' ELSE 'def' END AS kind,
+  (['create_task', 'fetch_rows', 'loadItems', 'n' || (l_partkey % 40)])[1 + (l_partkey % 4)] AS name, (['name', 'attribute', 'other'])[1 + (l_orderkey % 3)] AS qualifier, l_linenumber AS line_no,
+  l_returnflag = 'A' AS is_async, l_linestatus = 'O' AS is_awaited, CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'n' || (l_orderkey % 40) END AS enclosing, CASE WHEN l_discount > 0.05 THEN 'dropped' ELSE '' END AS body FROM lineitem)"""
+
+
+def async_facts(spark, sf):
+    def s(c):
+        return c.cast("string")
+
+    o, p, k = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    return table(spark, sf, "lineitem").select(
+        F.concat(F.lit("r"), s(k % 5)).alias("repo"), F.concat(F.lit("d/m"), s(k), F.lit(".py")).alias("path"),
+        F.when(F.col("l_linenumber") < 4, "call").otherwise("def").alias("kind"),
+        F.when(p % 4 == 0, "create_task").when(p % 4 == 1, "fetch_rows").when(p % 4 == 2, "loadItems").otherwise(F.concat(F.lit("n"), s(p % 40))).alias("name"),
+        _pick(["name", "attribute", "other"], o % 3).alias("qualifier"), F.col("l_linenumber").alias("line_no"),
+        (F.col("l_returnflag") == "A").alias("is_async"), (F.col("l_linestatus") == "O").alias("is_awaited"),
+        F.when(o % 5 == 0, "").otherwise(F.concat(F.lit("n"), s(o % 40))).alias("enclosing"),
+        F.when(F.col("l_discount") > 0.05, "dropped").otherwise("").alias("body_hash"),
+    )
+
+
+@query("r38_async_safety", f"""WITH {ASYNC_CTE}, c AS (SELECT * FROM af WHERE kind = 'call'), d AS (SELECT DISTINCT repo, path, name, is_async FROM af WHERE kind = 'def')
+  SELECT repo, path, line_no, name, 'fire_and_forget' AS rule FROM c WHERE qualifier = 'attribute' AND name = 'create_task' AND body = 'dropped' AND NOT is_awaited
+  UNION ALL SELECT repo, path, line_no, name, 'discarded_await' FROM c WHERE is_awaited AND body = 'dropped' AND regexp_matches(lower(name), '{'|'.join(R.FETCH_WORDS)}')
+  UNION ALL SELECT repo, path, line_no, name, 'sync_calls_async' FROM c WHERE NOT is_awaited AND enclosing <> '' AND qualifier IN ('name', 'attribute')
+    AND EXISTS (SELECT 1 FROM d WHERE d.repo = c.repo AND d.path = c.path AND d.name = c.name AND is_async) AND EXISTS (SELECT 1 FROM d WHERE d.repo = c.repo AND d.path = c.path AND d.name = c.enclosing AND NOT is_async)""")
+def r38_async_safety(spark, sf):
+    return G.async_safety(async_facts(spark, sf))
 
 
 @query("j9_definition_hints", f"""WITH {FACTS_CTE}, {_MISSING}, w AS (SELECT DISTINCT repo, path, name FROM missing) SELECT repo, path, name,
@@ -250,7 +217,7 @@ def p12_node_filter(spark, sf):
     return G.graph_filter(graph_nodes(spark, sf), "function", "debounce", ".TS").select("id", "name", "file_path")
 
 
-@query("p12_edge_filter", f"WITH {GEDGES_CTE} SELECT source, target, kind FROM gedges WHERE kind = 'calls' ORDER BY source, target, kind LIMIT 1000")
+@query("p12_edge_filter", f"WITH {GEDGES_CTE} SELECT source, target, kind FROM gedges WHERE kind = 'calls'")
 def p12_edge_filter(spark, sf):
     return G.edge_filter(graph_edges(spark, sf), kind="calls")
 
@@ -258,7 +225,7 @@ def p12_edge_filter(spark, sf):
 # --- import graph -----------------------------------------------------------------------------
 
 IMPORTS_CTE = """imports AS (SELECT 'r' || (l_suppkey % 4) AS repo, 'pkg.m' || (l_suppkey % 200) AS src, CASE WHEN l_linenumber < 5 THEN 'pkg' ELSE 'pkg.m' || (l_partkey % 90) END AS qualifier,
-    CASE WHEN l_linenumber < 5 THEN 'm' || (l_partkey % 150) ELSE 'x' END AS name FROM lineitem WHERE l_quantity > 40),
+    CASE WHEN l_linenumber < 5 THEN 'm' || (l_partkey % 150) ELSE 'x' END AS name FROM lineitem),
   modules AS (SELECT DISTINCT repo, src AS module FROM imports),
   edges AS (SELECT DISTINCT i.repo, i.src, m.module AS dst FROM imports i JOIN modules m ON m.repo = i.repo AND (m.module = i.qualifier || '.' || i.name OR m.module = i.qualifier))"""
 
@@ -268,7 +235,7 @@ def import_table(spark, sf):
         return c.cast("string")
 
     low = F.col("l_linenumber") < 5
-    return table(spark, sf, "lineitem").filter("l_quantity > 40").select(
+    return table(spark, sf, "lineitem").select(
         F.concat(F.lit("r"), s(F.col("l_suppkey") % 4)).alias("repo"), F.concat(F.lit("pkg.m"), s(F.col("l_suppkey") % 200)).alias("src"),
         F.when(low, "pkg").otherwise(F.concat(F.lit("pkg.m"), s(F.col("l_partkey") % 90))).alias("qualifier"),
         F.when(low, F.concat(F.lit("m"), s(F.col("l_partkey") % 150))).otherwise("x").alias("name"),
@@ -306,28 +273,11 @@ def g4_core_depends_on_edge(spark, sf):
     return G.core_depends_on_edge(edges, G.core_modules(edges))
 
 
-_SPARSE = """e AS (SELECT repo, src, dst FROM (SELECT 'all' AS repo, 'm' || l_suppkey AS src, 'm' || (l_partkey % (SELECT count(*) FROM supplier)) AS dst, count(*) AS n FROM lineitem GROUP BY ALL)
-  QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 2)"""
-
-
-def sparse_edges(spark, sf):
-    """The two strongest targets of each supplier; row_number <= 2 is a bounded top-n per source."""
-    from pyspark.sql import Window as W
-
-    n = table(spark, sf, "supplier").count()
-    counted = table(spark, sf, "lineitem").groupBy(
-        F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("src"),
-        F.concat(F.lit("m"), (F.col("l_partkey") % n).cast("string")).alias("dst"),
-    ).agg(F.count("*").alias("n"))
-    best = F.row_number().over(W.partitionBy("src").orderBy(F.desc("n"), "dst"))
-    return counted.withColumn("_k", best).filter("_k <= 2").select(F.lit("all").alias("repo"), "src", "dst")
-
-
-@query("g3_import_cycles", f"""WITH RECURSIVE {_SPARSE}, p AS (SELECT repo, [src] AS path, dst AS next FROM e WHERE dst >= src UNION ALL
-  SELECT p.repo, list_append(p.path, p.next), e.dst FROM p JOIN e ON e.repo = p.repo AND e.src = p.next WHERE p.next > p.path[1] AND NOT list_contains(p.path, p.next) AND len(p.path) < 6 AND e.dst >= p.path[1])
-  SELECT repo, array_to_string(path, '>') AS cycle, CAST(len(path) AS BIGINT) AS length FROM p WHERE next = path[1]""")
+@query("g3_import_cycles", f"""WITH RECURSIVE {IMPORTS_CTE}, e AS (SELECT repo, src, dst FROM edges), reach AS (SELECT repo, src, dst FROM e UNION SELECT r.repo, r.src, e.dst FROM reach r JOIN e ON e.repo = r.repo AND e.src = r.dst),
+  parts AS (SELECT a.repo, a.src AS module, min(a.dst) AS cycle FROM reach a JOIN reach b ON b.repo = a.repo AND b.src = a.dst AND b.dst = a.src GROUP BY a.repo, a.src)
+  SELECT repo, module, cycle, count(*) OVER (PARTITION BY repo, cycle) AS modules FROM parts""")
 def g3_import_cycles(spark, sf):
-    return G.cycles(sparse_edges(spark, sf))
+    return G.cycle_groups(module_edges(spark, sf))
 
 
 # --- layers -----------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.operators import memory as M
+from lintlake.operators.ranking import rank_within
 from lintlake.plans.corpus import spread, table
 from lintlake.plans.model import ERRORS_CTE, errors, latest_ts
 from lintlake.plans.registry import query, sq, sql_list, sql_values
@@ -139,13 +140,13 @@ def a51_redline_counts(spark, sf):
     return M.severity_counts(redlines(spark, sf))
 
 
-@query("t4_ordered_redlines", f"WITH {REDLINES_CTE} SELECT id, severity, row_number() OVER (ORDER BY severity DESC, created_at DESC, id) AS rank FROM redlines QUALIFY rank <= 100")
+@query("t4_ordered_redlines", f"WITH {REDLINES_CTE} SELECT id, severity, row_number() OVER (ORDER BY severity DESC, created_at DESC, id) AS rank FROM redlines")
 def t4_ordered_redlines(spark, sf):
-    from pyspark.sql import Window as W
-
-    order = [F.desc("severity"), F.desc("created_at"), F.col("id")]
-    top = redlines(spark, sf).orderBy(*order).limit(100)
-    return top.select("id", "severity", F.row_number().over(W.orderBy(*order)).cast("long").alias("rank"))
+    # ranks come from (severity, time) blocks, so no task sorts the whole table
+    ordered = redlines(spark, sf).withColumn("_all", F.lit(0))
+    block = F.when(F.col("severity") == "warning", 0).when(F.col("severity") == "info", 1).otherwise(2)
+    ranked = rank_within(ordered, ["_all"], [("_b", block), ("_c", -F.floor(F.col("created_at") / 64))], [F.desc("created_at"), F.col("id")])
+    return ranked.select("id", "severity", F.col("rank").cast("long").alias("rank"))
 
 
 @query("t4_ordered_templates", f"WITH {TEMPLATES_CTE} SELECT id, importance FROM templates ORDER BY importance DESC, created_at DESC, id LIMIT 50")

@@ -161,7 +161,8 @@ def stream_check(changes: DataFrame, check: Callable[[DataFrame], DataFrame], pa
 def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all data there is now and read its result.
 
-    Append: all rows. Complete: what the newest micro-batch gave. Update: of each key (``keys``) the newest row.
+    Append: all rows. Complete: what the newest micro-batch gave. Update: of each key (``keys``) the newest row,
+    without keys every row given.
     """
     spark = stream.sparkSession
     path, checkpoint = work_path(spark, name), work_path(spark, f"{name}-checkpoint")
@@ -179,5 +180,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] |
     if mode == "complete":
         newest = rows.agg(F.max("batch").alias("batch"))
         return rows.join(F.broadcast(newest), "batch", "left_semi").select(*stream.columns)  # one row
+    if not keys:
+        return rows.select(*stream.columns)
     rest = [c for c in stream.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*[c if c in keys else f"_r.{c}" for c in stream.columns])

@@ -39,22 +39,53 @@ def test_cycles_against_brute_force(spark):
 
     for node in out:
         walk([node])
-    assert {r.cycle for r in G.cycles(edges(spark, pairs)).collect()} == want
+    assert {r.cycle for r in G.cycles(edges(spark, pairs), 6).collect()} == want
 
 
-def test_facts_and_parse_errors(spark):
-    code = "import os.path\nfrom a import b as c\nasync def f(x, /, y, *, z=1, **k):\n    await g()\n"
-    df = spark.createDataFrame([("r", "a.py", "py", code), ("r", "bad.py", "py", "def (")], "repo string, path string, ext string, content string")
-    rows = V.extract_facts(df).collect()
-    assert [(r.name, r.qualifier) for r in rows if r.kind == "import" and r.name == "c"] == [("c", "a")]
-    assert [r.signature for r in rows if r.kind == "def"] == ["(x, /, y, *, z, **k)"]
-    assert [(r.name, r.is_awaited, r.enclosing) for r in rows if r.kind == "call"] == [("g", True, "f")]
-    assert [r.path for r in rows if r.kind == "parse_error"] == ["bad.py"]
+def test_cycle_groups_of_any_length(spark):
+    ring = lambda tag, n: [(f"{tag}{k:02d}", f"{tag}{(k + 1) % n:02d}") for k in range(n)]
+    dense = [(f"d{a}", f"d{b}") for a in range(12) for b in range(12) if a != b]
+    pairs = ring("a", 8) + ring("b", 50) + dense + [("x", "a00"), ("b03", "y"), ("s", "s"), ("d0", "t"), ("t", "u"), ("a00", "b00")]
+    got = {r.module: (r.cycle, r.modules) for r in G.cycle_groups(edges(spark, pairs)).collect()}
+    want = {f"a{k:02d}": ("a00", 8) for k in range(8)} | {f"b{k:02d}": ("b00", 50) for k in range(50)}
+    want |= {f"d{k}": ("d0", 12) for k in range(12)} | {"s": ("s", 1)}
+    assert got == want
+
+
+def test_cycles_have_no_length_bound(spark):
+    pairs = [(f"m{k}", f"m{(k + 1) % 8}") for k in range(8)] + [("m3", "m1")]
+    got = {(r.cycle, r.length) for r in G.cycles(edges(spark, pairs)).collect()}
+    assert got == {("m0>m1>m2>m3>m4>m5>m6>m7", 8), ("m1>m2>m3", 3)}
+    assert {r.length for r in G.cycles(edges(spark, pairs), 4).collect()} == {3}
+    assert G.cycle_groups(edges(spark, [("a", "b"), ("b", "c")])).count() == 0 and G.cycles(edges(spark, [("a", "b")])).count() == 0
+
+
+def test_line_facts(spark):
+    code = ["import os.path", "from a import b as c, d", "    async def f(x):", "class K:", "x = import_it", "define = 1"]
+    lines = spark.createDataFrame([("r", "a.py", "py", k, t) for k, t in enumerate(code, 1)], "repo string, path string, ext string, line_no int, line string")
+    assert sorted((r.module, r.imported) for r in V.import_facts(lines).collect()) == [("a", "b as c"), ("a", "d"), ("os.path", "os.path")]
+    assert sorted((r.kind, r.name, r.is_async) for r in V.definition_facts(lines).collect()) == [("class", "K", False), ("def", "f", True)]
+
+
+def test_names_that_need_no_import(spark):
+    free = ["print", "breakpoint", "exit", "quit", "help", "reduce", "__import__", "pytest", "mock", "patch", "xfail", "ValueError", "Ellipsis"]
+    calls = [("r", "a.py", "call", n, "name", "", k) for k, n in enumerate([*free, "frobnicate"])]
+    facts = spark.createDataFrame(calls, "repo string, path string, kind string, name string, qualifier string, signature string, line_no int")
+    assert [r.name for r in G.missing_imports(facts).collect()] == ["frobnicate"]
+
+
+def test_rule_packs_of_any_size(spark):
+    rules = [{"rule_id": f"R{k}", "pattern": f"word{k}\\b", "severity": "LOW"} for k in range(450)]
+    files = spark.createDataFrame([("r", "a.py", "py", "x word7\nword449 word200\nnone")], "repo string, path string, ext string, content string")
+    got = sorted((r.line_no, r.rule_id) for r in registry.run_rule_pack(files, rules).collect())
+    assert got == [(1, "R7"), (2, "R200"), (2, "R449")]
+    assert registry.run_rule_pack(files, []).count() == 0
 
 
-def test_body_changes_change_the_hash():
-    one, two, three = (next(f for f in V.file_facts(t) if f[0] == "def") for t in ("def f():\n return 1", "def f():\n return 2", "\n\ndef f():\n return 1"))
-    assert one[8] != two[8] and one[8] == three[8]
+def test_large_files_are_reported(spark):
+    files = spark.createDataFrame([("r", "a", 10), ("r", "b", 3_000_000), ("r", "c", None)], "repo string, path string, size long")
+    assert [r.path for r in GT.skipped_files(files).collect()] == ["b"]
+    assert sorted(r.path for r in GT.max_size(files).collect()) == ["a", "c"]
 
 
 def test_contract_breaks(spark):
