@@ -131,7 +131,7 @@ def apply_suppressions(findings: DataFrame, files: DataFrame, marker: str, ignor
 # --- S7/J18: dependencies ---------------------------------------------------------------------
 
 def extract_dependencies(files: DataFrame) -> DataFrame:
-    """Packages of requirements.txt (by line) and package.json (both dependency maps)."""
+    """Packages of requirements.txt (by line), package.json (both dependency maps) and pyproject.toml (the project's list)."""
     name = file_name(F.col("path"))
     found = line_hits(
         files.filter(name == "requirements.txt"), lambda line: line.rlike(R.REQUIREMENT) & ~line.rlike(r"^\s*[#-]"),
@@ -153,7 +153,15 @@ def extract_dependencies(files: DataFrame) -> DataFrame:
         "repo", "path", F.lit("node").alias("ecosystem"), "package", F.regexp_extract("_spec", r"([\d.]+)", 1).alias("version"),
         F.lit(0).cast("long").alias("line_no"),
     ).filter("version <> ''")
-    return python.unionByName(node)
+    # the array of [project], up to the next table; entries without a plain version are no match
+    project = F.regexp_extract("content", r"(?s)(?:^|\n)\[project\][^\n]*\n(.*?)(?:\n\[\w|$)", 1)
+    entries = F.regexp_extract(project, r"(?s)(?:^|\n)dependencies\s*=\s*\[(.*?)\]\s*(?:\n|$)", 1)
+    pattern = r"[\"']([a-zA-Z0-9_-]+)[=<>!~]+([\d.]+)"
+    pairs = F.arrays_zip(*[F.regexp_extract_all(entries, F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "package"), (2, "version"))])
+    toml = files.filter(name == "pyproject.toml").select("repo", "path", F.inline(pairs)).select(
+        "repo", "path", F.lit("python").alias("ecosystem"), "package", "version", F.lit(0).cast("long").alias("line_no")
+    )
+    return python.unionByName(node).unionByName(toml)
 
 
 def vulnerabilities(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lintlake.operators.ranking import rank_within
 from lintlake.operators.lines import contains_any
 from lintlake.operators.timeline import DAY, running
 from lintlake.rules import scoring_rules as R
@@ -261,3 +262,9 @@ def infer_principles(message: Column, has_python: Column, has_tests: Column) ->
         F.when(has_python & ~has_tests, F.lit("run_checks")),
     ))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("follow_style")))
+
+
+def ordered_skills(skills: DataFrame) -> DataFrame:
+    """T4: the active skills of each tool by falling priority, with rank."""
+    active = skills.filter("is_active")
+    return rank_within(active, ["tool"], [("_p", -F.col("priority"))], [F.col("id")])

@@ -140,7 +140,7 @@ def scan_async_no_try(files: DataFrame) -> DataFrame:
 def secret_line(line: Column) -> Column:
     """Cheap word test first, patterns only where it holds."""
     return (
-        L.contains_any(F.lower(line), R.SECRET_HINTS)
+        L.let(F.lower(line), lambda low: L.contains_any(low, R.SECRET_HINTS))
         & line.rlike(L.any_of(p for _, p, _ in R.SECRETS)) & ~line.rlike(L.COMMENT) & ~line.rlike(R.PLACEHOLDER)
     )
 
@@ -158,7 +158,7 @@ def scan_secrets(files: DataFrame) -> DataFrame:
 
 
 def license_line(line: Column) -> Column:
-    return L.contains_any(F.lower(line), R.LICENSE_WORDS)
+    return L.let(F.lower(line), lambda low: L.contains_any(low, R.LICENSE_WORDS))
 
 
 def contact_line(line: Column) -> Column:
@@ -527,7 +527,7 @@ def keyword_complexity(content: Column) -> Column:
     """1 + the number of (line, keyword) pairs present."""
     def per_line(line: Column) -> Column:
         padded = F.concat(F.lit(" "), F.regexp_replace(line, r"^\s+|\s+$", ""), F.lit(" "))
-        return sum((padded.contains(f" {w} ").cast("int") for w in R.COMPLEXITY_WORDS), F.lit(0))
+        return L.let(padded, lambda p: sum((p.contains(f" {w} ").cast("int") for w in R.COMPLEXITY_WORDS), F.lit(0)))
 
     return (F.aggregate(F.transform(F.split(content, "\n"), per_line), F.lit(1), lambda acc, n: acc + n)).cast("long")
 

@@ -136,6 +136,15 @@ def evolution_total(scores: DataFrame, weights: dict[str, float] = R.DIMENSION_W
     return scores.withColumn("total_score", sum((F.col(d) * w for d, w in weights.items()), F.lit(0.0)))
 
 
+def evolution_status(totals: DataFrame) -> DataFrame:
+    """``evaluated`` with the total score, or ``insufficient_data`` with 0 where the window held no metric."""
+    some = F.col("metrics_count") > 0
+    return totals.select(
+        F.when(some, "evaluated").otherwise("insufficient_data").alias("status"), F.when(some, F.col("total_score")).otherwise(0.0).alias("score"),
+        "metrics_count",
+    )
+
+
 def fatigue(scores: DataFrame, weights: dict[str, float] = R.DIMENSION_WEIGHTS) -> DataFrame:
     """Share and weight of the high negative dimensions, and the status."""
     negative = {d: w for d, w in weights.items() if w < 0}

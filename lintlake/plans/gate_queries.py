@@ -159,6 +159,18 @@ def s7_dependencies(spark, sf):
     return G.extract_dependencies(manifests(spark, sf))
 
 
+@query("s7_pyproject_dependencies", """SELECT 'r' || p_brand AS repo, 'svc' || p_partkey || '/pyproject.toml' AS path, unnest(['lib' || (p_size % 7), 'web-kit']) AS package, unnest(['1.' || p_size, '2.0']) AS version FROM part""")
+def s7_pyproject_dependencies(spark, sf):
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    content = F.concat(
+        F.lit('[build]\ndependencies = ["no==1.0"]\n[project]\nname = "x"\ndependencies = [\n  "lib'), (size % 7).cast("string"), F.lit("=="), F.lit("1."),
+        size.cast("string"), F.lit("\",\n  'web-kit>=2.0,<3',\n  \"bare\"\n]\n[tool.x]\ndependencies = [\"other==3\"]\n"),
+    )
+    files = table(spark, sf, "part").select(
+        F.concat(F.lit("r"), "p_brand").alias("repo"), F.concat(F.lit("svc"), k, F.lit("/pyproject.toml")).alias("path"), content.alias("content"))
+    return G.extract_dependencies(files).select("repo", "path", "package", "version")
+
+
 def plain_dependencies(spark, sf):
     k = F.col("p_partkey")
     version = F.concat_ws(".", (F.col("p_size") % 9).cast("string"), (k % 30).cast("string"), (k % 4).cast("string"))

@@ -154,6 +154,14 @@ def t4_ordered_templates(spark, sf):
     return templates(spark, sf).orderBy(F.desc("importance"), F.desc("created_at"), "id").limit(50).select("id", "importance")
 
 
+@query("t4_ordered_skills", """SELECT id, tool, row_number() OVER (PARTITION BY tool ORDER BY priority DESC, id) AS rank FROM (SELECT p_partkey AS id, 'tool' || (p_partkey % 5) AS tool, p_size AS priority, p_partkey % 3 > 0 AS is_active FROM part) WHERE is_active""")
+def t4_ordered_skills(spark, sf):
+    k = F.col("p_partkey")
+    skills = table(spark, sf, "part").select(
+        k.alias("id"), F.concat(F.lit("tool"), (k % 5).cast("string")).alias("tool"), F.col("p_size").alias("priority"), (k % 3 > 0).alias("is_active"))
+    return M.ordered_skills(skills).select("id", "tool", F.col("rank").cast("long").alias("rank"))
+
+
 @query("t5_context_pack", f"""WITH {REDLINES_CTE}, {LESSONS_CTE}, {TEMPLATES_CTE} SELECT section, string_agg(text, chr(10) ORDER BY rank) AS text FROM (
   SELECT 'redlines' AS section, title || ': ' || description AS text, row_number() OVER (ORDER BY severity DESC, created_at DESC, id) AS rank, 20 AS lim FROM redlines
   UNION ALL SELECT 'lessons', title, row_number() OVER (ORDER BY captured_at DESC, id), 5 FROM lessons

@@ -186,6 +186,12 @@ def a20_dimension_scores(spark, sf):
 _TOTAL = " + ".join(f"{d} * {w}::DOUBLE" for d, w in R.DIMENSION_WEIGHTS.items())
 
 
+@query("a21_empty_window", "SELECT 'insufficient_data' AS status, 0.0::DOUBLE AS score, count(*) AS metrics_count FROM events WHERE ts > (SELECT max(ts) FROM events) + INTERVAL 9 HOUR")
+def a21_empty_window(spark, sf):
+    m = metrics(spark, sf)
+    return S.evolution_status(S.evolution_total(S.dimension_scores(m, latest_ts(m) + F.make_interval(hours=F.lit(10)), 1)))
+
+
 @query("a21_evolution_total", f"WITH {METRICS_CTE}, {_SCORES} SELECT {_X1000.format('(' + _TOTAL + ')')} AS total_score_x1000 FROM scores")
 def a21_evolution_total(spark, sf):
     m = metrics(spark, sf)

@@ -94,6 +94,25 @@ def k2_replaced_snapshots(spark, sf):
     return readers.table(spark, path).select("snapshot_id", "path")
 
 
+def _three_snapshots(spark, sf) -> str:
+    path = work_path(spark, "named")
+    for name, part in (("a", "doc_id % 2 = 0"), ("b", "doc_id % 3 = 0"), ("c", "doc_id % 5 > 0")):
+        sinks.save_snapshot(code_files(spark, sf).filter(part).select("path"), path, name)
+    return path
+
+
+@query("m9_listed_snapshots", "SELECT 'a' AS snapshot_id, count(*) AS n FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'c', count(*) FROM documents WHERE doc_id % 5 > 0")
+def m9_listed_snapshots(spark, sf):
+    path = _three_snapshots(spark, sf)
+    sinks.delete_snapshot(spark, path, "b")
+    return sinks.list_snapshots(spark, path)
+
+
+@query("m9_one_snapshot", over_files("SELECT path FROM files WHERE doc_id % 3 = 0"))
+def m9_one_snapshot(spark, sf):
+    return sinks.get_snapshot(spark, _three_snapshots(spark, sf), "b").select("path")
+
+
 @query("k4_report_rows", f"""WITH {_FINDINGS} SELECT 'summary' AS kind, level, count(*) AS n FROM findings GROUP BY level UNION ALL SELECT 'finding', level, count(*) FROM findings GROUP BY level""")
 def k4_report_rows(spark, sf):
     path = work_path(spark, "report")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -18,6 +18,22 @@ def save_snapshot(df: DataFrame, path: str, snapshot_id: str) -> None:
     )
 
 
+def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """M9: the named snapshots of a store with their row counts."""
+    return spark.read.parquet(path).groupBy(F.col("snapshot_id").cast("string").alias("snapshot_id")).agg(F.count("*").alias("n"))
+
+
+def get_snapshot(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
+    """M9: the rows of one named snapshot; none if there is no such name."""
+    return spark.read.parquet(path).filter(F.col("snapshot_id").cast("string") == snapshot_id)
+
+
+def delete_snapshot(spark: SparkSession, path: str, snapshot_id: str) -> bool:
+    """M9: delete one named snapshot's partition; whether there was one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"snapshot_id={snapshot_id}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def panics(events: DataFrame) -> DataFrame:
     """K3: the rows that raise an alert."""
     return events.filter(F.col("status") == "PANIC")
