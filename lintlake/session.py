@@ -7,11 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _MADE: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "lintlake", cpus: int | str = "*", shuffle: int = 8) -> SparkSession:
@@ -67,3 +69,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once; they need no path of their own then."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, os.path.basename(package) + ".zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for top, _, names in os.walk(package):
+            for name in (n for n in names if n.endswith(".py")):
+                path = os.path.join(top, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
