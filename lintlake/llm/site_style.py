@@ -243,7 +243,8 @@ def noisy_nodes(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per row of ``pages`` (page_id, url, html)."""
     parsed = stash(pages.select("page_id", "url", "html").mapInArrow(_page_rows, _SCHEMA), "pages")
-    joined = parsed.select("page_id", "url", "host", "blocks").join(noisy_nodes(parsed), "host", "left")
+    noise = stash(noisy_nodes(parsed), "noise")  # a table of known size: where it is small, the pages are not shuffled
+    joined = parsed.select("page_id", "url", "host", "blocks").join(noise, "host", "left")
     clean = F.filter("blocks", lambda b: ~F.exists(b["nodes"], lambda n: F.array_contains(F.col("noise"), n)))
     kept = F.when(F.col("noise").isNull() | (F.size(clean) == 0), F.col("blocks")).otherwise(clean)
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
