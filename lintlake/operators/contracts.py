@@ -89,16 +89,24 @@ def contract_breaks(old: DataFrame, new: DataFrame) -> DataFrame:
     """Field-level reasons why a kept endpoint breaks, over two ``contract_fields`` versions with ``status_code``."""
     key = [*ENDPOINT, "side", "field"]
 
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*key, F.lit(True).alias(f"{p}_here"), *[F.col(c).alias(f"{p}_{c}") for c in ("type", "format", "required")])
+    def tagged(df: DataFrame, version: str) -> DataFrame:
+        return df.select(*key, F.lit(version).alias("_v"), F.struct("type", "format", "required").alias("_f"), "status_code")
 
-    def status(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*ENDPOINT).agg(F.max("status_code").alias(name))
+    def newest(version: str, column: str) -> Column:
+        return F.max(F.when(F.col("_v") == version, F.col(column)))
 
-    kept = status(old, "_os").join(status(new, "_ns"), ENDPOINT)
+    # both versions are read once and meet in one aggregate
+    each = tagged(old, "o").unionByName(tagged(new, "n")).groupBy(*key).agg(
+        newest("o", "_f").alias("_o"), newest("n", "_f").alias("_n"), newest("o", "status_code").alias("_os"), newest("n", "status_code").alias("_ns")
+    )
+    here = F.bool_or(F.col("_o").isNotNull()) & F.bool_or(F.col("_n").isNotNull())
+    kept = each.groupBy(*ENDPOINT).agg(F.max("_os").alias("_os"), F.max("_ns").alias("_ns"), here.alias("_here")).filter("_here")
     # only old fields can break; a field new on the other side never does
-    both = side(old, "o").join(side(new, "n"), key, "left").join(kept, ENDPOINT, "left_semi")
-    request, lost = F.col("side") == "request", F.col("n_here").isNull()
+    both = each.filter("_o IS NOT NULL").join(kept, ENDPOINT, "left_semi").select(
+        *key, F.col("_n").isNotNull().alias("n_here"),
+        *[F.col(f"_{p}.{c}").alias(f"{p}_{c}") for p in "on" for c in ("type", "format", "required")],
+    )
+    request, lost = F.col("side") == "request", ~F.col("n_here")
     typed = (F.col("o_type") != F.col("n_type")) & F.col("o_type").isNotNull() & F.col("n_type").isNotNull()
     formatted = F.col("o_format").isNotNull() & ~F.col("o_format").eqNullSafe(F.col("n_format"))
     reasons = F.array_compact(F.array(

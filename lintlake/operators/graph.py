@@ -27,15 +27,12 @@ def import_edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
     ``imports(repo, src, qualifier, name)``: ``import qualifier`` or ``from qualifier import name``; the longer
     module name wins when both exist.
     """
-    known = modules.select(*MODULE).distinct()
-    wanted = imports.select("repo", "src", "qualifier", F.concat_ws(".", "qualifier", "name").alias("full")).distinct()
-    deep = wanted.join(known.withColumnRenamed("module", "full"), ["repo", "full"])
-    flat = wanted.join(known.withColumnRenamed("module", "full"), ["repo", "full"], "left_anti").join(
-        known.withColumnRenamed("module", "qualifier"), ["repo", "qualifier"]
-    )
-    return deep.select("repo", "src", F.col("full").alias("dst")).unionByName(
-        flat.select("repo", "src", F.col("qualifier").alias("dst"))
-    ).distinct()
+    statement = ["repo", "src", "qualifier", "name"]
+    wanted = imports.select(*statement).distinct()
+    full = F.concat_ws(".", "qualifier", "name")
+    names = F.array(F.struct(F.lit(0).alias("_k"), full.alias("module")), F.struct(F.lit(1).alias("_k"), F.col("qualifier").alias("module")))
+    found = wanted.select(*statement, F.inline(names)).join(modules.select(*MODULE).distinct(), MODULE, "left_semi")
+    return found.groupBy(*statement).agg(F.min_by("module", "_k").alias("dst")).select("repo", "src", "dst").distinct()
 
 
 def call_edges(calls: DataFrame) -> DataFrame:
@@ -409,7 +406,9 @@ def unused_exports_repo(lines: DataFrame) -> DataFrame:
     name = F.when(~F.col("line").rlike(r"^\s*//"), F.regexp_extract("line", R.TS_EXPORT_WIDE, 1)).otherwise("")
     tagged = ts.withColumn("_name", name)
     exports = tagged.filter("_name <> ''").select("repo", F.col("_name").alias("name")).distinct()
-    used = tagged.select("repo", F.explode(F.array_distinct(_tokens_but(F.col("line"), F.col("_name")))).alias("name")).distinct()
+    words = tagged.select("repo", F.explode(F.array_distinct(_tokens_but(F.col("line"), F.col("_name")))).alias("name"))
+    # only the exported names among all words of the corpus go on
+    used = words.join(exports.select("repo", "name").distinct(), ["repo", "name"], "left_semi").distinct()
     return exports.join(used, ["repo", "name"], "left_anti")
 
 
