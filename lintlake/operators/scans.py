@@ -194,11 +194,12 @@ def scan_api_key(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_paths(files: DataFrame) -> DataFrame:
+def scan_paths(files: DataFrame, home: str = R.HOME) -> DataFrame:
     """Hard-coded sensitive paths, first pattern per line."""
-    pattern = L.any_of(R.SENSITIVE_PATHS)
+    paths = R.sensitive_paths(home)
+    pattern = L.any_of(paths)
     found = L.line_hits(files, lambda line: line.rlike(pattern) & ~line.rlike(L.CODE_COMMENT))
-    hit = F.coalesce(*[F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for p in R.SENSITIVE_PATHS])
+    hit = F.coalesce(*[F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for p in paths])
     return found.select(*LINE_COLS, hit.alias("hit"), preview(F.col("line")).alias("preview"))
 
 

@@ -292,7 +292,7 @@ def j21_leaking_links(spark, sf):
     return G.leaking_links(links).drop("root")
 
 
-_PATH_HITS = " OR ".join(f"regexp_matches(line, {sq(p)})" for p in code_rules.SENSITIVE_PATHS)
+_PATH_HITS = " OR ".join(f"regexp_matches(line, {sq(p)})" for p in code_rules.sensitive_paths())
 
 
 @query("a47_leak_rollup", over_lines(rf"""SELECT 'tool_traces' AS check_name, count(*) AS findings, true AS passed FROM (SELECT DISTINCT repo, string_split(path, '/')[1] AS e FROM files) WHERE {has_any('e', code_rules.TOOL_TRACES)}

@@ -189,7 +189,7 @@ def r9_api_keys(spark, sf):
 
 @query("r10_sensitive_paths", over_lines(
     "SELECT * FROM (SELECT repo, path, line_no, CASE "
-    + " ".join(f"WHEN {matches('line', p)} THEN regexp_extract(line, {sq(p)}, 1)" for p in R.SENSITIVE_PATHS)
+    + " ".join(f"WHEN {matches('line', p)} THEN regexp_extract(line, {sq(p)}, 1)" for p in R.sensitive_paths())
     + f" END AS hit, {PREVIEW} AS preview FROM lines WHERE {NOT_CODE_COMMENT}) WHERE hit IS NOT NULL"))
 def r10_sensitive_paths(spark, sf):
     return S.scan_paths(code_files(spark, sf))

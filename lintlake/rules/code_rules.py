@@ -68,14 +68,22 @@ API_KEY = r"[Ss][Kk]-[a-zA-Z0-9]{20,}"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+\.[A-Za-z]{2,}"
 LICENSE_WORDS = ["license", "copyright"]
 
+# the scanned user's home folder, a parameter of the scan
+HOME = "/home/dev"
 SENSITIVE_PATHS = [
-    r"""['"]/home/dev/(\.\w+)/?['"]""",
     r"""['"]~/(\.\w+)/?['"]""",
     r"""['"](/.+?/\.ssh/?)['"]""",
     r"""['"](/.+?/\.aws/?)['"]""",
     r"""['"](/.+?/\.claude/?)['"]""",
     r"""['"](/.+?/\.grok/?)['"]""",
 ]
+
+
+def sensitive_paths(home: str = HOME) -> list[str]:
+    """Hidden folders of one user's home, then those of any path."""
+    return [rf"""['"]{home}/(\.\w+)/?['"]""", *SENSITIVE_PATHS]
+
+
 TOOL_TRACES = [
     ".grok", "grok-code-session-traces", "before_codebase.tar.gz", "after_codebase.tar.gz",
     ".claude", "claude.json", ".codex", ".openai",
