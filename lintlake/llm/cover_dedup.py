@@ -2,7 +2,7 @@
 
 Short word windows are hashed only where the word's index modulo ``PERIOD`` lies in ``COVER``. Differences of the cover's members
 give every residue, so two equal passages of ``WINDOW`` words always hold an equal short window at such a place of both, wherever
-they begin. Anchors found in two documents are extended: every full window around them is hashed (128 bits) and compared exactly.
+they begin. Anchors found in two documents are extended: every full window around them is hashed (95 bits) and compared exactly.
 No pairs are made: an anchor or window keeps only the smallest and largest document it occurs in.
 
 Null or wordless texts keep nothing and lose nothing; a null doc_id counts as larger than every id and is no smaller than another
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lintlake.llm import text as T
-from lintlake.llm.frames import NO_ID, row_key, stash
+from lintlake.llm.frames import NO_ID, release, row_key, stash
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
@@ -34,13 +34,18 @@ def _anchors(words: T.Words) -> tuple[np.ndarray, np.ndarray]:
     return at, T.window_hashes(words.hashes(), ANCHOR)[at]
 
 
-def _extremes(key: np.ndarray, doc: np.ndarray):
-    """A place, the smallest and the largest document of each distinct key."""
-    order = np.lexsort((doc, key))
-    ranked = key[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    last = np.append(first[1:], len(order)) - 1
-    return order[first], doc[order[first]], doc[order[last]]
+def _extremes(doc: np.ndarray, *keys: np.ndarray):
+    """A place, the smallest and the largest document of each distinct key, in the order of the places: rows of one document stay
+    together, which compresses well."""
+    order = np.lexsort((doc, *keys))
+    change = np.zeros(max(0, len(order) - 1), bool)
+    for key in keys:
+        change |= key[order][1:] != key[order][:-1]
+    first = np.flatnonzero(np.append(True, change)) if len(order) else order
+    last = np.append(first[1:], len(order)) - 1 if len(order) else order
+    at, low, high = order[first], doc[order[first]], doc[order[last]]
+    back = np.argsort(at)
+    return at[back], low[back], high[back]
 
 
 def _anchor_rows(batches):
@@ -57,21 +62,20 @@ def _anchor_rows(batches):
         key, doc = np.concatenate(keys), np.concatenate(docs)
         if not len(key):
             continue
-        at, low, high = _extremes(key, doc)
-        order = np.argsort(at)  # back in the order of documents, which compresses well
-        at, low, high = at[order], low[order], high[order]
+        at, low, high = _extremes(doc, key)
         yield pa.RecordBatch.from_arrays(
             [pa.array(key[at].view(np.int64)), pa.array(low), pa.array(high, mask=high == low)], ["anchor", "low", "high"]
         )
 
 
 def _shared_rows(bits: np.ndarray):
-    """(anchor, row, place) of the anchors that the filter lets through."""
+    """(anchor, row, document, place) of the anchors that the filter lets through."""
 
     def run(batches):
         for batch in batches:
             data, off = T.flat(batch.column("text"))
             rows = batch.column("_row").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for lo, hi in T.slices(off):
                 words = T.Words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 at, key = _anchors(words)
@@ -79,10 +83,9 @@ def _shared_rows(bits: np.ndarray):
                 hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
                 at, key = at[hit], key[hit]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(rows[lo:hi][words.doc[at]]), pa.array(words.place()[at].astype(np.int32))],
-                        ["anchor", "_row", "place"],
-                    )
+                    doc = words.doc[at]
+                    columns = [key.view(np.int64), rows[lo:hi][doc], ids[lo:hi][doc], words.place()[at].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "_row", "doc", "place"])
 
     return run
 
@@ -94,30 +97,42 @@ def _marks(lists: pa.Array, n: int, first: np.ndarray) -> np.ndarray:
     return first[owner] + flat
 
 
+def _windows(batch, places: str):
+    """Full windows around the anchors at ``places`` of each slice: two hashes, the text's index in the batch and the place in it."""
+    data, off = T.flat(batch.column("text"))
+    for lo, hi in T.slices(off):
+        words = T.Words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        marks = _marks(batch.column(places).slice(lo, hi - lo), hi - lo, words.first)
+        near = T.covered(len(words) + PERIOD, marks, PERIOD)  # a window begins at most PERIOD - 1 words before its anchor
+        at = T.inside_text(words, WINDOW)
+        at = at[near[at + PERIOD - 1]]
+        hashes = words.hashes()
+        other = (T.window_hashes(hashes, WINDOW, _OTHER)[at] >> np.uint64(33)).astype(np.int32)
+        yield T.window_hashes(hashes, WINDOW)[at].view(np.int64), other, lo + words.doc[at], words.place()[at].astype(np.int32)
+
+
+def _window_extremes(batches):
+    """Each window once per batch, with the smallest and largest document (null: the same one)."""
+    for batch in batches:
+        ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        parts = list(_windows(batch, "places"))
+        if not parts:
+            continue
+        h1, h2, doc, _ = (np.concatenate(p) for p in zip(*parts, strict=True))
+        at, low, high = _extremes(ids[doc], h1, h2)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h1[at]), pa.array(h2[at]), pa.array(low), pa.array(high, mask=high == low)], ["h1", "h2", "low", "high"]
+        )
+
+
 def _window_rows(batches):
-    """Full windows around shared anchors: two hashes, row, document, place."""
+    """Every window around an anchor that a smaller document has too, with its row, document and place."""
     for batch in batches:
-        data, off = T.flat(batch.column("text"))
         rows = batch.column("_row").to_numpy(zero_copy_only=False)
         ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        for lo, hi in T.slices(off):
-            words = T.Words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            marks = _marks(batch.column("places").slice(lo, hi - lo), hi - lo, words.first)
-            near = T.covered(len(words) + PERIOD, marks, PERIOD)  # a window begins at most PERIOD - 1 words before its anchor
-            at = T.inside_text(words, WINDOW)
-            at = at[near[at + PERIOD - 1]]
-            if not len(at):
-                continue
-            hashes = words.hashes()
+        for h1, h2, doc, place in _windows(batch, "behind"):
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(T.window_hashes(hashes, WINDOW)[at].view(np.int64)),
-                    pa.array(T.window_hashes(hashes, WINDOW, _OTHER)[at].view(np.int64)),
-                    pa.array(rows[lo:hi][words.doc[at]]),
-                    pa.array(ids[lo:hi][words.doc[at]]),
-                    pa.array(words.place()[at].astype(np.int32)),
-                ],
-                ["h1", "h2", "_row", "doc", "place"],
+                [pa.array(h1), pa.array(h2), pa.array(rows[doc]), pa.array(ids[doc]), pa.array(place)], ["h1", "h2", "_row", "doc", "place"]
             )
 
 
@@ -162,25 +177,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``WINDOW`` words that also begins in a document with a smaller doc_id is removed; windows are judged on the input."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    anchors = docs.mapInArrow(_anchor_rows, "anchor long, low long, high long")
+    # the rows of a batch are already combined; repartitioning first keeps them in order and spares a second, fruitless combining
+    anchors = docs.mapInArrow(_anchor_rows, "anchor long, low long, high long").repartition("anchor")
     sums = anchors.groupBy("anchor").agg(F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high"))
-    shared = stash(sums.filter("low < high").select("anchor"), "anchors")
+    shared = stash(sums.filter("low < high").select("anchor", "low"), "anchors")
+    del anchors, sums
+    release(spark)
     bits = spark.sparkContext.broadcast(_filter_bits(shared))
     keyed = docs.select("doc_id", "text", row_key().alias("_row"))
 
     def shared_rows(batches):
         return _shared_rows(bits.value)(batches)
 
-    places = (
-        keyed.mapInArrow(shared_rows, "anchor long, _row long, place int")
-        .join(shared, "anchor").groupBy("_row").agg(F.collect_set("place").alias("places"))
+    places = stash(
+        keyed.mapInArrow(shared_rows, "anchor long, _row long, doc long, place int")
+        .join(shared, "anchor").groupBy("_row")
+        .agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("low") < F.col("doc"), F.col("place"))).alias("behind")), "places",
     )
-    windows = stash(
-        keyed.join(places, "_row").mapInArrow(_window_rows, "h1 long, h2 long, _row long, doc long, place int"), "windows"
+    release(spark)
+    near = keyed.join(places, "_row")
+    first = (
+        near.mapInArrow(_window_extremes, "h1 long, h2 int, low long, high long").repartition("h1", "h2")
+        .groupBy("h1", "h2").agg(F.min("low").alias("first"), F.max(F.coalesce("high", "low")).alias("last")).filter("first < last")
     )
-    first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     copied = (
-        windows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter("first < doc")
+        near.filter(F.size("behind") > 0).mapInArrow(_window_rows, "h1 long, h2 int, _row long, doc long, place int")
+        .join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter("first < doc")
         .groupBy("_row").agg(F.collect_set("place").alias("copied"))
     )
     return keyed.join(copied, "_row", "left").mapInArrow(

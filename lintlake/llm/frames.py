@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,5 +32,7 @@ stash = materialise
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM notice that finished steps are unreachable, so that Spark's cleaner deletes their shuffle files now and not
     whenever the driver next runs short of memory. Only a hint; results do not depend on it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
