@@ -7,7 +7,7 @@ import os
 import time
 
 from lintlake.plans import catalogue
-from lintlake.session import build_session
+from lintlake.session import build_session, clean_work
 
 HEADLINE = [
     "flagship_document_matrix", "p1_line_explode", "r1_sql_injection", "r4_route_without_auth", "r8_secrets_in_documents", "r12_any_types",
@@ -37,6 +37,7 @@ def main() -> None:
         "metric": "headline queries, total wall time", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }), flush=True)
+    clean_work(spark)
     spark.stop()
 
 

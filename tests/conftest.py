@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from lintlake.session import build_session  # noqa: E402
+from lintlake.session import build_session, clean_work  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,4 +14,5 @@ def spark():
     session = build_session("tests", 8, 8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_work(session)
     session.stop()
