@@ -1,14 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The fit takes at most ``MAX_ROWS`` labelled rows (the lowest hashes of their ids). Its vocabulary holds the terms whose document
-counts differ between toxic and other examples beyond chance (likelihood ratio over ``MIN_RATIO``); examples become unit TF-IDF
-vectors over it, lie in blocks of ``BLOCK`` and the index keeps each term's largest weight in each block. A query visits blocks by
+The fit takes at most ``MAX_ROWS`` labelled rows (the lowest hashes of their ids). Its vocabulary holds the terms that occur
+in more toxic than other examples, beyond chance (likelihood ratio over ``MIN_RATIO``); examples become unit TF-IDF
+vectors over it (equal ones a single entry with their mean label), lie in blocks of ``BLOCK`` and the index keeps each term's largest weight in each block. A query visits blocks by
 falling upper bound and stops when no block can beat its ``NEIGHBOURS``-th best, which leaves the exact nearest examples. Their votes,
-weighted by cosine and shrunk to the base rate, are calibrated by an isotonic fit of the examples' own leave-one-out votes.
+weighted by cosine and shrunk to the base rate, are calibrated by an isotonic fit of leave-one-out votes of at most
+``CALIBRATION_ROWS`` entries.
 The index is bounded by ``MAX_ROWS`` and broadcast; texts are read once to fit and once to score.
 
 Null or empty texts have no terms and get the calibrated base rate; copies get equal scores; without labels to learn from all scores
-are 0; several labels of one id count as the highest; null ids have no label; ties go to the earlier example; extra columns are
+are 0; several labels of one id count as the highest; null ids have no label; of equally near entries any may be left out; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -25,7 +26,7 @@ from lintlake.llm import text as T
 from lintlake.llm.quality_trees import held_out, learnable
 
 MAX_ROWS, MIN_DOCUMENTS, MIN_RATIO, MAX_TERMS = 20_000, 5, 30.0, 4096
-BLOCK, NEIGHBOURS, SHRINK, EVIDENCE = 64, 15, 1.0, 3
+BLOCK, NEIGHBOURS, SHRINK, EVIDENCE, CALIBRATION_ROWS = 64, 15, 1.0, 3, 4000
 #: Terms are runs of letters and digits; all other ASCII separates.
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[48:58] = _SEPARATOR[97:123] = _SEPARATOR[128:] = False
@@ -91,7 +92,7 @@ class Examples:
         upper = weight @ self.bounds[term]
         who, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or len(who) == NEIGHBOURS and upper[b] < least - 1e-12:
+            if upper[b] <= 0 or len(who) == NEIGHBOURS and upper[b] <= least + 1e-12:
                 break
             local, t, w = self.blocks[b]
             score = np.bincount(local, w * query[t], minlength=BLOCK)
@@ -110,12 +111,12 @@ class Examples:
         return float(np.interp(vote, *self.knots))
 
 
-def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of y on x (pooled neighbours)."""
+def _isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing fit of y on x, each counted n times (pooled neighbours)."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []  # sum of x, sum of y, rows
-    for a, b in zip(x[order], y[order], strict=True):
-        pools.append([a, b, 1])
+    for a, b, c in zip(x[order], y[order], n[order], strict=True):
+        pools.append([a * c, b * c, c])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
@@ -137,7 +138,7 @@ def fit(examples: DataFrame) -> Examples | None:
         + 2 * F.when(F.lit(m) > F.col(c), (m - F.col(c)) * F.log((m - F.col(c)) * n / ((n - F.col("a") - F.col("b")) * max(m, 1)))).otherwise(0)
         for c, m in (("a", toxic), ("b", n - toxic))
     )
-    chosen = counts.filter(F.col("a") + F.col("b") < n).withColumn("ratio", ratio).filter(F.col("ratio") >= MIN_RATIO)
+    chosen = counts.filter(F.col("a") + F.col("b") < n).filter(F.col("a") >= F.col("b")).withColumn("ratio", ratio).filter(F.col("ratio") >= MIN_RATIO)
     vocabulary = chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term", (F.col("a") + F.col("b")).alias("df")).toPandas()
     terms = vocabulary["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(terms)
@@ -146,20 +147,29 @@ def fit(examples: DataFrame) -> Examples | None:
     if not len(terms):
         return Examples(terms, idf, np.zeros(0, np.int64), np.zeros(0), prior, prior)
     known = spark.createDataFrame(vocabulary[["term"]])
-    found = rows.join(F.broadcast(known), "term").toPandas().sort_values(["y", "doc_id", "term"], ascending=[False, True, True])
+    found = rows.join(F.broadcast(known), "term").toPandas().sort_values(["doc_id", "term"])
     heads = found.drop_duplicates("doc_id")
-    place = dict(zip(heads["doc_id"], range(len(heads)), strict=True))
-    model = Examples(terms[order], idf, heads["doc_id"].to_numpy(np.int64), heads["y"].to_numpy(float), prior)
-    doc = found["doc_id"].map(place).to_numpy(np.int64)
-    term = np.searchsorted(model.terms, found["term"].to_numpy(np.int64).view(np.uint64))
-    weight = (1 + np.log(found["n"].to_numpy(float))) * idf[term]
+    doc = np.repeat(np.arange(len(heads)), found.groupby("doc_id", sort=True).size())
+    term = np.searchsorted(terms[order], found["term"].to_numpy(np.int64).view(np.uint64))
+    count = found["n"].to_numpy(np.int64)
+    # examples with the same terms and counts are one entry with their mean label
+    sign = np.zeros(len(heads), np.uint64)
+    np.add.at(sign, doc, T.mix(term.astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64)))
+    _, first, entry, size = np.unique(sign, return_index=True, return_inverse=True, return_counts=True)
+    y = np.bincount(entry, heads["y"].to_numpy(float)) / size
+    model = Examples(terms[order], idf, heads["doc_id"].to_numpy(np.int64)[first], y, prior)
+    one = np.isin(doc, first)
+    term, weight, doc = term[one], (1 + np.log(count[one])) * idf[term[one]], entry[doc[one]]
+    by_entry = np.argsort(doc, kind="stable")
+    doc, term, weight = doc[by_entry], term[by_entry], weight[by_entry]
     weight /= np.sqrt(np.bincount(doc, weight**2))[doc]
     model.index(doc, term, weight)
-    cut = np.searchsorted(doc, np.arange(len(heads) + 1))
-    votes = np.array([model.vote(*model.nearest(term[a:b], weight[a:b], k)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
-    model.knots = _isotonic(votes, model.y)
+    cut = np.searchsorted(doc, np.arange(len(first) + 1))
+    some = np.arange(0, len(first), -(-len(first) // CALIBRATION_ROWS))
+    votes = np.array([model.vote(*model.nearest(term[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]], k)) for k in some])
+    model.knots = _isotonic(votes, y[some], size[some])
     empty = n - len(heads)
-    model.none = float((toxic - model.y.sum()) / empty) if empty else prior
+    model.none = float((toxic - heads["y"].sum()) / empty) if empty else prior
     return model
 
 
