@@ -65,7 +65,7 @@ def hubs(statements: DataFrame, least: int = 5, top: int = 10) -> DataFrame:
     """The modules most import statements name, per repo, with rank; ``statements(repo, dst)``."""
     counted = statements.groupBy("repo", "dst").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return counted.join(
-        rank_within(counted, ["repo"], [("_b", -F.col("n"))], [F.col("dst")]).select("repo", "dst", "rank"), ["repo", "dst"]
+        rank_within(counted, ["repo"], [("_b", -F.col("n")), ("_p", F.substring("dst", 1, 8))], [F.col("dst")]).select("repo", "dst", "rank"), ["repo", "dst"]
     ).filter(F.col("rank") <= top)
 
 
@@ -74,7 +74,7 @@ def core_modules(edges: DataFrame) -> DataFrame:
     counted = edges.groupBy("repo", "dst").agg(F.countDistinct("src").alias("importers"))
     limits = counted.groupBy("repo").agg(F.greatest(F.lit(3), F.floor(F.count("*") / 10)).alias("_k"))
     ranked = rank_within(
-        counted, ["repo"], [("_b", -F.col("importers")), ("_p", F.substring("dst", 1, 2))], [F.col("dst")]
+        counted, ["repo"], [("_b", -F.col("importers")), ("_p", F.substring("dst", 1, 8))], [F.col("dst")]
     )
     return ranked.join(limits, "repo").filter(F.col("rank") <= F.col("_k")).select("repo", F.col("dst").alias("module"), "importers")
 

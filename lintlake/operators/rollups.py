@@ -97,9 +97,10 @@ def worst_files(matrix: DataFrame, n: int = 10) -> DataFrame:
 def findings_of_level(findings: DataFrame) -> DataFrame:
     """A4: each level's findings in order, as rows numbered within the level.
 
-    A level can hold most findings, so it is never gathered into one list; the numbering is split by repo.
+    A level can hold most findings, so it is never gathered into one list; the numbering is split by repo and by the
+    beginnings of paths.
     """
-    return rank_within(findings, ["level"], [("_repo", F.col("repo"))], [F.col("path"), F.col("line_no"), F.col("rule_id"), F.col("message")])
+    return rank_within(findings, ["level"], [("_repo", F.col("repo")), ("_at", F.substring("path", 1, 12))], [F.col("path"), F.col("line_no"), F.col("rule_id"), F.col("message")])
 
 
 def debt_category(message: Column) -> Column:
