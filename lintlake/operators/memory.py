@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lintlake.operators.ranking import rank_within
 from lintlake.operators.lines import contains_any
-from lintlake.operators.timeline import DAY, running
+from lintlake.operators.timeline import BLOCK, running
 from lintlake.rules import scoring_rules as R
 
 
@@ -135,7 +135,7 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str], version:
     return both.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 
-def admit(errors: DataFrame, seconds: int = DAY) -> DataFrame:
+def admit(errors: DataFrame, seconds: int = BLOCK) -> DataFrame:
     """M3: errors worth remembering: pain >= 50, and low-priority types only with 2 earlier ones in the window.
 
     The second error before this one is found by its running number, an equi-join on an almost unique key,

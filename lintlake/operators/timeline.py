@@ -13,10 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-DAY = 86_400
+#: Seconds of a time block: short, so that a hot key's busiest day is many pieces. Results do not depend on it.
+BLOCK, SUPPRESS_BLOCK = 3_600, 900
 
 
-def with_block(df: DataFrame, ts: str = "ts", seconds: int = DAY) -> DataFrame:
+def with_block(df: DataFrame, ts: str = "ts", seconds: int = BLOCK) -> DataFrame:
     return df.withColumn("_block", F.floor(F.unix_micros(ts) / (seconds * 1_000_000)).cast("long"))
 
 
@@ -25,7 +26,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     sums: dict[str, Column],
-    seconds: int = DAY,
+    seconds: int = BLOCK,
     inclusive: bool = True,
 ) -> DataFrame:
     """Running sums per key in ``order`` (its first column is the timestamp)."""
@@ -42,7 +43,7 @@ def running(
     return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums])
 
 
-def failure_streak(events: DataFrame, seconds: int = DAY) -> DataFrame:
+def failure_streak(events: DataFrame, seconds: int = BLOCK) -> DataFrame:
     """Failures in a row up to each event of ``events(component_id, ts, event_id, status)``.
 
     streak = failures so far - failures up to the last success.
@@ -188,25 +189,37 @@ def _fold_thresholds(gap: int):
 
 
 def _emit(gap: int):
+    """The rows that pass. Of a block only the next due time is kept from batch to batch; a block without a threshold row gives none."""
+
     def parts(batches: Iterator[pd.DataFrame]):
-        for key, _, piece in _pieces(batches):
-            if piece["_row"][0]:  # no threshold row: nothing passes in this block
-                continue
-            times, ids, at = piece["_us"][1:], piece["_id"][1:], []
-            i = int(np.searchsorted(times, piece["_us"][0], side="left"))
-            while i < len(times):
-                at.append(i)
-                i = int(np.searchsorted(times, times[i] + gap, side="left"))
-            yield _same(key, len(at), object), times[at], ids[at]
+        at = due = None
+        for pdf in batches:
+            keys, blocks, rows, times, ids = (pdf[c].to_numpy() for c in ("_key", "_block", "_row", "_us", "_id"))
+            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]))) if len(pdf) else []
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)], strict=True):
+                if (keys[lo], blocks[lo]) != at:
+                    at, due = (keys[lo], blocks[lo]), None
+                    if not rows[lo]:
+                        due, lo = int(times[lo]), lo + 1
+                if due is None:
+                    continue
+                found, i = [], lo + int(np.searchsorted(times[lo:hi], due, side="left"))
+                while i < hi:
+                    found.append(i)
+                    due = int(times[i]) + gap
+                    i = lo + int(np.searchsorted(times[lo:hi], due, side="left"))
+                if found:
+                    yield _same(at[0], len(found), object), times[found], ids[found]
 
     return lambda batches: _chunks(parts(batches), ["_key", "_us", "_id"])
 
 
 def suppress(
     events: DataFrame, gap_seconds: float = 10, key: str = "component_id", ts: str = "ts", row_id: str = "event_id",
-    seconds: int = DAY,
+    seconds: int | None = None,
 ) -> DataFrame:
     """Per key, keep an event only when the last *kept* one is at least ``gap_seconds`` before it."""
+    seconds = seconds or max(SUPPRESS_BLOCK, int(-(-gap_seconds // 1)))
     gap, width = int(gap_seconds * 1_000_000), seconds * 1_000_000
     if gap > width:
         raise ValueError("the time block must be at least as long as the gap")
@@ -232,7 +245,7 @@ def suppress(
     return kept.select(F.col("_key").alias(key), F.timestamp_micros("_us").alias(ts), F.col("_id").alias(row_id))
 
 
-def occurrences(errors: DataFrame, seconds: int = DAY) -> DataFrame:
+def occurrences(errors: DataFrame, seconds: int = BLOCK) -> DataFrame:
     """Running count and mean pain per (lower-cased type, file) of ``errors(id, error_type, file_path, ts, pain)``."""
     keyed = errors.withColumn("error_type", F.lower("error_type"))
     out = running(
