@@ -19,9 +19,9 @@ from lintlake.llm.frames import row_key, stash
 from lintlake.llm.stats import TextStats
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A line is above its host's limit in more than this many documents and more than this share of the host's documents: what most of a
-#: site repeats is its frame, while copies of an article, even of a third of the site, are left to deduplication.
-HOST_DOCUMENTS, HOST_SHARE = 20, 0.5
+#: A line is above its host's limit in more than this many documents. A share of the host's documents on top would let the limit grow
+#: with the host until no line reaches it, so it is 0.
+HOST_DOCUMENTS, HOST_SHARE = 20, 0.0
 MIN_SHARE = 0.3
 
 _SCHEMA = (

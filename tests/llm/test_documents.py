@@ -141,6 +141,13 @@ def test_line_quality_rejects_depleted_documents(spark):
     assert all(got[k] == (60, False) for k in range(60)) and all(got[100 + k] == (0, True) for k in range(40))
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    common = " ".join(f"menu{k}" for k in range(60))
+    rows = [(k, "h", common + "\n" + f"own{k}") for k in range(30)] + [(100 + k, "h", " ".join(f"t{k}x{j}" for j in range(40))) for k in range(970)]
+    got = {r.doc_id: (r.n_common_words, r.kept) for r in line_quality.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert all(got[k] == (60, False) for k in range(30)) and all(got[100 + k] == (0, True) for k in range(970))
+
+
 @pytest.mark.parametrize("score", [quality_trees.score_quality, toxicity.flagged])
 def test_classifier_edges(spark, docs, empty, labels, score):
     got = score(docs, labels).collect()
