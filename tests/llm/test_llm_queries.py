@@ -41,3 +41,37 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 3), (False, 9), (True, 0)]
+
+
+def test_near_dedup_stage_finds_edited_copies(spark):
+    """Pairs of texts at a five-word Jaccard similarity of 0.8 and more lose one side; pairs below 0.8 stay."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows, far = [], 0
+
+    def grams(w):
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    for k in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 400))]
+        edited = list(words)
+        for at in rng.sample(range(len(words)), rng.randrange(1, 11)):
+            edited[at] = f"x{rng.randrange(10**6)}"
+        a, b = grams(words), grams(edited)
+        far += len(a & b) < 0.8 * len(a | b)
+        rows += [(2 * k, " ".join(words), "en", "s", 1), (2 * k + 1, " ".join(edited), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()}
+    assert 0 < far < 60 and kept >= {2 * k for k in range(120)} and len(kept) == 120 + far
+
+
+def test_near_dedup_stage_joins_a_large_group(spark):
+    import corpus_pipeline
+
+    body = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*body[:k], f"x{k}", *body[k + 1 :]]), "en", "s", 1) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()] == [0]
