@@ -3,9 +3,11 @@
 Every page is parsed once into element nodes (tag, id and classes from the root down) and text blocks. The pages of one host are merged
 by node: a node's presentation importance is the entropy of its child sequences over the host's pages, a text node's content importance
 is one minus the mean entropy of its texts, and importance is composed bottom-up with damping ``DAMPING``. Branches under
-``LEAST_IMPORTANCE`` are noise and leave every page of the host. Elements whose tag, role or name states what they are (menus, footers,
-adverts, forms, scripts, comments) leave before, so hosts with few pages are cleaned too. Counting is by (host, node) with combined
-sums; only the merged templates of a host, nodes seen on several pages, meet in one group.
+``LEAST_IMPORTANCE`` are noise and leave every page of the host. Elements whose tag or role states what they are (menus, footers,
+forms, scripts) leave before, so hosts with few pages are cleaned too; those whose class or id does (adverts, comments) leave with them if
+they hold no article, main or h1 and, unless an article or main stands outside, under ``NAMED_SHARE`` of the page's text. Where names
+would leave nothing, they do not count. Counting is by (host, node) with combined sums; only the merged templates of a host, nodes seen
+on several pages, meet in one group.
 
 Null html is an empty page with an empty text; a null or odd url belongs to the host ''; repeated pages count as pages; where noise would
 leave nothing of a page, only the named elements leave; nodes deeper than ``MAX_DEPTH`` count as their ancestor there; extra columns are
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from lintlake.llm.frames import stash
 
 DAMPING, LEAST_IMPORTANCE, MIN_PAGES, MAX_DEPTH = 0.9, 0.2, 5, 64
+#: An element leaves for its class or id only with less than this share of its page's text; a wrapper of the article holds more.
+NAMED_SHARE = 0.5
 
 #: Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +45,9 @@ NAMES = set(
     "related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 ROOTS = {"html", "body", "article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What no element leaves with for its name.
+CORE = {"article", "main", "h1"}
 #: A start tag (key) ends an open element of these names.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -58,10 +65,10 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "node", "path", "dropped", "inside", "children")
+    __slots__ = ("tag", "node", "path", "dropped", "inside", "named", "children")
 
-    def __init__(self, tag: str, node: int, path: tuple[int, ...], dropped: bool, inside: bool):
-        self.tag, self.node, self.path, self.dropped, self.inside, self.children = tag, node, path, dropped, inside, []
+    def __init__(self, tag: str, node: int, path: tuple[int, ...], dropped: bool, inside: bool, named: tuple[int, ...]):
+        self.tag, self.node, self.path, self.dropped, self.inside, self.named, self.children = tag, node, path, dropped, inside, named, []
 
 
 class Page(HTMLParser):
@@ -71,25 +78,36 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[tuple[int, ...], str]] = []
         self.shapes: dict[int, tuple[int, set]] = {}
-        self.stack = [Element("", 0, (), False, False)]
+        self.sizes: list[int] = []  # text of each element with a noise name
+        self.core: set[int] = set()  # those with a part of CORE inside
+        self.marked = False  # text of an article or main outside all elements with a noise name
+        self.held: list[tuple[int, ...]] = []  # for each block the elements with a noise name around it
+        self.stack = [Element("", 0, (), False, False, ())]
         self.parts: list[str] = []
         self.linked = self.size = 0
-        self.links = 0
+        self.link: int | None = None  # size of the open link
         self.feed(html)
         self.close()
         self.flush()
         while len(self.stack) > 1:
             self.pop()
+        total = sum(len(t) for _, t in self.blocks)
+        gone = {k for k, n in enumerate(self.sizes) if k not in self.core and (self.marked or n < NAMED_SHARE * total)}
+        self.blocks = [b for b, named in zip(self.blocks, self.held, strict=True) if not gone.intersection(named)] or self.blocks
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         top = self.stack[-1]
         # outside the article a block that consists of links is a menu
-        menu = self.linked >= 0.9 * self.size and not top.inside and top.tag != "p"
+        menu = self.linked >= 0.9 * self.size and not top.inside and top.tag != "p" and top.tag not in HEADINGS
         if text and not top.dropped and not menu:
             self.blocks.append((top.path, text))
+            self.held.append(top.named)
+            self.marked |= top.inside and not top.named
+            for k in top.named:
+                self.sizes[k] += len(text)
             top.children.append("#text")
-        self.parts, self.linked, self.size = [], 0, 0
+        self.parts, self.linked, self.size, self.link = [], 0, 0, None
 
     def pop(self) -> None:
         done = self.stack.pop()
@@ -99,7 +117,9 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in INLINE:
-            self.links += tag == "a"
+            if tag == "a":  # ends an open link
+                self.linked += self.link or 0
+                self.link = 0 if any(name == "href" for name, _ in attrs) else None
             return
         if tag == "br":
             self.parts.append(" ")
@@ -120,14 +140,21 @@ class Page(HTMLParser):
             node = xxhash.xxh64_intdigest(label, top.node) & 0x7FFFFFFFFFFFFFFF
             path = (*path, node)
         top.children.append(label)
-        self.stack.append(Element(tag, node, path, top.dropped or named_noise(tag, given, top.inside), top.inside or tag in ("article", "main")))
+        dropped, named = top.dropped or role_noise(tag, given, top.inside), top.named
+        if tag in CORE and not dropped:
+            self.core.update(named)
+        if not dropped and named_noise(tag, given, top.inside):
+            named = (*named, len(self.sizes))
+            self.sizes.append(0)
+        self.stack.append(Element(tag, node, path, dropped, top.inside or tag in ("article", "main"), named))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if tag in INLINE:
-            self.links = max(0, self.links - (tag == "a"))
+            if tag == "a":
+                self.linked, self.link = self.linked + (self.link or 0), None
             return
         self.flush()
         scoped = tag in ENDS or tag == "p"
@@ -144,17 +171,23 @@ class Page(HTMLParser):
             self.parts.append(data)
             n = len(data) - data.count(" ")
             self.size += n
-            self.linked += n if self.links else 0
+            if self.link is not None:
+                self.link += n
 
 
-def named_noise(tag: str, attrs: dict, inside: bool) -> bool:
-    """Whether an element says of itself that it is no main text. ``inside``: within an article, where a header is its own."""
+def role_noise(tag: str, attrs: dict, inside: bool) -> bool:
+    """Whether an element's tag, role or visibility says that it is no main text. ``inside``: within an article, where a header is its own."""
     if tag in ROOTS:
         return False
     if tag in DROPPED or tag == "header" and not inside or (attrs.get("role") or "").lower() in ROLES:
         return True
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", ""):
-        return True
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
+
+
+def named_noise(tag: str, attrs: dict, inside: bool) -> bool:
+    """Whether an element's class or id suggests that it is no main text."""
+    if tag in ROOTS:
+        return False
     words = {w.lower() for name in ("class", "id") for w in _NAME_PARTS.findall(attrs.get(name) or "")}
     return bool(words & NAMES) or "header" in words and not inside and tag in ("div", "section", "table")
 

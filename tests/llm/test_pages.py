@@ -24,6 +24,23 @@ def test_named_elements_and_references(spark):
     assert got[4].text == "plain text"
 
 
+def test_wrappers_with_noise_names_keep_the_article(spark):
+    story = "<div><p>A long story about the town</p><p>and its river, told twice</p></div>"
+    names = ["content has-sidebar", "layout-no-sidebar", "no-ads", "site navigation-top"]
+    rows = [page(k, f"<div class='{n}'><div class=ad>Buy now</div>{story}</div>") for k, n in enumerate(names)]
+    rows += [
+        page(10, "<div class='no-sidebar'><h1>Short</h1></div><div><p>A longer text beside it</p></div>"),
+        page(11, "<div class='widget'>First half!</div><div class='related'>Other half!</div><div class='share'>Third part!</div>"),
+        page(12, "<div><a name=top><div>Kept after an open anchor</div></div>"),
+        page(13, "<div><h2><a href='/x'>Linked heading</a></h2><div><a href='/y'>Menu</a> <a href='/z'>Items</a></div><p>Text</p></div>"),
+    ]
+    rows = [(r[0], f"http://h{r[0]}.example/", *r[2:]) for r in rows]
+    got = {k: r.text for k, r in texts(spark, rows).items()}
+    assert all(got[k] == "A long story about the town and its river, told twice" for k in range(4))
+    assert got[10] == "Short A longer text beside it" and got[11] == "First half! Other half! Third part!"
+    assert got[12] == "Kept after an open anchor" and got[13] == "Linked heading Text"
+
+
 def test_repeated_branches_of_a_site_leave(spark):
     def body(k):
         return (
