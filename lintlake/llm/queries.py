@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.llm import cover_dedup, line_quality, line_runs, mixing, packing, quality_trees, simhash, site_style, spotsigs, toxicity
+from lintlake.llm import (
+    cover_dedup, decontamination, divergence, line_quality, line_runs, mixing, packing, quality_trees, simhash, site_style, spotsigs,
+    token_alignment, toxicity,
+)
 from lintlake.plans.registry import QueryFn
 
 QUERIES: dict[str, QueryFn] = {}
@@ -115,3 +118,50 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n,
   sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""")
 def op10_cover_dedup(spark, sf):
     return cover_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept_text")
+
+
+@query()
+def op11_token_alignment(spark, sf):
+    return token_alignment.align(table(spark, sf, "documents"))
+
+
+#: The words of a text between the given separators, A-Z in lower case.
+def _lower_words(separators: str) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"list_filter(regexp_split_to_array({low}, '{separators}+'), lambda x: x <> '')"
+
+
+@query(rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_lower_words(divergence.BETWEEN)} AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCUMENTS}),
+l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS n FROM kept GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+g AS (SELECT e.lang, e.source, coalesce(l.v, 0) AS v, coalesce(l.n, 0) AS all_n, coalesce((SELECT sum(n) FROM c WHERE c.lang = e.lang AND c.source = e.source), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) e LEFT JOIN l ON l.lang = e.lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (g.n + g.v) AS p,
+  1 + (1000000000 * (k.total + 1)::HUGEINT) // (g.all_n + g.v) AS q
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x
+QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}""")
+def op12_source_divergence(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+@query(rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_lower_words(decontamination.BETWEEN)} AS w FROM documents),
+i AS (SELECT item_id, w, least(len(w), {decontamination.WINDOW}) AS n FROM (SELECT item_id, {_lower_words(decontamination.BETWEEN)} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM i)),
+dw AS (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+h AS (SELECT dw.r, dw.p, dw.n, iw.item_id FROM dw JOIN iw ON iw.n = dw.n AND iw.k = dw.k),
+hit AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM h)) GROUP BY r),
+it AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(it.items, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""")
+def op13_benchmark_decontamination(spark, sf):
+    return decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
