@@ -20,34 +20,47 @@ from lintlake.streaming import live
 _STATUS = "CASE event_type WHEN 'error' THEN 'PANIC' WHEN 'signup' THEN 'DEGRADED' ELSE 'OK' END"
 
 
-PARTS = 4
+PARTS, FILE_ROWS = 4, 1_000_000
+#: Hours by which rows come late in the streams that take them in event time, and how long these wait.
+LATE, DELAY = 6, "7 hours"
 
 
-def event_stream(spark, sf):
-    """The given events as a stream that brings them in time order, one of ``PARTS`` folders of files per micro-batch.
+def event_stream(spark, sf, late: int = 0):
+    """The given events as a stream that brings them in ``PARTS`` micro-batches of files, by the time at which they arrive.
 
-    A file source follows the order in which files were written, so the parts are cut by time and written one by one.
+    A file source follows the order in which files were written, so the parts are cut by time and written one after the other, each in
+    many tasks. Rows without a time come with the last part. With ``late`` rows arrive up to so many hours after their time, in shuffled
+    order, and a heartbeat (a row without an id) ends the stream.
     """
     events = table(spark, sf, "events")
-    path, at = work_path(spark, "events"), F.unix_micros("ts")
-    cuts = events.agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)], 10_000)).first()[0] or []
+    path, hours = work_path(spark, "events"), 3_600_000_000
+    at = F.unix_micros("ts") + (F.pmod(F.xxhash64("event_id"), F.lit(late * hours)) if late else F.lit(0))
+    found = events.agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)], 10_000).alias("cuts"), F.count("*").alias("n"), F.max("ts").alias("last")).first()
+    cuts, files = found["cuts"] or [], max(1, -(-found["n"] // (PARTS * FILE_ROWS)))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = events
-        part = part.filter(at > low) if low is not None else part
-        part = part.filter(at <= high) if high is not None else part
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        if low is not None:
+            part = part.filter((at > low) | at.isNull()) if high is None else part.filter(at > low)
+        if high is not None:
+            part = part.filter(at <= high)
+        part.repartitionByRange(files, "ts").write.mode("append").parquet(path)
+    if late:
+        beat = spark.range(1).select(*[
+            (F.lit(found["last"]) + F.make_interval(years=F.lit(1)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+        beat.write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def log_stream(spark, sf):
     """The log lines, in several files and micro-batches."""
-    path = work_path(spark, "logs")
-    log_lines(spark, sf).select(F.col("line").alias("value")).repartition(PARTS).write.text(path)
-    return readers.tail_log(spark, path, 1)
+    path, lines = work_path(spark, "logs"), log_lines(spark, sf)
+    files = max(1, -(-lines.count() // (PARTS * FILE_ROWS)))
+    lines.select(F.col("line").alias("value")).repartition(PARTS * files).write.text(path)
+    return readers.tail_log(spark, path, files)
 
 
-def sensor_stream(spark, sf):
-    return event_stream(spark, sf).select(
+def sensor_stream(spark, sf, late: int = 0):
+    return event_stream(spark, sf, late).select(
         "event_id", F.concat(F.lit("app:"), F.col("user_id").cast("string")).alias("component_id"), F.expr(_STATUS).alias("status"),
         F.round(F.col("value") * 100).cast("long").alias("duration_ms"), "ts", "event_type",
     )
@@ -156,21 +169,22 @@ def x2_stream_events(spark, sf):
 
 @query("x3_stream_suppression", _greedy_sql("e AS (SELECT event_type AS component_id, ts, event_id FROM events)", "component_id", "45 MINUTE"))
 def x3_stream_suppression(spark, sf):
-    events = event_stream(spark, sf).withColumn("component_id", F.col("event_type"))
-    return live.drain(live.stream_suppress(events, 45 * 60), "suppressed").select("component_id", "event_id")
+    events = event_stream(spark, sf, LATE).withColumn("component_id", F.col("event_type"))
+    return live.drain(live.stream_suppress(events, 45 * 60, delay=DELAY), "suppressed").select("component_id", "event_id")
 
 
 @query("x4_stream_health", f"""WITH {SENSOR_CTE}, ok AS (SELECT component_id, max((ts, event_id)) AS k FROM sensor WHERE status = 'OK' GROUP BY component_id),
   s AS (SELECT s.component_id, count(*) FILTER (WHERE status <> 'OK' AND (ok.k IS NULL OR (ts, event_id) > ok.k)) AS consecutive_failures, coalesce(max(epoch_us(ts)) FILTER (WHERE status = 'OK'), 0) AS last_success,
   coalesce(max(epoch_us(ts)) FILTER (WHERE status <> 'OK'), 0) AS last_failure FROM sensor s LEFT JOIN ok ON ok.component_id = s.component_id GROUP BY s.component_id) SELECT *, consecutive_failures < 2 AS healthy FROM s""")
 def x4_stream_health(spark, sf):
-    return live.drain(live.stream_health(sensor_stream(spark, sf)), "health", "update", ["component_id"])
+    health = live.stream_health(sensor_stream(spark, sf, LATE), delay=DELAY)
+    return live.drain(health, "health", "update", ["component_id"])
 
 
 @query("x5_stream_debounce", _greedy_sql("e AS (SELECT 'u' || (user_id % 12) AS component_id, ts, event_id FROM events)", "component_id", "90 MINUTE").replace("SELECT kept.component_id, min", "SELECT kept.component_id AS path, min"))
 def x5_stream_debounce(spark, sf):
-    changes = event_stream(spark, sf).withColumn("path", F.concat(F.lit("u"), (F.col("user_id") % 12).cast("string")))
-    return live.drain(live.stream_debounce(changes, 90 * 60), "debounced").select("path", "event_id")
+    changes = event_stream(spark, sf, LATE).withColumn("path", F.concat(F.lit("u"), (F.col("user_id") % 12).cast("string")))
+    return live.drain(live.stream_debounce(changes, 90 * 60, delay=DELAY), "debounced").select("path", "event_id")
 
 
 @query("x6_stream_check", """SELECT CAST(count(*) AS BIGINT) AS error_count, sum(CASE WHEN event_type = 'error' THEN 20 ELSE 0 END) / count(*)::DOUBLE AS mean_score FROM events""")
@@ -207,8 +221,8 @@ def x7_open_windows(spark, sf):
 @query("k3_panic_alerts", "SELECT k.* FROM (" + _greedy_sql(f"{SENSOR_CTE}, e AS (SELECT component_id, ts, event_id FROM sensor WHERE status <> 'OK')", "component_id", "6 HOUR")
        + ") k JOIN events v ON v.event_id = k.event_id WHERE v.event_type = 'error'")
 def k3_panic_alerts(spark, sf):
-    failed = sensor_stream(spark, sf).filter("status <> 'OK'")
-    return live.drain(live.alerts(failed, 6 * 3600), "alerts").select("component_id", "event_id")
+    failed = sensor_stream(spark, sf, LATE).filter("status <> 'OK' OR event_id IS NULL")
+    return live.drain(live.alerts(failed, 6 * 3600, DELAY), "alerts").select("component_id", "event_id")
 
 
 # --- plug-ins ---------------------------------------------------------------------------------

@@ -1,7 +1,13 @@
 """Streaming operators: log filter, event threshold, suppression, health state, debounce, checks, windows.
 
-State is bounded: a suppressed key is forgotten once its gap is over and the watermark has passed it, windows close by the
-watermark, health is one small row per component (kept for good unless a time to live is given, as an old failure still counts).
+Suppression and health decide rows in event time, however they fall into micro-batches: rows wait in the state until the watermark has
+passed them (``delay`` behind the newest row seen) and are then taken in time order. Rows later than that are dropped by Spark, as are
+rows without a time. A row without ``row_id`` is a heartbeat: it moves the watermark and is nothing else, so a source that falls silent
+can have its last rows decided.
+
+State is bounded by what waits for the watermark: a suppressed key is forgotten once its gap is over and the watermark has passed it,
+windows close by the watermark, health is one small row per component (kept for good unless a time to live is given, as an old failure
+still counts). Stateful streams need the RocksDB state store (``ROCKS``), which ``drain`` sets for its stream.
 The rows of one micro-batch, and so of one key in it, are bounded by the source's ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
 """
 
@@ -11,13 +17,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lintlake.operators.telemetry import OK_REPORT_MS, matching_lines, reportable
 from lintlake.session import work_path
 from lintlake.sources.sinks import panics
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_errors(lines: DataFrame, regex: str = "ERROR|Traceback") -> DataFrame:
     """Matching log lines with their level."""
@@ -35,17 +44,100 @@ def stream_events(events: DataFrame, ok_threshold: float = OK_REPORT_MS) -> Data
 
 
 
+class _InTimeOrder(StatefulProcessor):
+    """Rows (us, id, extra) wait per key until the watermark has passed them; ``settle`` gets them in order, each once.
 
-def _forget_after(state: GroupState, micros: int) -> None:
-    """Time the state out when the watermark passes ``micros`` of event time."""
-    state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + 1)
+    ``last`` is the newest time that the settled rows left to remember (see ``keep_until``).
+    """
 
+    waiting_schema, settled_schema = "us long, id long, extra string", ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.settled = handle.getValueState("settled", self.settled_schema)
+
+    def take(self, rows: Iterator[pd.DataFrame], mark: int) -> list[tuple]:
+        """Let the new rows wait; all that wait now."""
+        new = []
+        for pdf in rows:
+            pdf = pdf[~pdf["beat"].astype(bool) & (pdf["us"] > mark)]
+            new += zip(pdf["us"].tolist(), pdf["id"].tolist(), pdf["extra"].tolist(), strict=True)
+        waiting = [tuple(row) for row in self.waiting.get()]
+        if new:
+            self.waiting.appendList(new)
+        return sorted([*waiting, *new], key=lambda row: row[:2])
+
+    def wake(self, at_us: int | None) -> None:
+        """One timer a key, for the earliest thing to come."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at_us is not None:
+            self.handle.registerTimer(-(-at_us // 1000))
+
+    def due(self, mark: int) -> list[tuple]:
+        """The waiting rows that the watermark has passed, in order; the others go on waiting."""
+        rows = sorted(self.waiting.get(), key=lambda row: tuple(row[:2]))
+        ready = [tuple(row) for row in rows if row[0] <= mark]
+        rest = [tuple(row) for row in rows if row[0] > mark]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        return ready
+
+    def first_waiting(self) -> int | None:
+        return min((row[0] for row in self.waiting.get()), default=None)
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(events: DataFrame, key: str, ts: str, row_id: str, delay: str, extra: Column) -> GroupedData:
+    """The rows as the processors read them, by key; names that a named tuple can have."""
+    slim = events.filter(F.col(ts).isNotNull()).withWatermark(ts, delay).select(
+        F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"),
+        F.coalesce(F.col(row_id).cast("long"), F.lit(0)).alias("id"), F.col(row_id).isNull().alias("beat"), extra.cast("string").alias("extra"))
+    return slim.groupBy("key")
+
+
+class _Suppress(_InTimeOrder):
+    """Settled is the time of the last row that passed."""
+
+    settled_schema = "us long"
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        waiting = self.take(rows, timerValues.getCurrentWatermarkInMs() * 1000)
+        if waiting:
+            self.wake(waiting[0][0])
+        yield self.passed(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        last = self.settled.get()[0] if self.settled.exists() else None
+        kept = []
+        for row in self.due(mark):
+            if last is None or row[0] >= last + self.gap:
+                kept.append(row)
+                last = row[0]
+        first = self.first_waiting()
+        if last is not None and last + self.gap > mark:
+            self.settled.update((last,))
+            first = min(first, last + self.gap) if first is not None else last + self.gap
+        else:
+            self.settled.clear()  # whatever still comes is due
+        self.wake(first)
+        yield self.passed(key, kept)
 
-def _ordered(batches: Iterator[pd.DataFrame], columns: list[str]) -> dict[str, np.ndarray]:
-    parts = [pdf[columns] for pdf in batches]
-    pdf = pd.concat(parts) if len(parts) > 1 else parts[0]
-    pdf = pdf.sort_values(["_us", "_id"], kind="stable")
-    return {c: pdf[c].to_numpy() for c in columns}
+    @staticmethod
+    def passed(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pd.DataFrame({
+            "_key": pd.Series([key[0]] * len(rows), dtype=object), "_us": np.array(columns[0], np.int64), "_id": np.array(columns[1], np.int64),
+            "_carry": pd.Series(list(columns[2]), dtype=object)})
 
 
 def stream_suppress(
@@ -54,88 +146,79 @@ def stream_suppress(
 ) -> DataFrame:
     """Greedy suppression per key; an event passes when the last one that passed is ``gap_seconds`` before it.
 
-    ``carry`` names one text column to keep.
-    Rows of a key are taken in time order within a micro-batch; rows older than the key's last passed event
-    never pass. A key whose gap the watermark has passed needs no state: whatever still comes is due.
+    ``carry`` names one text column to keep. The rows are those of the batch operator (N8), whatever micro-batches bring them, as long
+    as none is more than ``delay`` late; a row is decided once the watermark has passed it.
     """
-    gap = int(gap_seconds * 1_000_000)
-
-    def emit(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _ordered(batches, ["_us", "_id", "_carry"])
-        due = state.get[0] + gap if state.exists else rows["_us"][0]
-        times, at = rows["_us"], []
-        i = int(np.searchsorted(times, due, side="left"))
-        while i < len(times):
-            at.append(i)
-            i = int(np.searchsorted(times, times[i] + gap, side="left"))
-        if at:
-            state.update((int(times[at[-1]]),))
-        if state.exists:
-            _forget_after(state, state.get[0] + gap)
-        yield pd.DataFrame({"_key": k[0], "_us": times[at], "_id": rows["_id"][at], "_carry": rows["_carry"][at]})
-
-    slim = events.withWatermark(ts, delay).select(
-        F.col(key).cast("string").alias("_key"), F.col(ts), F.unix_micros(ts).alias("_us"), F.col(row_id).cast("long").alias("_id"),
-        (F.col(carry) if carry else F.lit("")).cast("string").alias("_carry"),
-    )
-    kept = slim.groupBy("_key").applyInPandasWithState(
-        emit, "_key string, _us long, _id long, _carry string", "last long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = _timed(events, key, ts, row_id, delay, F.col(carry) if carry else F.lit(""))
+    kept = rows.transformWithStateInPandas(
+        _Suppress(int(gap_seconds * 1_000_000)), "_key string, _us long, _id long, _carry string", "Append", "EventTime")
     extra = [F.col("_carry").alias(carry)] if carry else []
     return kept.select(F.col("_key").alias(key), F.timestamp_micros("_us").alias(ts), F.col("_id").alias(row_id), *extra)
 
 
-def alerts(failed: DataFrame, gap_seconds: float = 10) -> DataFrame:
+def alerts(failed: DataFrame, gap_seconds: float = 10, delay: str = "10 minutes") -> DataFrame:
     """K3: the PANICs among the failed events that pass the suppression."""
-    return panics(stream_suppress(failed, gap_seconds, carry="status"))
+    return panics(stream_suppress(failed, gap_seconds, carry="status", delay=delay))
 
 
-def stream_debounce(changes: DataFrame, gap_seconds: float = 2, row_id: str = "event_id") -> DataFrame:
+def stream_debounce(changes: DataFrame, gap_seconds: float = 2, row_id: str = "event_id", delay: str = "10 minutes") -> DataFrame:
     """Per path, changes at least two seconds after the last one that passed."""
-    return stream_suppress(changes, gap_seconds, key="path", row_id=row_id)
+    return stream_suppress(changes, gap_seconds, key="path", row_id=row_id, delay=delay)
 
 
-def stream_health(events: DataFrame, threshold: int = 2, delay: str = "10 minutes", ttl_seconds: float | None = None) -> DataFrame:
-    """Health per component after each micro-batch it has rows in (update mode).
+class _Health(_InTimeOrder):
+    """Settled: failures since the last success, the last success and failure, among the rows behind the watermark."""
 
-    A component's counters live for good, so that a streak survives any silence: state grows with the number of
-    components. ``ttl_seconds`` of event time without rows forgets a component.
-    """
+    settled_schema = "fails long, last_ok long, last_fail long"
+
+    def __init__(self, threshold: int, ttl: int | None):
+        self.threshold, self.ttl = threshold, ttl
 
-    def track(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def now(self, rows: list[tuple]) -> tuple[int, int, int]:
+        """The settled state with further rows, in order, on top."""
+        fails, last_ok, last_fail = self.settled.get() if self.settled.exists() else (0, 0, 0)
+        for us, _, extra in rows:
+            if extra == "OK":
+                fails, last_ok = 0, us
+            else:
+                fails, last_fail = fails + 1, us
+        return fails, last_ok, last_fail
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        waiting = self.take(rows, timerValues.getCurrentWatermarkInMs() * 1000)
+        if waiting:
+            self.wake(waiting[0][0])
+        if not waiting and not self.settled.exists():
             return
-        rows = _ordered(batches, ["_us", "_id", "_ok"])
-        fails, last_ok, last_fail = state.get if state.exists else (0, 0, 0)
-        ok = rows["_ok"].astype(bool)
-        if ok.any():
-            last = int(np.flatnonzero(ok)[-1])
-            fails, last_ok = int((~ok[last:]).sum()), max(last_ok, int(rows["_us"][last]))
-        else:
-            fails += len(ok)
-        if (~ok).any():
-            last_fail = max(last_fail, int(rows["_us"][np.flatnonzero(~ok)[-1]]))
-        state.update((fails, last_ok, last_fail))
-        if ttl_seconds is not None:
-            _forget_after(state, int(rows["_us"][-1] + ttl_seconds * 1_000_000))
+        fails, last_ok, last_fail = self.now(waiting)
         yield pd.DataFrame({
-            "component_id": [k[0]], "consecutive_failures": [fails], "last_success": [last_ok], "last_failure": [last_fail],
-            "healthy": [fails < threshold],
-        })
+            "component_id": [key[0]], "consecutive_failures": [fails], "last_success": [last_ok], "last_failure": [last_fail],
+            "healthy": [fails < self.threshold]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        state = self.now(self.due(mark))
+        first, end = self.first_waiting(), max(state[1:]) + (self.ttl or 0)
+        if self.ttl is not None and end <= mark:
+            self.settled.clear()
+        else:
+            self.settled.update(state)
+            if self.ttl is not None:
+                first = end if first is None else min(first, end)
+        self.wake(first)
+        return iter(())
 
-    slim = events.withWatermark("ts", delay).select(
-        F.col("component_id").alias("_key"), "ts", F.unix_micros("ts").alias("_us"), F.col("event_id").cast("long").alias("_id"),
-        (F.col("status") == "OK").alias("_ok"),
-    )
-    return slim.groupBy("_key").applyInPandasWithState(
-        track, "component_id string, consecutive_failures long, last_success long, last_failure long, healthy boolean",
-        "fails long, last_ok long, last_fail long", "update",
-        GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.EventTimeTimeout,
-    )
+
+def stream_health(events: DataFrame, threshold: int = 2, delay: str = "10 minutes", ttl_seconds: float | None = None) -> DataFrame:
+    """Health per component after each micro-batch it has rows in (update mode).
+
+    Rows not more than ``delay`` late count at their own time, whatever micro-batch brings them. A component's counters live for good, so
+    that a streak survives any silence: state grows with the number of components. ``ttl_seconds`` of event time without rows forgets one.
+    """
+    rows = _timed(events, "component_id", "ts", "event_id", delay, F.when(F.col("status") == "OK", "OK").otherwise(""))
+    return rows.transformWithStateInPandas(
+        _Health(threshold, None if ttl_seconds is None else int(ttl_seconds * 1_000_000)),
+        "component_id string, consecutive_failures long, last_success long, last_failure long, healthy boolean", "Update", "EventTime")
 
 
 def stream_metrics(metrics: DataFrame, width: str = "24 hours", delay: str = "1 hour") -> DataFrame:
@@ -165,6 +248,15 @@ def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] |
     without keys every row given.
     """
     spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        return _drained(spark, stream, name, mode, keys)
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def _drained(spark: SparkSession, stream: DataFrame, name: str, mode: str, keys: list[str] | None) -> DataFrame:
     path, checkpoint = work_path(spark, name), work_path(spark, f"{name}-checkpoint")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", path)
