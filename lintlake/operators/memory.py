@@ -10,6 +10,7 @@ from lintlake.operators.ranking import rank_within
 from lintlake.operators.lines import contains_any
 from lintlake.operators.timeline import BLOCK, running
 from lintlake.rules import scoring_rules as R
+from lintlake.sources.store import KeyedTable, Store
 
 
 def select_equal(table: DataFrame, **eq) -> DataFrame:
@@ -182,6 +183,36 @@ def retain_dry_run(table: DataFrame, now: Column, ts: str, days: int, min_import
     return table.agg(F.count_if(expired(now, ts, days, min_importance)).alias("expired"))
 
 
+# --- mutations of a stored table --------------------------------------------------------------
+
+#: Lessons with the same content hash share a bucket; those without one need not and are spread.
+LESSON_BUCKETS = "if(content_hash = '', concat('id ', id), content_hash)"
+
+
+def lessons_table(store: Store, name: str = "lessons", buckets: int = 64) -> KeyedTable:
+    return KeyedTable(store, name, LESSON_BUCKETS, buckets)
+
+
+def store_lessons(table: KeyedTable, new: DataFrame, batch: int | None = None) -> bool:
+    """M1 on a stored table: only the buckets of the new rows are read and rewritten; a batch that was stored before changes nothing."""
+    return table.merge(new, upsert_lessons, batch)
+
+
+def store_by_key(table: KeyedTable, new: DataFrame, keys: Sequence[str], version: str, batch: int | None = None) -> bool:
+    """M2 on a stored table in buckets by (some of) ``keys``."""
+    return table.merge(new, lambda old, rows: replace_by_key(old, rows, keys, version), batch)
+
+
+def delete_stored(table: KeyedTable, text: str, column: str = "id") -> bool:
+    """M4 on a stored table; whether a row was deleted."""
+    return table.remove(F.col(column).contains(text))
+
+
+def retain_stored(table: KeyedTable, now: Column, ts: str, days: int, min_importance: int | None = None) -> bool:
+    """M5 on a stored table; whether a row was too old."""
+    return table.remove(expired(now, ts, days, min_importance))
+
+
 # --- lookups and reports ----------------------------------------------------------------------
 
 def context_pack(redlines: DataFrame, lessons: DataFrame, templates: DataFrame, limits=(20, 5, 5)) -> DataFrame:

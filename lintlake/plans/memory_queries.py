@@ -12,6 +12,8 @@ from lintlake.plans.registry import query, sq, sql_list, sql_values
 from lintlake.plans.scan_queries import has_any
 from lintlake.plans.scoring_queries import INSIGHTS_CTE, RULES_CTE, _pick, insights
 from lintlake.rules import scoring_rules as R
+from lintlake.session import work_path
+from lintlake.sources.store import KeyedTable, Store
 
 BUGS_CTE = f"""{ERRORS_CTE}, bugs AS (SELECT id, error_type, file_path, pain AS pain_score, ts AS first_seen, CAST(1 + id % 4 AS BIGINT) AS occurrence_count,
   CASE WHEN id % 7 = 0 THEN 'resolved' ELSE 'active' END AS status, CAST(pain + id % 3 AS BIGINT) AS avg_pain FROM errors)"""
@@ -170,9 +172,12 @@ def t5_context_pack(spark, sf):
     return M.context_pack(redlines(spark, sf), lessons(spark, sf), templates(spark, sf))
 
 
-@query("m1_upserted_lessons", f"""WITH {LESSONS_CTE}, l AS (SELECT * FROM lessons) SELECT content_hash, arg_min(id, (captured_at, id)) AS id, arg_max(error_summary, (captured_at, id)) AS error_summary,
+_UPSERTED = f"""WITH {LESSONS_CTE}, l AS (SELECT * FROM lessons) SELECT content_hash, arg_min(id, (captured_at, id)) AS id, arg_max(error_summary, (captured_at, id)) AS error_summary,
   CAST(sum(failure_count) AS BIGINT) AS failure_count, epoch_us(max(captured_at)) AS captured_us FROM l WHERE content_hash <> '' GROUP BY content_hash
-  UNION ALL SELECT content_hash, id, error_summary, failure_count, epoch_us(captured_at) FROM l WHERE content_hash = ''""")
+  UNION ALL SELECT content_hash, id, error_summary, failure_count, epoch_us(captured_at) FROM l WHERE content_hash = ''"""
+
+
+@query("m1_upserted_lessons", _UPSERTED)
 def m1_upserted_lessons(spark, sf):
     rows = lessons(spark, sf)
     old, new = rows.filter("conv_id % 2 = 0").drop("conv_id"), rows.filter("conv_id % 2 = 1").drop("conv_id")
@@ -181,16 +186,39 @@ def m1_upserted_lessons(spark, sf):
     )
 
 
-@query("m2_replaced_contracts", """SELECT service, endpoint, arg_max(status_code, (seq, status_code)) AS status_code, max(seq) AS seq FROM (
-  SELECT 's' || (l_suppkey % 20) AS service, '/p' || (l_partkey % 300) AS endpoint, 200 + l_linenumber AS status_code, l_orderkey * 10 + l_linenumber AS seq FROM lineitem) GROUP BY ALL""")
-def m2_replaced_contracts(spark, sf):
+@query("m1_stored_lessons", _UPSERTED)
+def m1_stored_lessons(spark, sf):
+    rows = lessons(spark, sf)
+    kept = M.lessons_table(Store(spark, work_path(spark, "lessons")), buckets=16)
+    for batch in (0, 1, 1):  # the last one is a replay
+        M.store_lessons(kept, rows.filter(f"conv_id % 2 = {batch}").drop("conv_id"), batch)
+    return kept.read().select("content_hash", "id", "error_summary", "failure_count", F.unix_micros("captured_at").alias("captured_us"))
+
+
+_REPLACED = """SELECT service, endpoint, arg_max(status_code, (seq, status_code)) AS status_code, max(seq) AS seq FROM (
+  SELECT 's' || (l_suppkey % 20) AS service, '/p' || (l_partkey % 300) AS endpoint, 200 + l_linenumber AS status_code, l_orderkey * 10 + l_linenumber AS seq FROM lineitem) GROUP BY ALL"""
+
+
+def _contract_rows(spark, sf):
     rows = table(spark, sf, "lineitem").select(
         F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("service"),
         F.concat(F.lit("/p"), (F.col("l_partkey") % 300).cast("string")).alias("endpoint"),
         (F.col("l_linenumber") + 200).alias("status_code"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
     )
-    old, new = rows.filter("seq % 3 > 0"), rows.filter("seq % 3 = 0")
-    return M.replace_by_key(old, new, ["service", "endpoint"], "seq")
+    return rows.filter("seq % 3 > 0"), rows.filter("seq % 3 = 0")
+
+
+@query("m2_replaced_contracts", _REPLACED)
+def m2_replaced_contracts(spark, sf):
+    return M.replace_by_key(*_contract_rows(spark, sf), ["service", "endpoint"], "seq")
+
+
+@query("m2_stored_contracts", _REPLACED)
+def m2_stored_contracts(spark, sf):
+    kept = KeyedTable(Store(spark, work_path(spark, "contracts")), "contracts", "struct(service, endpoint)", 16)
+    for rows in _contract_rows(spark, sf):
+        M.store_by_key(kept, rows, ["service", "endpoint"], "seq")
+    return kept.read()
 
 
 _ADMIT_ERRORS = """e AS (SELECT event_id AS id, (['syntax_error', 'API_Error', 'import_error', 'race'])[1 + (event_id % 4)] AS error_type,
@@ -227,12 +255,29 @@ def m4_deleted_by_id(spark, sf):
     return M.delete_containing(rows, "_12")
 
 
+@query("m4_stored_delete", "SELECT event_id, 'ev_' || event_id AS id FROM events WHERE NOT contains('ev_' || event_id, '_12')")
+def m4_stored_delete(spark, sf):
+    kept = KeyedTable(Store(spark, work_path(spark, "event-rows")), "events", "id", 16)
+    kept.merge(table(spark, sf, "events").select("event_id", F.concat(F.lit("ev_"), F.col("event_id").cast("string")).alias("id")), lambda old, new: old.union(new))
+    M.delete_stored(kept, "_12")
+    return kept.read()
+
+
 @query("m5_retained_lessons", f"WITH {LESSONS_CTE} SELECT id FROM lessons WHERE NOT captured_at < (SELECT max(captured_at) FROM lessons) - INTERVAL 45 DAY")
 def m5_retained_lessons(spark, sf):
     rows = lessons(spark, sf)
     return M.retain(rows, latest_ts(rows, "captured_at"), "captured_at", 45).select("id")
 
 
+@query("m5_stored_retention", f"WITH {LESSONS_CTE} SELECT id FROM lessons WHERE NOT captured_at < (SELECT max(captured_at) FROM lessons) - INTERVAL 45 DAY")
+def m5_stored_retention(spark, sf):
+    rows = lessons(spark, sf).drop("conv_id")
+    kept = M.lessons_table(Store(spark, work_path(spark, "lessons")), buckets=16)
+    kept.merge(rows, lambda old, new: old.unionByName(new))
+    M.retain_stored(kept, latest_ts(rows, "captured_at"), "captured_at", 45)
+    return kept.read().select("id")
+
+
 @query("m5_retained_templates", f"WITH {TEMPLATES_CTE} SELECT id FROM templates WHERE NOT (created_at < (SELECT max(created_at) FROM templates) - INTERVAL 30 DAY AND importance < 5)")
 def m5_retained_templates(spark, sf):
     rows = templates(spark, sf)

@@ -104,7 +104,7 @@ def k2_replaced_snapshots(spark, sf):
     sinks.save_snapshot(files.filter("doc_id % 2 = 0").select("path"), path, "a")
     sinks.save_snapshot(files.filter("doc_id % 2 = 1").select("path"), path, "b")
     sinks.save_snapshot(files.filter("doc_id % 2 = 1 AND doc_id % 3 = 0").select("path"), path, "b")
-    return readers.table(spark, path).select("snapshot_id", "path")
+    return sinks.all_snapshots(spark, path).select("snapshot_id", "path")
 
 
 def _three_snapshots(spark, sf) -> str:

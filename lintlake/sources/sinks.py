@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lintlake.sources.store import Store
+
 
 def append(df: DataFrame, path: str) -> None:
     """K1: add rows to a JSON-lines log."""
@@ -11,27 +13,29 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def save_snapshot(df: DataFrame, path: str, snapshot_id: str) -> None:
-    """K2: replace one named snapshot; the others stay."""
-    (
-        df.withColumn("snapshot_id", F.lit(snapshot_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
-    )
+    """K2: replace one named snapshot, also by no rows; the others stay, and readers see the old one or the new one."""
+    Store(df.sparkSession, path).save(snapshot_id, df)
 
 
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """M9: the named snapshots of a store with their row counts."""
-    return spark.read.parquet(path).groupBy(F.col("snapshot_id").cast("string").alias("snapshot_id")).agg(F.count("*").alias("n"))
+    return spark.createDataFrame(list(Store(spark, path).rows().items()), "snapshot_id string, n long")
 
 
 def get_snapshot(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
-    """M9: the rows of one named snapshot; none if there is no such name."""
-    return spark.read.parquet(path).filter(F.col("snapshot_id").cast("string") == snapshot_id)
+    """M9: the rows of one named snapshot; no rows and no columns but ``snapshot_id`` if there is no such name."""
+    rows = Store(spark, path).read(snapshot_id)
+    return spark.createDataFrame([], "snapshot_id string") if rows is None else rows.withColumn("snapshot_id", F.lit(snapshot_id))
+
+
+def all_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """M9: the rows of all snapshots, with their names."""
+    return Store(spark, path).read_all("snapshot_id")
 
 
 def delete_snapshot(spark: SparkSession, path: str, snapshot_id: str) -> bool:
-    """M9: delete one named snapshot's partition; whether there was one."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"snapshot_id={snapshot_id}")
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """M9: delete one named snapshot; whether there was one."""
+    return Store(spark, path).delete(snapshot_id)
 
 
 def panics(events: DataFrame) -> DataFrame:
