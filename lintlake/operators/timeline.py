@@ -170,7 +170,7 @@ def _block_entries(gap: int, width: int):
 
 def _fold_thresholds(gap: int):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = block = None
+        key = block = object()  # unlike any, null too
         due = low = None  # next time that may pass; its value at the block's start
         done = True
         for pdf in batches:
