@@ -75,6 +75,35 @@ def test_line_runs(docs, empty):
     assert line_runs.drop_lines(empty).count() == 0
 
 
+def test_line_runs_of_batches(spark, docs):
+    """A key that was found often enough is not counted again; the rows do not depend on the batches."""
+    for batches in (1, 4, 7):
+        got = line_runs.drop_lines(docs, 3, batches).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+        assert plain(got.collect()) == plain(brute.common_lines(PAIRS, 3))
+    runs = line_runs.LineRuns(spark, limit=3)
+    runs.add(docs)
+    seen = runs.common(3).count()
+    runs.add(docs)
+    assert seen and runs.levels[1][0].filter("n_docs >= 3").count() >= seen
+    assert runs.counts().agg(F.max("n_docs")).first()[0] < 2 * brute_most(PAIRS)
+
+
+def brute_most(pairs):
+    from collections import Counter
+
+    return max(Counter(k for _, t in pairs for k in {x.strip("\t\x0b\x0c\r ").lower() for x in (t or "").split("\n")} if k).values())
+
+
+def test_line_runs_of_a_very_long_text(spark):
+    """A million lines in one text; own columns called as the counts stay."""
+    text = "\n".join(f"line {k % 600_000}" for k in range(1_000_000))
+    rows = [(1, text, "mine")] + [(k, "line 5\nown " + str(k), "mine") for k in range(2, 14)]
+    got = line_runs.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines string"))
+    assert got.columns == ["doc_id", "text", "n_lines", "n_lines_", "n_dropped"]
+    found = {r.doc_id: (r.n_lines, r.n_lines_, r.n_dropped) for r in got.drop("text").collect()}
+    assert found[1] == ("mine", 1_000_000, 2) and found[2] == ("mine", 2, 1)
+
+
 def test_line_runs_are_levelled(spark, docs):
     runs = line_runs.LineRuns(spark, fanout=2)
     for k in range(5):
