@@ -20,7 +20,28 @@ _IMPORT = r"^(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import\s+(.+))$"
 @query("v4_import_facts", over_lines(rf"""SELECT path, line_no, CASE WHEN m[2] <> '' THEN m[2] ELSE m[3] END AS module, CASE WHEN m[2] <> '' THEN m[2] ELSE trim(unnest(string_split(m[4], ','))) END AS imported
   FROM (SELECT path, line_no, [''] || [regexp_extract(line, {sq(_IMPORT)}, 1), regexp_extract(line, {sq(_IMPORT)}, 2), regexp_extract(line, {sq(_IMPORT)}, 3)] AS m FROM lines WHERE ext = 'py' AND regexp_matches(line, {sq(_IMPORT)}))"""))
 def v4_import_facts(spark, sf):
-    return V.import_facts(L.to_lines(code_files(spark, sf))).select("path", F.col("line_no").cast("long").alias("line_no"), "module", "imported")
+    return V.import_facts(code_files(spark, sf)).select("path", "line_no", "module", "imported")
+
+
+#: Plain imports of the corpus in other forms: indented, with an alias, a list, a comment; in brackets over several lines.
+_FORMS = [
+    (r"(?m)^import ([\w.]+)$", "if ready:\n    import $1 as short, os.path  # import none"),
+    (r"(?m)^from ([\w.]+) import ([\w, ]+)$", "text = '''\nimport nothing\n'''\nfrom $1 import (  # (\n    $2 as kept,\n    other,\n); from . \\\\\n  import near"),
+]
+
+
+@query("v4_import_forms", over_lines(rf"""SELECT path, module, imported, alias, count(*) AS n FROM (
+  SELECT path, unnest([{{'module': i, 'imported': i, 'alias': 'short'}}, {{'module': 'os.path', 'imported': 'os.path', 'alias': NULL}}], recursive := true)
+    FROM (SELECT path, regexp_extract(line, {sq(_IMPORT)}, 1) AS i FROM lines WHERE ext = 'py') WHERE i <> ''
+  UNION ALL SELECT path, m, trim(unnest(string_split(names, ','))), unnest(list_append(list_transform(range(len(string_split(names, ',')) - 1), lambda x: NULL::VARCHAR), 'kept'))
+    FROM (SELECT path, regexp_extract(line, {sq(_IMPORT)}, 2) AS m, regexp_extract(line, {sq(_IMPORT)}, 3) AS names FROM lines WHERE ext = 'py') WHERE m <> ''
+  UNION ALL SELECT path, unnest([m, '.']), unnest(['other', 'near']), NULL FROM (SELECT path, regexp_extract(line, {sq(_IMPORT)}, 2) AS m FROM lines WHERE ext = 'py') WHERE m <> '')
+  GROUP BY ALL"""))
+def v4_import_forms(spark, sf):
+    content = F.col("content")
+    for pattern, form in _FORMS:
+        content = F.regexp_replace(content, pattern, form)
+    return V.import_facts(code_files(spark, sf).withColumn("content", content)).groupBy("path", "module", "imported", "alias").agg(F.count("*").alias("n"))
 
 
 @query("v4_definition_facts", over_lines(r"""SELECT path, line_no, regexp_extract(line, '^\s*(?:async\s+)?(def|class)\s+(\w+)', 1) AS kind, regexp_extract(line, '^\s*(?:async\s+)?(def|class)\s+(\w+)', 2) AS name,

@@ -63,10 +63,32 @@ def test_cycles_have_no_length_bound(spark):
 def test_line_facts(spark):
     code = ["import os.path", "from a import b as c, d", "    async def f(x):", "class K:", "x = import_it", "define = 1"]
     lines = spark.createDataFrame([("r", "a.py", "py", k, t) for k, t in enumerate(code, 1)], "repo string, path string, ext string, line_no int, line string")
-    assert sorted((r.module, r.imported) for r in V.import_facts(lines).collect()) == [("a", "b as c"), ("a", "d"), ("os.path", "os.path")]
+    files = spark.createDataFrame([("r", "a.py", "py", "\n".join(code)), ("r", "b.ts", "ts", "import x")], "repo string, path string, ext string, content string")
+    assert sorted((r.module, r.imported, r.alias or "") for r in V.import_facts(files).collect()) == [("a", "b", "c"), ("a", "d", ""), ("os.path", "os.path", "")]
     assert sorted((r.kind, r.name, r.is_async) for r in V.definition_facts(lines).collect()) == [("class", "K", False), ("def", "f", True)]
 
 
+@pytest.mark.parametrize(("code", "want"), [
+    ("import ok", [(1, "ok", "ok", None)]),
+    ("import a as b", [(1, "a", "a", "b")]),
+    ("import a, c.d as e", [(1, "a", "a", None), (1, "c.d", "c.d", "e")]),
+    ("try:\n\timport a\nexcept ImportError: import b", [(2, "a", "a", None), (3, "b", "b", None)]),
+    ("import os  # import not", [(1, "os", "os", None)]),
+    ("x = 1\nfrom x import (\n    a,  # (\n    b as c,\n)\nimport z", [(2, "x", "a", None), (2, "x", "b", "c"), (6, "z", "z", None)]),
+    ("from a import b as c, d", [(1, "a", "b", "c"), (1, "a", "d", None)]),
+    ("from a \\\n    import b, \\\n    c", [(1, "a", "b", None), (1, "a", "c", None)]),
+    ("from . import x\nfrom ..y.z import *\nfrom .w import(q)", [(1, ".", "x", None), (2, "..y.z", "*", None), (3, ".w", "q", None)]),
+    ("import a; import b;x = 'import c'", [(1, "a", "a", None), (1, "b", "b", None)]),
+    ('''"""\nimport no\n# it's\n"""\nimport yes\ns = "# import" + f\'\'\'\nfrom no import no\n\'\'\'\nimport too''', [(5, "yes", "yes", None), (9, "too", "too", None)]),
+    ("f(1, [2,\nimport a\nx = ')'\nimport b", [(2, "a", "a", None), (4, "b", "b", None)]),
+    ("important = 1\nx.import_it()\nimport\nfrom x\nyield_from = 1", []),
+    ("", []),
+    ("import a\r\nimport b\r\n", [(1, "a", "a", None), (2, "b", "b", None)]),
+])
+def test_import_forms(code, want):
+    assert list(V.imports_of(code)) == want
+
+
 def test_names_that_need_no_import(spark):
     free = ["print", "breakpoint", "exit", "quit", "help", "reduce", "__import__", "pytest", "mock", "patch", "xfail", "ValueError", "Ellipsis"]
     calls = [("r", "a.py", "call", n, "name", "", k) for k, n in enumerate([*free, "frobnicate"])]
