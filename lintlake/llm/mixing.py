@@ -163,7 +163,9 @@ def _cut_rows(names: list[str], plan_name: str):
                     out.append([k, text if whole else data[words.starts[first] : words.ends[end - 1]].tobytes().decode()])
             rows = batch.take(pa.array([k for k, _ in out], pa.int64()))
             texts = [t for _, t in out]
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names and pa.types.is_integer(rows.column("n_chars").type):
+                new["n_chars"] = pa.array([len(t) for t in texts], rows.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in names], names)
 
     return run

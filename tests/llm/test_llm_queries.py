@@ -75,3 +75,17 @@ def test_near_dedup_stage_joins_a_large_group(spark):
     rows = [(k, " ".join([*body[:k], f"x{k}", *body[k + 1 :]]), "en", "s", 1) for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()] == [0]
+
+
+def test_stages_keep_the_types_and_values_of_other_columns(spark):
+    """An int ``n_chars`` and columns called as the stages' own counts."""
+    import corpus_pipeline
+
+    rows = [(k, f"shared line\ntext number {k} of some words", "en", f"s{k % 3}", 7, f"x{k}", 1.5) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, n_lines string, n_dropped double")
+    clean = corpus_pipeline.drop_common_lines(spark, docs, SF)
+    assert clean.dtypes == docs.dtypes
+    assert {(r.n_chars == len(r.text), r.n_lines == f"x{r.doc_id}", r.n_dropped) for r in clean.collect()} == {(True, True, 1.5)}
+    mixed = corpus_pipeline.mix_sources(spark, clean, SF)
+    assert mixed.dtypes == docs.dtypes
+    assert {r.n_chars == len(r.text) for r in mixed.collect()} == {True}
