@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from lintlake.operators import gates as G, registry as V, rollups as R, scans as S, scoring as SC
+from lintlake.operators import gates as G, registry as V, rollups as R, rule_index, scans as S, scoring as SC
 from lintlake.plans.corpus import code_files, over_files, over_lines, table
 from lintlake.plans.model import LOG_CTE, SENSOR_CTE, log_lines, sensor_events
 from lintlake.plans.registry import query, sq, sql_values
@@ -269,3 +269,14 @@ _PACK = [("P1", r"\bTODO\b", "LOW", True), ("P2", r"print\(", "INFO", True), ("P
 def v5_rule_pack(spark, sf):
     pack = spark.createDataFrame(_PACK, "rule_id string, pattern string, severity string, enabled boolean")
     return V.run_rule_pack(code_files(spark, sf), V.rule_rows(pack))
+
+
+#: One rule a word of the benchmark texts; a match is a line with the word and whatever letters follow.
+@query("v5_large_rule_pack", over_lines("""SELECT repo, path, line_no, 'W:' || word AS rule_id, 'LOW' AS level FROM lines
+  JOIN (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS word FROM benchmark) ON contains(line, word)"""))
+def v5_large_rule_pack(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("word")).distinct()
+    pack = words.select(
+        F.concat(F.lit("W:"), "word").alias("rule_id"), F.concat("word", F.lit("[a-z]*")).alias("pattern"), F.lit("LOW").alias("severity"),
+        F.lit(True).alias("enabled"))
+    return rule_index.run_large_rule_pack(code_files(spark, sf), pack)

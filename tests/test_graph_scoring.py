@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake.functions import scalars as fn
-from lintlake.operators import contracts as C, facts as V, gates as GT, graph as G, registry, rollups as R, scoring as S
+from lintlake.operators import rule_index, contracts as C, facts as V, gates as GT, graph as G, registry, rollups as R, scoring as S
 from lintlake.session import work_path
 from lintlake.streaming import live
 
@@ -96,6 +96,42 @@ def test_names_that_need_no_import(spark):
     assert [r.name for r in G.missing_imports(facts).collect()] == ["frobnicate"]
 
 
+@pytest.mark.parametrize(("pattern", "want"), [
+    ("password", "password"), (r"\bprint\(", "print("), ("ab+cdef", "cdef"), ("abcd?ef", "abc"), ("abc|def", ""), ("(abc|def)ghij", "ghij"), ("a{2,3}bcd", "bcd"),
+    (r"[a-z\]]+_key", "_key"), ("(?i)secret", ""), (r"x\.y\/z", "x.y/z"), ("", ""), ("(a(b)c)*", ""), (r"\x41bcd", ""), ("abc*?def", "def"), ("a.bcd.e", "bcd"),
+    ("(?:key|token)[(]=value", "=value"), (r"\Qa.b\E", ""),
+])
+def test_required_literals(pattern, want):
+    assert rule_index.required_literal(pattern) == want
+
+
+def test_a_pack_of_thousands_of_rules(spark):
+    """The rows of searching every rule in every line; a plan that does not grow with the pack."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 8))) for _ in range(4000)]
+    patterns = [rng.choice([w, rf"\b{w}", f"{w}+", f"{w[:4]}.*{w[2:]}", f"({w[:3]}|x){w[1:]}", f"{w[0]}{{1,2}}{w[1:]}\\("]) for w in words]
+    rules = [(f"R{k}", p, "LOW", True) for k, p in enumerate(patterns)] + [("S1", "ab", "HIGH", True), ("S2", "(?i)ABCDE", "HIGH", True), ("S3", "x|é", None, True)]
+    rules += [("off", "abcd", "LOW", False), ("null", None, "LOW", True), ("R0", patterns[0], "LOW", True)]
+    texts = [" ".join(rng.choice([*words, "x", "é日本", words[0] + "(", words[5] * 2]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    files = spark.createDataFrame([("r", f"p{k}", "py", "\n".join(texts[k::4])) for k in range(4)], "repo string, path string, ext string, content string")
+    pack = spark.createDataFrame(rules, "rule_id string, pattern string, severity string, enabled boolean")
+    compiled = [(i, re.compile(p)) for i, p, _, on in rules if on and p is not None]
+    want = sorted((f"p{k}", n, i) for k in range(4) for n, line in enumerate(texts[k::4], 1) for i, p in compiled if p.search(line))
+    got = rule_index.run_large_rule_pack(files, pack)
+    assert sorted((r.path, r.line_no, r.rule_id) for r in got.collect()) == want and len(want) > 400
+
+    literal = [r for r in rules if r[1] and len(rule_index.required_literal(r[1])) >= rule_index.Q]
+
+    def plan_size(n):
+        found = rule_index.run_large_rule_pack(files, spark.createDataFrame(literal[:n], pack.schema))
+        return len(re.sub(r"\d+", "", found._jdf.queryExecution().optimizedPlan().toString()))
+
+    assert abs(plan_size(3000) - plan_size(10)) < 500
+
+
 def test_rule_packs_of_any_size(spark):
     rules = [{"rule_id": f"R{k}", "pattern": f"word{k}\\b", "severity": "LOW"} for k in range(450)]
     files = spark.createDataFrame([("r", "a.py", "py", "x word7\nword449 word200\nnone")], "repo string, path string, ext string, content string")
