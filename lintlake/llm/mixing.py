@@ -126,7 +126,8 @@ class Mix:
                         ["shard", "sid", "block", "turn"],
                     )
 
-        return numbered.mapInArrow(place, "shard long, sid int, block long, turn int")
+        # the window leaves all shards of a source in one task
+        return numbered.repartition("shard").mapInArrow(place, "shard long, sid int, block long, turn int")
 
     def pieces(self) -> DataFrame:
         """sid, begin, _row, block, first and end (words of the document that lie in the block)."""
@@ -140,13 +141,15 @@ class Mix:
         return each.select("sid", "begin", "_row", "block", low.alias("first"), high.alias("end"))
 
 
+#: Both sides of the joins below grow with the documents; compressed tables look small enough to be broadcast, hence the hints.
+
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target (of the source), taken (words that the mix takes, repeats counted) per row of ``docs``."""
     mix = Mix(docs, seed)
     uses = mix.slots().groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    taken = mix.pieces().join(uses, ["sid", "block"]).groupBy("sid", "begin").agg(F.sum((F.col("end") - F.col("first")) * F.col("uses")).alias("taken"))
+    taken = mix.pieces().join(uses.hint("merge"), ["sid", "block"]).groupBy("sid", "begin").agg(F.sum((F.col("end") - F.col("first")) * F.col("uses")).alias("taken"))
     words = mix.sizes.withColumn("at", F.when(F.col("size") > 0, F.col("begin")))
-    return words.join(taken.withColumnRenamed("begin", "at"), ["sid", "at"], "left").select(
+    return words.join(taken.withColumnRenamed("begin", "at").hint("merge"), ["sid", "at"], "left").select(
         "doc_id", "size", F.col("words").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).alias("taken")
     )
 
@@ -190,8 +193,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     mix = Mix(docs, seed)
     piece = F.struct("begin", "turn", "first", "end")
     row, plan = fresh(docs, "_row"), fresh(docs, "_plan")
-    taken = mix.pieces().join(mix.slots(), ["sid", "block"]).groupBy(F.col("_row").alias(row)).agg(F.collect_list(piece).alias(plan))
+    taken = mix.pieces().join(mix.slots().hint("merge"), ["sid", "block"]).groupBy(F.col("_row").alias(row)).agg(F.collect_list(piece).alias(plan))
     names = docs.columns
-    keyed = docs.withColumn(row, row_key()).dropDuplicates([row]).join(taken, row).select(*names, plan)
+    keyed = docs.withColumn(row, row_key()).dropDuplicates([row]).join(taken.hint("merge"), row).select(*names, plan)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return keyed.mapInArrow(_cut_rows(names, plan), schema)
