@@ -1,21 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The fit takes at most ``MAX_ROWS`` labelled rows (the lowest hashes of their ids). Its vocabulary holds the terms that occur
-in more toxic than other examples, beyond chance (likelihood ratio over ``MIN_RATIO``); examples become unit TF-IDF
-vectors over it (equal ones a single entry with their mean label), lie in blocks of ``BLOCK`` and the index keeps each term's largest weight in each block. A query visits blocks by
-falling upper bound and stops when no block can beat its ``NEIGHBOURS``-th best, which leaves the exact nearest examples. Their votes,
-weighted by cosine and shrunk to the base rate, are calibrated by an isotonic fit of leave-one-out votes of at most
-``CALIBRATION_ROWS`` entries.
-The index is bounded by ``MAX_ROWS`` and broadcast; texts are read once to fit and once to score.
-
-Null or empty texts have no terms and get the calibrated base rate; copies get equal scores; without labels to learn from all scores
-are 0; several labels of one id count as the highest; null ids have no label; of equally near entries any may be left out; extra columns are
-ignored; an empty table gives no rows.
+The fit takes at most ``MAX_ROWS`` labelled rows (the lowest hashes of their ids) of together at most ``MAX_POSTINGS`` distinct terms.
+Its vocabulary is every term of these but those in a single example or in over ``MAX_SHARE`` of them. A term weighs its inverse document
+frequency times its relevance frequency, log2(2 + toxic examples / other examples with it): no term is left out for its label, but
+neighbours are near by what they say about it. Examples are unit vectors (equal ones a single entry with their mean label) in blocks of
+``BLOCK``; the index keeps, per term, its postings by block and the largest weight in each block that has it. A query adds up the bounds
+of its blocks, visits the ``FIRST`` best, then those whose bound reaches its ``NEIGHBOURS``-th best cosine, which gives the exact nearest
+examples. Their votes, weighted by cosine and shrunk to the base rate, are calibrated by an isotonic fit of leave-one-out votes of at
+most ``CALIBRATION_ROWS`` entries.
+The index is bounded by ``MAX_ROWS`` and ``MAX_POSTINGS`` and broadcast; texts are read once to fit and once to score.
+
+Texts without a known term (null or empty ones too) have no neighbours and get the rate of toxic ones among such examples, shrunk to the
+base rate; copies get equal scores; without labels to learn from all scores are 0; several labels of one id count as the highest; null
+ids have no label; of equally near entries any may be left out; an example of more terms than are left of ``MAX_POSTINGS`` is no
+example; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lintlake.llm import text as T
+from lintlake.llm.frames import stash
 from lintlake.llm.quality_trees import held_out, learnable
 
-MAX_ROWS, MIN_DOCUMENTS, MIN_RATIO, MAX_TERMS = 20_000, 5, 30.0, 4096
-BLOCK, NEIGHBOURS, SHRINK, EVIDENCE, CALIBRATION_ROWS = 64, 15, 1.0, 3, 4000
+MAX_ROWS, MAX_POSTINGS, MAX_SHARE = 4000, 4_000_000, 0.9
+BLOCK, FIRST, NEIGHBOURS, SHRINK, EVIDENCE, CALIBRATION_ROWS = 64, 4, 15, 1.0, 3, 2000
 #: Terms are runs of letters and digits; all other ASCII separates.
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[48:58] = _SEPARATOR[97:123] = _SEPARATOR[128:] = False
@@ -41,24 +45,36 @@ def _terms(column, limit=T.SLICE_BYTES):
 
 
 def _example_rows(batches):
-    """One row per (example, distinct term)."""
+    """One row per (example, distinct term), one without a term for an example that has none."""
     for batch in batches:
         for lo, hi, doc, term in _terms(batch.column("text")):
+            none = np.setdiff1d(np.arange(hi - lo), doc)
             order = np.lexsort((term, doc))
             doc, term = doc[order], term[order]
-            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))) if len(doc) else doc
-            count = np.diff(np.append(first, len(doc)))
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
+            first = np.flatnonzero(new)
+            count = np.append(np.diff(np.append(first, len(doc))), np.zeros(len(none), np.int64))
             ids, y = (batch.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in ("doc_id", "y"))
+            owner = np.append(doc[first], none)
+            terms = pa.array(np.append(term[first].view(np.int64), np.zeros(len(none), np.int64)), mask=count == 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[doc[first]]), pa.array(y[doc[first]].astype(np.int32)), pa.array(term[first].view(np.int64)), pa.array(count.astype(np.int32))],
-                ["doc_id", "y", "term", "n"],
+                [pa.array(ids[owner]), pa.array(y[owner].astype(np.int32)), terms, pa.array(count.astype(np.int32))], ["doc_id", "y", "term", "n"]
             )
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The integers of all [first, last) in a row."""
+    size = last - first
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 @dataclass
 class Examples:
-    """The index. ``terms``: sorted term hashes; ``bounds``: (terms, blocks) largest weights; per block the postings (local example,
-    term, weight); ``ids``/``y``: the examples; ``prior``: the base rate; ``knots``: calibration (vote, score)."""
+    """The index. ``terms``: sorted term hashes; ``idf``: their weights; ``ids``/``y``: the examples; ``prior``: the base rate; ``none``:
+    the score without neighbours; ``knots``: calibration (vote, score). Entries are (term, block) pairs in order: term t has those from
+    ``at[t]`` to ``at[t + 1]``, each with its ``block``, its largest weight ``top`` and its postings from ``start[e]`` to ``start[e + 1]``
+    in ``doc``, ``weight``."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -66,42 +82,56 @@ class Examples:
     y: np.ndarray
     prior: float
     none: float = 0.0
-    bounds: np.ndarray = None
-    blocks: list = field(default_factory=list)
+    at: np.ndarray = None
+    block: np.ndarray = None
+    top: np.ndarray = None
+    start: np.ndarray = None
+    doc: np.ndarray = None
+    weight: np.ndarray = None
     knots: tuple = ((0.0, 1.0), (0.0, 1.0))
 
     def index(self, doc, term, weight) -> Examples:
-        n = -(-len(self.ids) // BLOCK)
-        self.bounds = np.zeros((len(self.terms), n))
-        np.maximum.at(self.bounds, (term, doc // BLOCK), weight)
-        order = np.argsort(doc, kind="stable")
-        doc, term, weight = doc[order], term[order], weight[order]
-        cut = np.searchsorted(doc, np.arange(n + 1) * BLOCK)
-        self.blocks = [(doc[a:b] % BLOCK, term[a:b], weight[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        order = np.lexsort((doc, term))
+        doc, term, self.weight = doc[order], term[order], weight[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (term[1:] != term[:-1]) | (doc[1:] // BLOCK != doc[:-1] // BLOCK)
+        first = np.flatnonzero(new)
+        self.doc, self.block, self.start = doc.astype(np.int32), (doc[first] // BLOCK).astype(np.int32), np.append(first, len(doc))
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.at = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
         return self
 
     def vector(self, term, count) -> tuple[np.ndarray, np.ndarray]:
-        """The unit TF-IDF vector over the vocabulary of a text with these vocabulary terms (indices) and counts."""
+        """The unit vector over the vocabulary of a text with these vocabulary terms (indices) and counts."""
         weight = (1 + np.log(count)) * self.idf[term]
         return term, weight / np.sqrt((weight**2).sum())
 
     def nearest(self, term, weight, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the ``NEIGHBOURS`` nearest with a positive cosine."""
-        query = np.zeros(len(self.terms))
-        query[term] = weight
-        upper = weight @ self.bounds[term]
-        who, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or len(who) == NEIGHBOURS and upper[b] <= least + 1e-12:
-                break
-            local, t, w = self.blocks[b]
-            score = np.bincount(local, w * query[t], minlength=BLOCK)
+        entry = _ranges(self.at[term], self.at[term + 1])
+        share = np.repeat(weight, self.at[term + 1] - self.at[term])
+        block = self.block[entry]
+        upper = np.bincount(block, share * self.top[entry], minlength=-(-len(self.ids) // BLOCK))
+        ahead = np.argsort(-upper, kind="stable")
+        who, cosine = np.zeros(0, np.int64), np.zeros(0)
+        for part in (ahead[:FIRST], ahead[FIRST:]):
+            if len(who) == NEIGHBOURS:
+                part = part[upper[part] > cosine[-1] - 1e-9]
+            wanted = np.zeros(len(upper), bool)
+            wanted[part[upper[part] > 0]] = True
+            some = wanted[block]
+            e = entry[some]
+            posting = _ranges(self.start[e], self.start[e + 1])
+            value = np.repeat(share[some], self.start[e + 1] - self.start[e]) * self.weight[posting]
+            score = np.bincount(self.doc[posting], value, minlength=len(self.ids))
+            if skip >= 0:
+                score[skip] = 0
             found = np.flatnonzero(score > 0)
-            found = found[found + b * BLOCK != skip]
-            who, cosine = np.append(who, found + b * BLOCK), np.append(cosine, score[found])
+            if len(found) > NEIGHBOURS:
+                found = found[score[found] >= np.partition(score[found], -NEIGHBOURS)[-NEIGHBOURS]]
+            who, cosine = np.append(who, found), np.append(cosine, score[found])
             best = np.lexsort((who, -cosine))[:NEIGHBOURS]
             who, cosine = who[best], cosine[best]
-            least = cosine[-1] if len(cosine) else 0.0
         return who, cosine
 
     def vote(self, who, cosine) -> float:
@@ -123,53 +153,67 @@ def _isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def fit(examples: DataFrame) -> Examples | None:
+def _within_bound(rows: DataFrame, most: int) -> np.ndarray:
+    """Ids of the examples, by the hashes of their ids, whose terms fit into ``most`` postings."""
+    sizes = rows.groupBy("doc_id").agg(F.count("term").alias("terms")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    left, ids = most, []
+    for r in sizes:
+        if r.terms <= left:
+            left -= r.terms
+            ids.append(r.doc_id)
+    return np.array(ids, np.int64)
+
+
+def fit(examples: DataFrame, most: int = MAX_POSTINGS) -> Examples | None:
     """``examples``: doc_id, y, text of labelled rows, at most ``MAX_ROWS`` of them."""
-    spark = examples.sparkSession
-    totals = examples.groupBy("y").count().collect()
-    n, toxic = sum(r["count"] for r in totals), sum(r["count"] for r in totals if r["y"])
-    if not n:
+    rows = stash(examples.mapInArrow(_example_rows, "doc_id long, y int, term long, n int"), "examples")
+    ids = _within_bound(rows, most)
+    if not len(ids):
         return None
-    rows = examples.mapInArrow(_example_rows, "doc_id long, y int, term long, n int")
-    a, b = F.sum(F.col("y").cast("double")), F.sum(1 - F.col("y").cast("double"))
-    counts = rows.groupBy("term").agg(a.alias("a"), b.alias("b")).filter(F.col("a") + F.col("b") >= MIN_DOCUMENTS)
-    ratio = sum(
-        2 * F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * n / ((F.col("a") + F.col("b")) * max(m, 1)))).otherwise(0)
-        + 2 * F.when(F.lit(m) > F.col(c), (m - F.col(c)) * F.log((m - F.col(c)) * n / ((n - F.col("a") - F.col("b")) * max(m, 1)))).otherwise(0)
-        for c, m in (("a", toxic), ("b", n - toxic))
-    )
-    chosen = counts.filter(F.col("a") + F.col("b") < n).filter(F.col("a") >= F.col("b")).withColumn("ratio", ratio).filter(F.col("ratio") >= MIN_RATIO)
-    vocabulary = chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term", (F.col("a") + F.col("b")).alias("df")).toPandas()
-    terms = vocabulary["term"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(terms)
-    idf = np.log((n + 1) / (vocabulary["df"].to_numpy(float)[order] + 1)) + 1
-    prior = toxic / n
+    kept = rows.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids)}))
+    found = rows.join(F.broadcast(kept), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("term", "ascending")])
+    doc_id, label, count = (found[c].to_numpy() for c in ("doc_id", "y", "n"))
+    ids, first, doc = np.unique(doc_id, return_index=True, return_inverse=True)
+    y = label[first].astype(float)
+    n, prior = len(ids), float(y.mean())
+    some = count > 0
+    doc, count = doc[some], count[some]
+    terms, term = np.unique(found["term"].drop_null().to_numpy().view(np.uint64), return_inverse=True)
+    df, toxic = np.bincount(term, minlength=len(terms)), np.bincount(term, y[doc], minlength=len(terms))
+    told = (df > 1) & (df <= max(MAX_SHARE * n, 2))
+    some = told[term]
+    doc, term, count = doc[some], (np.cumsum(told) - 1)[term[some]], count[some]
+    terms, df, toxic = terms[told], df[told], toxic[told]
+    weights = (np.log((n + 1) / (df + 1)) + 1) * np.log2(2 + toxic / np.maximum(df - toxic, 1))
+    has = np.zeros(n, bool)
+    has[doc] = True
+    none = float((y[~has].sum() + SHRINK * prior) / ((~has).sum() + SHRINK))
     if not len(terms):
-        return Examples(terms, idf, np.zeros(0, np.int64), np.zeros(0), prior, prior)
-    known = spark.createDataFrame(vocabulary[["term"]])
-    found = rows.join(F.broadcast(known), "term").toPandas().sort_values(["doc_id", "term"])
-    heads = found.drop_duplicates("doc_id")
-    doc = np.repeat(np.arange(len(heads)), found.groupby("doc_id", sort=True).size())
-    term = np.searchsorted(terms[order], found["term"].to_numpy(np.int64).view(np.uint64))
-    count = found["n"].to_numpy(np.int64)
+        return Examples(terms, weights, np.zeros(0, np.int64), np.zeros(0), prior, none)
     # examples with the same terms and counts are one entry with their mean label
-    sign = np.zeros(len(heads), np.uint64)
+    sign = np.zeros(n, np.uint64)
     np.add.at(sign, doc, T.mix(term.astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64)))
-    _, first, entry, size = np.unique(sign, return_index=True, return_inverse=True, return_counts=True)
-    y = np.bincount(entry, heads["y"].to_numpy(float)) / size
-    model = Examples(terms[order], idf, heads["doc_id"].to_numpy(np.int64)[first], y, prior)
-    one = np.isin(doc, first)
-    term, weight, doc = term[one], (1 + np.log(count[one])) * idf[term[one]], entry[doc[one]]
-    by_entry = np.argsort(doc, kind="stable")
-    doc, term, weight = doc[by_entry], term[by_entry], weight[by_entry]
-    weight /= np.sqrt(np.bincount(doc, weight**2))[doc]
-    model.index(doc, term, weight)
-    cut = np.searchsorted(doc, np.arange(len(first) + 1))
-    some = np.arange(0, len(first), -(-len(first) // CALIBRATION_ROWS))
+    owners = np.flatnonzero(has)
+    _, head, entry, size = np.unique(sign[owners], return_index=True, return_inverse=True, return_counts=True)
+    mean = np.bincount(entry, y[owners]) / size
+    weight = (1 + np.log(count)) * weights[term]
+    weight /= np.sqrt(np.bincount(doc, weight**2, minlength=n))[doc]
+    # entries of like heaviest terms share blocks, which keeps the blocks' bounds low
+    order = np.lexsort((-weight, doc))
+    heaviest = np.full(n, -1)
+    heaviest[doc[order][::-1]] = term[order][::-1]
+    rank = np.lexsort((heaviest[owners[head]], mean))
+    head, mean, size = owners[head][rank], mean[rank], size[rank]
+    place = np.full(n, -1)
+    place[head] = np.arange(len(head))
+    one = place[doc] >= 0
+    doc, term, weight = place[doc[one]], term[one], weight[one]
+    model = Examples(terms, weights, ids[head], mean, prior, none).index(doc, term, weight)
+    order = np.argsort(doc, kind="stable")
+    term, weight, cut = term[order], weight[order], np.searchsorted(doc[order], np.arange(len(head) + 1))
+    some = np.arange(0, len(head), -(-len(head) // CALIBRATION_ROWS))
     votes = np.array([model.vote(*model.nearest(term[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]], k)) for k in some])
-    model.knots = _isotonic(votes, y[some], size[some])
-    empty = n - len(heads)
-    model.none = float((toxic - heads["y"].sum()) / empty) if empty else prior
+    model.knots = _isotonic(votes, mean[some], size[some])
     return model
 
 

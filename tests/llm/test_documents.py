@@ -225,6 +225,30 @@ def test_toxicity_learns(spark):
     assert any(r.held_out for r in out.values()) and all(out[k].examples for k, t in marks if t)
 
 
+def test_toxicity_finds_evidence_for_all(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join([f"w{rng.randrange(300)}" for _ in range(80)] + ["dolt"] * (k % 10 == 0))) for k in range(300)]
+    marks = spark.createDataFrame([(k, int(k % 10 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    texts = dict(rows)
+    known = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1000 + k, t) for k, t in rows] + [(2000, ""), (2001, None), (2002, "unheard")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(asked, marks, known).collect()}
+    held = {r.doc_id for r in toxicity.flagged(known, marks).collect() if r.held_out}
+    for k in texts:
+        assert len(got[1000 + k].examples) == toxicity.EVIDENCE
+        assert k in held or texts[got[1000 + k].examples[0]] == texts[k]
+    assert got[2000].examples == [] and got[2000].score == got[2001].score == got[2002].score
+    assert got[2000].score < 0.5
+
+
+def test_toxicity_postings_are_bounded(spark):
+    rows = [(k, 0, " ".join(f"w{j}" for j in range(10))) for k in range(1, 9)] + [(0, 1, " ".join(f"w{j}" for j in range(1000)))]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, y int, text string"), most=80)
+    assert len(model.terms) == 0 or len(model.doc) <= 80
+    assert model.prior == 0  # the long text is no example
+    assert toxicity.fit(spark.createDataFrame(rows[:0], "doc_id long, y int, text string")) is None
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 4))
