@@ -8,6 +8,8 @@ from lintlake.operators import contracts as C, drift as D
 from lintlake.plans.corpus import FILES_CTE, code_files, spread, table
 from lintlake.plans.registry import query
 from lintlake.plans.scoring_queries import _pick
+from lintlake.session import work_path
+from lintlake.sources.trees import store_tree, tree_changes
 
 CUR_CTE = f"""{FILES_CTE}, cur_files AS (SELECT repo, path, ext, CASE doc_id % 6 WHEN 0 THEN content || chr(10) || content WHEN 1 THEN content || chr(10) || content || chr(10) || content || chr(10) || content
   WHEN 3 THEN substr(content, 1, CAST(length(content) // 3 AS BIGINT)) WHEN 5 THEN content || chr(10) || '# x' ELSE content END AS content FROM files WHERE doc_id % 6 NOT IN (2, 3, 4) OR repo > 'src15'),
@@ -49,6 +51,13 @@ def j1_changed_files(spark, sf):
     return D.changed_files(cur, base)
 
 
+@query("j1_tree_changes", f"""WITH {CUR_CTE} SELECT * FROM (SELECT repo, path, CASE WHEN b.content_hash IS NULL THEN 'added' WHEN c.content_hash IS NULL THEN 'removed' WHEN b.content_hash <> c.content_hash THEN 'modified' END AS change,
+  b.content_hash AS base_hash, c.content_hash AS cur_hash FROM cur c FULL JOIN base b USING (repo, path)) WHERE change IS NOT NULL""")
+def j1_tree_changes(spark, sf):
+    base, cur = (store_tree(snap, work_path(spark, "tree")) for snap in snapshots(spark, sf))
+    return tree_changes(base, cur)
+
+
 @query("j2_grown_files", f"""WITH {CUR_CTE}, {_GROWTH} SELECT repo, path, base_lines, cur_lines, change_pct, CASE WHEN change_pct > 100 THEN 'high' ELSE 'medium' END AS level,
   CASE WHEN change_pct > 200 THEN 'split into modules now' WHEN change_pct > 100 THEN 'review the file''s responsibilities' ELSE 'refactor regularly' END AS advice FROM growth WHERE change_pct > 50""")
 def j2_grown_files(spark, sf):
