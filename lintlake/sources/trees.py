@@ -15,6 +15,8 @@ from lintlake.session import materialise
 
 DEPTH, PARTS, SPREAD = 3, 32, 8
 NODE = ["repo", "node"]
+_FILES = "repo string, path string, content_hash string, node string, part int"
+_NODES = "repo string, node string, n long, a decimal(38,0), b decimal(38,0)"
 
 
 def _directory(path: Column, depth: int) -> Column:
@@ -38,11 +40,11 @@ class Tree:
     parts: int
 
     def nodes(self, level: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/nodes/level={level}")
+        return self.spark.read.schema(_NODES).parquet(f"{self.path}/nodes/level={level}")
 
     def files(self) -> DataFrame:
         """repo, path, content_hash, node (its directory), part."""
-        return self.spark.read.parquet(f"{self.path}/files")
+        return self.spark.read.schema(_FILES).parquet(f"{self.path}/files")
 
     def below(self, spots: DataFrame) -> DataFrame:
         """The files of some directories; folders of other parts are not opened. ``spots``: repo, node."""
