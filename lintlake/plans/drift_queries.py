@@ -257,15 +257,18 @@ def field_tables(spark, sf):
     return old, new
 
 
+#: The count and sums of four parts of the leaf hashes ``h``.
+_MULTISET = "substr(sha256(concat_ws('|', count(h), " + ", ".join(f"sum(CAST('0x' || substr(h, {at}, 15) AS BIGINT))" for at in (1, 16, 31, 46)) + ")), 1, 16)"
+
+
 def _digest_sql(source: str) -> str:
     leaf = "sha256(concat_ws('|', side, field, coalesce(type, ''), coalesce(format, ''), CAST(required AS VARCHAR)))"
-    return f"""(SELECT service, method, endpoint, substr(sha256(string_agg(h, '' ORDER BY b)), 1, 16) AS schema_hash, max(status_code) AS status_code FROM (
-      SELECT service, method, endpoint, substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, max(status_code) AS status_code FROM (SELECT *, {leaf} AS h FROM {source}) GROUP BY ALL) GROUP BY service, method, endpoint)"""
+    return f"""(SELECT service, method, endpoint, {_MULTISET} AS schema_hash, max(status_code) AS status_code FROM (SELECT *, {leaf} AS h FROM {source}) GROUP BY service, method, endpoint)"""
 
 
 def contract_table(fields):
     leafed = fields.withColumn("_leaf", C.field_digest())
-    hashes = C.tree_hash(leafed, C.ENDPOINT, "_leaf", "schema_hash")
+    hashes = C.multiset_hash(leafed, C.ENDPOINT, "_leaf", "schema_hash")
     return hashes.join(fields.groupBy(*C.ENDPOINT).agg(F.max("status_code").alias("status_code")), C.ENDPOINT)
 
 
@@ -277,7 +280,7 @@ def j6_contract_diff(spark, sf):
 
 
 @query("a45_baseline_hash", f"""WITH {FIELDS_CTE}, o AS {_digest_sql('of')}, l AS (SELECT service, sha256(concat_ws('|', method, endpoint, CAST(status_code AS VARCHAR), schema_hash)) AS h FROM o)
-  SELECT service, substr(sha256(string_agg(h, '' ORDER BY b)), 1, 16) AS baseline_hash FROM (SELECT service, substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM l GROUP BY ALL) GROUP BY service""")
+  SELECT service, {_MULTISET} AS baseline_hash FROM l GROUP BY service""")
 def a45_baseline_hash(spark, sf):
     return C.baseline_hash(contract_table(field_tables(spark, sf)[0]))
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake.operators import gates as G, graph as GR, scans as S
+from lintlake.operators import contracts, gates as G, graph as GR, scans as S
 from lintlake.rules import code_rules, gate_rules
 
 
@@ -75,3 +75,17 @@ def test_home_folder_is_a_parameter(spark):
     text = "a = '/home/dev/.kube'\nb = '/home/ann/.kube/'\nc = '~/.aws'\nd = '/srv/x/.ssh'"
     assert sorted(r.line_no for r in S.scan_paths(files(spark, text)).collect()) == [1, 3, 4]
     assert sorted(r.line_no for r in S.scan_paths(files(spark, text), "/home/ann").collect()) == [2, 3, 4]
+
+
+def test_contract_hash_is_of_the_multiset(spark):
+    rows = [("s", "GET", f"/p{k}", 200, f"h{k}") for k in range(50)]
+    other = [*rows[:-1], ("s", "GET", "/p49", 201, "h49")]
+
+    def hashed(values, parts):
+        df = spark.createDataFrame(values, "service string, method string, endpoint string, status_code int, schema_hash string")
+        return [r.baseline_hash for r in contracts.baseline_hash(df.repartition(parts)).collect()]
+
+    first = hashed(rows, 1)
+    assert first == hashed(rows[::-1], 4) and len(first[0]) == 16
+    assert len({first[0], hashed(rows + rows[:1], 2)[0], hashed(rows[1:], 2)[0], hashed(other, 2)[0]}) == 4
+    assert hashed(rows[:0], 1) == []
