@@ -93,67 +93,70 @@ def core_depends_on_edge(edges: DataFrame, core: DataFrame) -> DataFrame:
 
 def _trim(edges: DataFrame) -> DataFrame:
     """Edges whose source is also reached and whose target also leads on; others are on no cycle."""
-    src, dst = edges.select("repo", "src").distinct(), edges.select("repo", "dst").distinct()
-    return edges.join(dst.withColumnRenamed("dst", "src"), ["repo", "src"], "left_semi").join(
-        src.withColumnRenamed("src", "dst"), ["repo", "dst"], "left_semi"
-    )
-
-
-def _spread_labels(labels: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """Each module's smallest label among its own and those that lead to it within ``hops`` edges."""
-    for _ in range(hops):
-        sent = edges.join(labels.withColumnRenamed("module", "src"), ["repo", "src"]).select("repo", F.col("dst").alias("module"), "label")
-        labels = labels.unionByName(sent).groupBy("repo", "module").agg(F.min("label").alias("label"))
-    return labels
+    src, dst = edges.select("src").distinct(), edges.select("dst").distinct()
+    return edges.join(dst.withColumnRenamed("dst", "src"), "src", "left_semi").join(src.withColumnRenamed("src", "dst"), "dst", "left_semi")
 
 
-def _settled(step, start: DataFrame, name: str) -> DataFrame:
-    """Repeat ``step`` on written tables until nothing changes."""
-    current, mark = materialise(start, name), None
-    while True:
-        following = materialise(step(current), name)
-        sums = following.agg(F.count("*"), F.sum(F.xxhash64(*following.columns).cast("decimal(38,0)"))).first()
-        if sums == mark:
-            return following
-        current, mark = following, sums
+def _ends(edges: DataFrame) -> DataFrame:
+    """(node, f, b): the least of all nodes that lead to each node and the least that it leads to, itself included.
 
-
-def cycle_groups(edges: DataFrame, hops: int = 4) -> DataFrame:
+    A round sends labels along one edge, then takes those of two nodes that lead here: of the end of one way, whose length doubles, and of
+    the label itself. Node numbers are in random order, so rounds grow by the logarithm of the longest way, whatever the names.
+    """
+    both = edges.select(F.inline(F.array(
+        F.struct(F.lit(True).alias("ahead"), F.col("src").alias("node"), F.col("dst").alias("to")),
+        F.struct(F.lit(False).alias("ahead"), F.col("dst").alias("node"), F.col("src").alias("to")),
+    )))
+    both = materialise(both, "ways")
+    ends = both.select("ahead", "node", F.lit(None).cast("long").alias("way")).union(both.select("ahead", "to", "node"))
+    own = ends.groupBy("ahead", "node").agg(F.min("way").alias("way"))
+    labels = own.select("ahead", "node", F.col("node").alias("label"), F.coalesce("way", "node").alias("way"), F.col("node").alias("old"))
+    nothing, changed = F.lit(None).cast("long"), True
+    while changed:
+        at = labels.select("ahead", "node", "label", "way", F.col("label").alias("old"))
+        sent = both.join(at, ["ahead", "node"]).select("ahead", F.col("to").alias("node"), "label", nothing.alias("way"), nothing.alias("old"))
+        least = at.unionByName(sent).groupBy("ahead", "node").agg(*[F.min(c).alias(c) for c in ("label", "way", "old")])
+        of = least.select("ahead", F.col("node").alias("way"), F.col("label").alias("_label"), F.col("way").alias("_way"))
+        further = least.join(of, ["ahead", "way"]).select("ahead", "node", F.least("label", "_label").alias("label"), F.col("_way").alias("way"), "old")
+        of = least.select("ahead", F.col("node").alias("label"), F.col("label").alias("_label"))
+        jumped = further.join(of, ["ahead", "label"]).select("ahead", "node", F.least("label", "_label").alias("label"), "way", "old")
+        labels = materialise(jumped, "labels")
+        changed = labels.agg(F.max(F.col("label") < F.col("old"))).first()[0]
+    return labels.groupBy("node").agg(F.min(F.when(F.col("ahead"), F.col("label"))).alias("f"), F.min(F.when(~F.col("ahead"), F.col("label"))).alias("b"))
+
+
+def cycle_groups(edges: DataFrame) -> DataFrame:
     """(repo, module, cycle, modules): every module on a cycle of any length, the smallest module that it shares cycles with, and how
     many do (strongly connected parts).
 
-    Smallest labels run along the edges until none changes; within one label, what leads back to the label's module is one part. Parts
-    found and edges between labels leave, until no edge is left. Rounds are written tables; no path is listed and no group collected.
+    Modules get numbers in random order. Where the least number that leads to a module is also the least that the module leads to, its
+    part is found; it leaves, and so do edges between modules that differ in one of the two, until no edge is left. Rounds are written
+    tables of numbers; no path is listed and no group collected.
     """
-    rest = materialise(_trim(_trim(edges.select("repo", "src", "dst").distinct())), "edges")
+    named = materialise(edges.select("repo", "src", "dst").distinct(), "named")
+    modules = named.select("repo", F.col("src").alias("module")).union(named.select("repo", "dst")).distinct()
+    # the hash of one long is a bijection, so the numbers stay distinct
+    nodes = materialise(modules.withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "nodes")
+    by_src, by_dst = (nodes.select("repo", F.col("module").alias(c), F.col("node").alias(f"_{c}")) for c in ("src", "dst"))
+    pairs = named.filter("src <> dst").join(by_src, ["repo", "src"]).join(by_dst, ["repo", "dst"])
+    rest = materialise(_trim(pairs.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))), "edges")
     found = None
     while not rest.isEmpty():
-        own = rest.select("repo", F.col("src").alias("module")).union(rest.select("repo", "dst")).distinct().withColumn("label", F.col("module"))
-        labels = _settled(lambda at, e=rest: _spread_labels(at, e, hops), own, "labels")
-        by_src, by_dst = (labels.select("repo", F.col("module").alias(c), F.col("label").alias(f"{c}_label")) for c in ("src", "dst"))
-        inner = rest.join(by_src, ["repo", "src"]).join(by_dst, ["repo", "dst"]).filter("src_label = dst_label").select("repo", "src", "dst")
-        inner = materialise(inner, "edges")
-        back = inner.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
-
-        def reach(at: DataFrame, e: DataFrame = back) -> DataFrame:
-            for _ in range(hops):
-                ahead = e.join(at.withColumnRenamed("module", "src"), ["repo", "src"]).select("repo", F.col("dst").alias("module"), "label")
-                at = at.unionByName(ahead).distinct()
-            return at
-
-        part = _settled(reach, labels.filter("module = label"), "reach")
+        ends = materialise(_ends(rest), "ends")
+        part = ends.filter("f = b").select("node", F.col("f").alias("part"))
         found = part if found is None else found.unionByName(part)
-        gone = part.select("repo", "module")
-        left = inner.join(gone.withColumnRenamed("module", "src"), ["repo", "src"], "left_anti")
-        rest = materialise(_trim(left.join(gone.withColumnRenamed("module", "dst"), ["repo", "dst"], "left_anti")), "edges")
+        open_ = ends.filter("f <> b")
+        here, there = (open_.select(F.col("node").alias(c), "f", "b") for c in ("src", "dst"))
+        left = rest.join(here, "src").join(there, ["dst", "f", "b"]).select("src", "dst")
+        rest = materialise(_trim(left), "edges")
+    loops = named.filter("src = dst").select("repo", F.col("src").alias("module"))
+    alone = loops.select("repo", "module", F.col("module").alias("cycle"), F.lit(1).cast("long").alias("modules"))
     if found is None:
-        return edges.select("repo", F.col("src").alias("module"), F.col("src").alias("cycle"), F.lit(1).cast("long").alias("modules")).limit(0)
-    sizes = found.groupBy("repo", "label").agg(F.count("*").alias("modules"))
-    loops = edges.filter("src = dst").select("repo", F.col("src").alias("module")).distinct().withColumn("_loop", F.lit(True))
-    return (
-        found.join(sizes, ["repo", "label"]).join(loops, ["repo", "module"], "left").filter("modules > 1 OR _loop")
-        .select("repo", "module", F.col("label").alias("cycle"), "modules")
-    )
+        return alone
+    members = found.join(nodes, "node")
+    sizes = members.groupBy("part").agg(F.count("*").alias("modules"), F.min("module").alias("cycle")).filter("modules > 1")
+    shared = materialise(members.join(sizes, "part").select("repo", "module", "cycle", "modules"), "cycles")
+    return shared.unionByName(alone.join(shared, MODULE, "left_anti"))
 
 
 def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
@@ -431,13 +434,3 @@ def async_safety(facts: DataFrame) -> DataFrame:
     )
     columns = ["repo", "path", "line_no", "name", "rule"]
     return simple.select(*columns).unionByName(unawaited.select(*columns))
-
-
-def complex_functions(facts: DataFrame, measure: str, limit: int) -> DataFrame:
-    """R39 (``cyclomatic`` > 10) and R40 (``cognitive`` > 15)."""
-    return facts.filter((F.col("kind") == "def") & (F.col(measure) > limit)).select("repo", "path", "line_no", "name", measure)
-
-
-def dead_code(facts: DataFrame) -> DataFrame:
-    """One finding per line."""
-    return facts.filter("kind = 'dead'").select("repo", "path", "line_no").distinct()

@@ -52,6 +52,44 @@ def test_cycle_groups_of_any_length(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("step", [1, -1])
+def test_long_cycles_take_few_rounds(spark, monkeypatch, step):
+    n, rounds = 10_000, []
+    write = G.materialise
+    monkeypatch.setattr(G, "materialise", lambda df, name: (rounds.append(name), write(df, name))[1])
+    nodes = spark.range(n).select(F.lit("r").alias("repo"), F.format_string("m%05d", "id").alias("src"), F.format_string("m%05d", F.pmod(F.col("id") + step, F.lit(n))).alias("dst"))
+    got = G.cycle_groups(nodes.unionByName(edges(spark, [("m00007", "x"), ("y", "m00000"), ("x", "x")])))
+    assert {tuple(r) for r in got.groupBy("cycle", "modules").count().collect()} == {("m00000", n, n), ("x", 1, 1)}
+    assert rounds.count("labels") <= 20
+
+
+def test_cycle_groups_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = {(f"r{g}", f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for g in range(6) for _ in range(30 + 15 * g)}
+    # a chain of rings in each of two repos: parts that lead to one another
+    rows |= {(f"c{g}", f"k{k:02d}{i}", f"k{k:02d}{(i + 1) % 3}") for g in range(2) for k in range(20) for i in range(3)}
+    rows |= {("c0", f"k{k:02d}0", f"k{k + 1:02d}1") for k in range(19)} | {("c1", f"k{k + 1:02d}0", f"k{k:02d}1") for k in range(19)}
+    out = {}
+    for repo, a, b in rows:
+        out.setdefault((repo, a), set()).add((repo, b))
+    reach = {}
+    for start in out:
+        seen, todo = set(), list(out[start])
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += out.get(at, ())
+        reach[start] = seen
+    want = set()
+    for at, seen in reach.items():
+        if at in seen:
+            part = [x[1] for x in seen if at in reach.get(x, ())]
+            want.add((*at, min(part), len(part)))
+    got = G.cycle_groups(spark.createDataFrame(sorted(rows), "repo string, src string, dst string"))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_cycles_have_no_length_bound(spark):
     pairs = [(f"m{k}", f"m{(k + 1) % 8}") for k in range(8)] + [("m3", "m1")]
     got = {(r.cycle, r.length) for r in G.cycles(edges(spark, pairs)).collect()}
