@@ -10,6 +10,7 @@ from lintlake.operators.ranking import rank_within
 from lintlake.operators.lines import contains_any
 from lintlake.operators.timeline import BLOCK, running
 from lintlake.rules import scoring_rules as R
+from lintlake.sources.pages import PagedTable
 from lintlake.sources.store import KeyedTable, Store
 
 
@@ -245,6 +246,14 @@ def search(
     )
 
 
+def search_after(table: PagedTable, text: str | None = None, limit: int = 20, after: list | None = None, **eq) -> tuple[DataFrame, list | None]:
+    """P11 on a table paged by created_at and proposal_id: the page behind a cursor (None: the first) and the next page's cursor.
+
+    Where ``search`` orders all rows that the filters leave, this reads the parts that the page lies in.
+    """
+    return table.page(limit, after, lambda rows: filtered(rows, text, **eq))
+
+
 def filtered(proposals: DataFrame, text: str | None = None, **eq) -> DataFrame:
     rows = select_equal(proposals, **eq)
     if text:

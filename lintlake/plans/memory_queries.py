@@ -13,6 +13,7 @@ from lintlake.plans.scan_queries import has_any
 from lintlake.plans.scoring_queries import INSIGHTS_CTE, RULES_CTE, _pick, insights
 from lintlake.rules import scoring_rules as R
 from lintlake.session import work_path
+from lintlake.sources.pages import PagedTable
 from lintlake.sources.store import KeyedTable, Store
 
 BUGS_CTE = f"""{ERRORS_CTE}, bugs AS (SELECT id, error_type, file_path, pain AS pain_score, ts AS first_seen, CAST(1 + id % 4 AS BIGINT) AS occurrence_count,
@@ -313,6 +314,21 @@ def p11_proposal_search(spark, sf):
     return M.search(proposals(spark, sf), "Mod1", 20, 20, status="F", risk="high").select("proposal_id", "title", "file_path")
 
 
+@query("p11_pages_by_cursor", f"""WITH {PROPOSALS_CTE}, f AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, proposal_id DESC) AS rn FROM proposals WHERE (title ILIKE '%mod1%' OR description ILIKE '%mod1%' OR file_path ILIKE '%mod1%')
+  AND status = 'F' AND risk = 'high') SELECT CAST(1 + (rn - 1) // 20 AS INTEGER) AS page, proposal_id, title, file_path FROM f WHERE rn <= 60""")
+def p11_pages_by_cursor(spark, sf):
+    paged = PagedTable(Store(spark, work_path(spark, "proposals")), "proposals", "created_at", "proposal_id")
+    paged.write(proposals(spark, sf))
+    pages, cursor = None, None
+    for number in range(1, 4):
+        rows, cursor = M.search_after(paged, "Mod1", 20, cursor, status="F", risk="high")
+        page = rows.select(F.lit(number).alias("page"), "proposal_id", "title", "file_path")
+        pages = page if pages is None else pages.unionByName(page)
+        if cursor is None:
+            break
+    return pages
+
+
 @query("a49_proposal_facets", f"""WITH {PROPOSALS_CTE} SELECT 'status' AS facet, status AS value, count(*) AS n FROM proposals GROUP BY ALL
   UNION ALL SELECT 'category', category, count(*) FROM proposals GROUP BY ALL UNION ALL SELECT 'total', 'all', count(*) FROM proposals""")
 def a49_proposal_facets(spark, sf):
