@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 LENGTH, SHARD_TOKENS, END_ID = 4096, 2_000_000, 2
 TOKENIZER = "word_bpe_49k.json"
 K1, B = 1.2, 0.75
-#: Distinct words that a worker keeps; beyond, it packs what it holds and starts its table anew.
+#: Distinct words beyond which a worker starts its table anew before the next shard; shards end by their own tokens only.
 MAX_WORDS = 600_000
 _MARK, _START = "<|endoftext|>", "<|startoftext|>"
 #: Latin text whose lower case and classes are the same everywhere, without white space and controls.
@@ -253,7 +253,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
                     docs.append((doc_id, ids))
                     terms.append(own)
                     total += len(ids)
-                if total >= shard_tokens or len(words) > MAX_WORDS:
+                if total >= shard_tokens:
                     packer.pack(docs, terms)
                     docs, terms, total = [], [], 0
                     yield packer.batch()
