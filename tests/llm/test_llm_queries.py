@@ -1,9 +1,14 @@
 """Registered queries of the subpackage on the smallest tables."""
 
+import random
+
 import pytest
 from oracle_compare import compare, connect
 
+from lintlake.llm import near_copies
+from lintlake.llm.frames import row_key, stash
 from lintlake.llm.queries import ORACLES, QUERIES
+from lintlake.llm.simhash import connected
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +94,39 @@ def test_stages_keep_the_types_and_values_of_other_columns(spark):
     mixed = corpus_pipeline.mix_sources(spark, clean, SF)
     assert mixed.dtypes == docs.dtypes
     assert {r.n_chars == len(r.text) for r in mixed.collect()} == {True}
+
+
+def test_near_copies_in_large_buckets_lose_no_link(spark):
+    """A family of texts that share most of their shingles, so that all fall into the same buckets, with pairs of near copies in it."""
+    rng = random.Random(2)
+    common, texts = [f"c{k}" for k in range(170)], []
+    for k in range(400):
+        own = [f"o{k}x{j}" for j in range(30)]
+        edited = list(own)
+        for j in (4, 14, 24)[: 1 + k % 3]:
+            edited[j + rng.randrange(3)] = f"e{k}x{j}"
+        texts += [" ".join(common + own), " ".join(common + edited)]
+    # copies that are all near to each other, of different lengths
+    texts += [" ".join([f"d{j}" for j in range(60)] + [f"n{k}"] * (k % 4)) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = stash(docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(near_copies._band_rows, "doc_id long, row_key long, sign long, n long, bands array<long>"), "bands")
+    sets = {r.sign: set(r.shingles) for r in docs.select("text").mapInArrow(near_copies._set_rows, "sign long, shingles array<long>").collect()}
+    signs, up = sorted(sets), {s: s for s in sets}
+
+    def top(s):
+        while up[s] != s:
+            s = up[s]
+        return s
+
+    for i, a in enumerate(signs):
+        for b in signs[:i]:
+            common_ = len(sets[a] & sets[b])
+            if common_ >= 0.8 * (len(sets[a]) + len(sets[b]) - common_):
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    want = {s: top(s) for s in signs if any(top(o) == top(s) for o in signs if o != s)}
+    linked = stash(near_copies.links(docs, rows), "links")
+    assert {r.node: r.component for r in connected(linked).collect()} == want
+    alone = spark.createDataFrame([], "node long, component long")
+    pairs = {(r.a, r.b) for r in near_copies.apart(stash(docs.select("text").mapInArrow(near_copies._set_rows, "sign long, shingles array<long>").dropDuplicates(["sign"]), "s"), alone).collect()}
+    exact = {(b, a) for i, a in enumerate(signs) for b in signs[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert exact <= pairs
