@@ -89,3 +89,9 @@ def test_contract_hash_is_of_the_multiset(spark):
     assert first == hashed(rows[::-1], 4) and len(first[0]) == 16
     assert len({first[0], hashed(rows + rows[:1], 2)[0], hashed(rows[1:], 2)[0], hashed(other, 2)[0]}) == 4
     assert hashed(rows[:0], 1) == []
+
+
+def test_contract_hash_covers_every_digit_of_a_leaf(spark):
+    leaf = "0123456789abcdef" * 4
+    rows = spark.createDataFrame([("a", leaf), ("b", leaf[:-1] + "0")], "service string, h string")
+    assert len({r.out for r in contracts.tree_hash(rows, ["service"], "h", "out").collect()}) == 2
