@@ -1,10 +1,12 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least ``SIMILAR``, found by MinHash bands.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least ``SIMILAR``, found by SimHash and MinHash.
 
-Texts with the same set are one entry. ``BANDS`` keys of ``ROWS`` minima each make candidates (a pair at 0.8 shares a key with
-probability 0.9998), and the exact Jaccard similarity of the shingle sets decides. All pairs of a bucket of at most ``ALL_PAIRS``
+Texts with the same set are one entry. Each has a SimHash fingerprint of its shingles; fingerprints at most three bits apart meet
+through their deletion variants (``simhash.near_edges``) and make candidates. Similar texts may lie further apart in bits, so ``BANDS``
+keys of ``ROWS`` minima each make candidates too (a pair at 0.8 shares a key with probability 0.9998), and the exact Jaccard similarity
+of the shingle sets decides over all. All pairs of a bucket of at most ``ALL_PAIRS``
 entries are candidates. In a larger one each entry first meets ``HEADS`` entries of the bucket, which joins large groups of copies in
 linear work. What entries of large buckets are still apart then is compared exactly, by prefixes: with the shingles of a set in a common
-order, rarest first, two sets of the similarity share one among the first few of both, at places that leave room for the rest. No link
+order, rarest first (by counts in ``SLOTS`` slots of hashes; any common order is exact), two sets of the similarity share one among the first few of both, at places that leave room for the rest. No link
 between different components is lost to the size of a bucket. Components are those of the links.
 
 Words are runs between blanks, A-Z in lower case; a text of fewer words is one shingle; null and wordless texts have the same empty
@@ -20,9 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.llm import text as T
 from lintlake.llm.frames import NO_ID, fresh, row_key, stash
-from lintlake.llm.simhash import _LOWER, connected
+from lintlake.llm.simhash import _LOWER, connected, near_edges
 
-SHINGLE, SIMILAR, BANDS, ROWS, ALL_PAIRS, HEADS = 5, 0.8, 16, 4, 32, 4
+SHINGLE, SIMILAR, BANDS, ROWS, ALL_PAIRS, HEADS, SLOTS = 5, 0.8, 16, 4, 32, 4, 1 << 16
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,15 +57,27 @@ def _parts(batch):
         yield lo, hi, value, cut, total[cut[1:]] - total[cut[:-1]]
 
 
+def _fingerprints(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash of each set of shingles: a bit is 1 if set in over half of them. ``first``: where each set begins; none is empty."""
+    mixed, out = T.mix(value), np.zeros(len(first), np.uint64)
+    n = np.diff(np.append(first, len(value)))
+    for bit in range(64 if len(first) else 0):
+        ones = np.add.reduceat((mixed >> np.uint64(bit)) & np.uint64(1), first).astype(np.int64)
+        out |= (2 * ones > n).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def _band_rows(batches):
+    """The size of each text's set and its keys: ``BANDS`` of minima, then the fingerprint (none of an empty set)."""
     for batch in batches:
         for lo, hi, value, cut, sign in _parts(batch):
             some = np.flatnonzero(np.diff(cut))
-            keys = np.zeros((len(some), BANDS), np.uint64)
+            keys = np.zeros((len(some), BANDS + 1), np.uint64)
             for k in range(BANDS * ROWS if len(some) else 0):
                 low = np.minimum.reduceat(value * _FACTORS[k], cut[some])
                 keys[:, k // ROWS] = T.mix(keys[:, k // ROWS] + low + np.uint64(k + 1))
-            at = np.append(0, np.cumsum(np.where(np.diff(cut) > 0, BANDS, 0))).astype(np.int32)
+            keys[:, BANDS] = _fingerprints(value, cut[some])
+            at = np.append(0, np.cumsum(np.where(np.diff(cut) > 0, BANDS + 1, 0))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row_key")]
                 + [pa.array(sign.view(np.int64)), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))],
@@ -78,10 +92,20 @@ def _set_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), sets], ["sign", "shingles"])
 
 
+def print_pairs(one: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of entries by their fingerprints: the same one (each with the smallest sign of it), or links of a forest
+    that joins all fingerprints up to three bits apart. ``one``: sign, n, bands (distinct)."""
+    some = one.filter("n > 0").select("sign", F.element_at("bands", BANDS + 1).alias("fp"))
+    prints = stash(some.groupBy("fp").agg(F.min("sign").alias("node")), "prints")
+    same = some.join(prints, "fp").filter("sign > node").select(F.col("node").alias("a"), F.col("sign").alias("b"))
+    close = near_edges(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.union(close).distinct()
+
+
 def candidates(one: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct (a, b), a < b, of entries that share a band and whose sizes allow the similarity, and the signs of the entries whose
     pairs were not all taken. ``one``: sign, n, bands (distinct)."""
-    entries = stash(one.select("sign", "n", F.explode("bands").alias("band")), "bands")
+    entries = stash(one.select("sign", "n", F.explode(F.slice("bands", 1, BANDS)).alias("band")), "bands")
     entry = F.struct("sign", "n")
     heads = [F.min_by(entry, F.xxhash64("sign", F.lit(k))).alias(f"h{k}") for k in range(HEADS)]
     buckets = stash(entries.groupBy("band").agg(F.count("*").alias("size"), *heads).filter("size > 1"), "buckets")
@@ -99,6 +123,46 @@ def _least(share: float, n: Column) -> Column:
     return F.ceil(F.lit(share) * n - 1e-9)
 
 
+def _slot_rows(batches):
+    """(slot, n): how many shingles of a task's sets fall into each slot."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        counts += np.bincount(batch.column("shingles").flatten().to_numpy(zero_copy_only=False) % SLOTS, minlength=SLOTS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each slot (half a MB whatever the input)."""
+    table = sets.select("shingles").mapInArrow(_slot_rows, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    return counts
+
+
+def _prefix_rows(counts: np.ndarray):
+    """(token, sign, n, at, starts) of the first shingles of each set, by their slots' counts and then their values. A shingle alone in
+    its slot is in no other set and left out. ``starts``: it is among the first that suffice for the smaller set of a pair."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("shingles")
+            token, n = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            often = counts[token % SLOTS]
+            order = np.lexsort((token, often, owner))
+            at = np.arange(len(token)) - begin[owner]  # owner is in order
+            size = n[owner]
+            keep = (at <= size - np.ceil(SIMILAR * size - 1e-9)) & (often[order] > 1)
+            starts = at <= size - np.ceil(2 * SIMILAR / (1 + SIMILAR) * size - 1e-9)
+            sign = batch.column("sign").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[keep]) for x in (token[order], sign[owner], size, at, starts)], ["token", "sign", "n", "at", "starts"]
+            )
+
+    return run
+
+
 def apart(sets: DataFrame, parts: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, among which are all pairs of ``sets`` (sign, shingles) of the similarity that are in different
     ``parts`` (node, component); a set without one is a part of its own.
@@ -106,15 +170,14 @@ def apart(sets: DataFrame, parts: DataFrame) -> DataFrame:
     The smaller set's first shingles meet the larger set's, which are somewhat more. Shingles whose holders are all in one part are
     left out, and of the others the holders in the shingle's largest part meet those outside it only, so a large group costs no pairs.
     """
-    each = stash(sets.select("sign", F.explode("shingles").alias("token")), "tokens")
-    often = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    known = each.join(often, "token", "left").select("sign", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("t"))
-    n = F.col("n")
-    first = known.groupBy("sign").agg(F.sort_array(F.collect_list("t")).alias("all")).select("sign", F.size("all").alias("n"), "all")  # the places of one set
-    first = first.select("sign", "n", F.posexplode(F.slice("all", 1, (n - _least(SIMILAR, n) + 1).cast("int"))).alias("at", "t")).filter("t.df > 1")
-    starts = F.col("at") < n - _least(2 * SIMILAR / (1 + SIMILAR), n) + 1
+    counts = sets.sparkSession.sparkContext.broadcast(_slot_counts(sets))
+
+    def prefix_rows(batches):
+        return _prefix_rows(counts.value)(batches)
+
+    first = sets.mapInArrow(prefix_rows, "token long, sign long, n long, at long, starts boolean")
     first = first.join(parts.withColumnRenamed("node", "sign"), "sign", "left").select(
-        F.col("t.token").alias("token"), "sign", "n", "at", F.coalesce("component", "sign").alias("part"), starts.alias("starts")
+        "token", "sign", "n", "at", F.coalesce("component", "sign").alias("part"), "starts"
     )
     first = stash(first, "prefixes")
     held = first.groupBy("token", "part").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("part", "held").alias("main"), F.count("*").alias("parts"))
@@ -145,7 +208,8 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): signs of sets with a Jaccard similarity of ``SIMILAR`` or more; between entries of large buckets enough of them to join
     every component. ``rows``: what ``_band_rows`` gives for ``docs``."""
     one = stash(rows.groupBy("sign").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
-    pairs, hot = (stash(found, name) for found, name in zip(candidates(one), ("pairs", "hot"), strict=True))
+    banded, hot = candidates(one)
+    pairs, hot = stash(banded.union(print_pairs(one)).distinct(), "pairs"), stash(hot, "hot")
     met = pairs.select(F.explode(F.array("a", "b")).alias("sign")).union(hot).distinct()
     wanted = one.join(met, "sign", "left_semi").select("row_key")
     texts = docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"])

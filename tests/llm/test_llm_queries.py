@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from oracle_compare import compare, connect
 
@@ -130,3 +131,31 @@ def test_near_copies_in_large_buckets_lose_no_link(spark):
     pairs = {(r.a, r.b) for r in near_copies.apart(stash(docs.select("text").mapInArrow(near_copies._set_rows, "sign long, shingles array<long>").dropDuplicates(["sign"]), "s"), alone).collect()}
     exact = {(b, a) for i, a in enumerate(signs) for b in signs[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert exact <= pairs
+
+
+def test_near_copies_meet_through_their_fingerprints(spark):
+    """SimHash candidates: the bits are the majority's, and all fingerprints within three bits are joined."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        texts += [" ".join(words), " ".join([*words[:-1], f"other{k}"])]
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None, "one"])), "doc_id long, text string").repartition(4)
+    rows = docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(near_copies._band_rows, "doc_id long, row_key long, sign long, n long, bands array<long>")
+    one = stash(rows.dropDuplicates(["sign"]), "one")
+    prints = {r.sign: r.bands[-1] % 2**64 for r in one.collect() if r.n}
+    sets = {r.sign: np.array(r.shingles, np.int64) for r in docs.select("text").mapInArrow(near_copies._set_rows, "sign long, shingles array<long>").collect()}
+    for sign, fp in prints.items():
+        mixed = near_copies.T.mix(sets[sign].view(np.uint64)).tolist()
+        assert fp == sum(1 << bit for bit in range(64) if 2 * sum(v >> bit & 1 for v in mixed) > len(mixed))
+    near = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3}
+    assert len(prints) == 81 and len(near) >= 20 and {(r.a, r.b) for r in near_copies.print_pairs(one).collect()} == near
+
+
+def test_prefixes_are_the_rarest_shingles(spark):
+    sets = spark.createDataFrame([(k, [*range(50), *range(1000 + 10 * k, 1010 + 10 * k), 5000 + k // 2]) for k in range(40)], "sign long, shingles array<long>")
+    counts = near_copies._slot_counts(sets)
+    assert counts[0] == 40 and counts[1000] == 1 and counts[5000] == 2 and counts.sum() == 40 * 61
+    rows = sets.mapInArrow(near_copies._prefix_rows(counts), "token long, sign long, n long, at long, starts boolean").collect()
+    assert {(r.token, r.sign) for r in rows if r.at == 10} == {(5000 + k // 2, k) for k in range(40)}
+    assert {r.at for r in rows} == {10, 11, 12} and not any(r.starts for r in rows)
