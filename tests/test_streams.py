@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,31 @@ def test_health_of_late_rows(spark, tmp_path, seed):
     assert {r.component_id: r.consecutive_failures for r in got} == want and want["probe"] == 2
 
 
+def test_passing_rows_of_many_keys(spark):
+    """All keys take a step at a time; the same rows pass as one by one."""
+    rng = np.random.default_rng(5)
+    code, us = np.sort(rng.integers(0, 7, 500)), rng.integers(0, 3000, 500)
+    us = us[np.lexsort((us, code))]
+    last = np.where(np.arange(9) % 2, live.NEVER, 40)
+    want, due = [], {}
+    for i, (c, t) in enumerate(zip(code.tolist(), us.tolist(), strict=True)):
+        if t >= due.get(c, int(last[c]) + 100):
+            want.append(i)
+            due[c] = t + 100
+    assert live.passing(code, us, last, 100).tolist() == want
+    assert live.passing(code[:0], us[:0], last, 100).tolist() == []
+
+
+def test_many_keys_share_few_groups(spark, tmp_path):
+    """The rows reach the state by buckets of keys, so that groups do not grow with the keys."""
+    rows = [(k, f"c{k % 2000}", "x", START + timedelta(seconds=k)) for k in range(4000)]
+    events = dealt(spark, str(tmp_path / "e"), rows, 2, 1)
+    plan = live._timed(events, "component_id", "ts", "event_id", "2 hours", F.lit(""))._df
+    assert plan.columns[-1] == "bucket"
+    got = live.drain(live.stream_suppress(events, 3600, delay="2 hours"), "many")
+    assert sorted(r.event_id for r in got.collect()) == list(range(2000))
+
+
 def test_health_survives_silence(spark, tmp_path):
     batches = [[(0, "a", "PANIC")], [(1, "b", "OK")], [(2, "b", "OK")], [(3, "a", "PANIC"), (3, "b", "PANIC")], [(90, "c", "OK")], [(200, "a", "PANIC")]]
     events, _ = stream(spark, str(tmp_path / "e"), batches)
