@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lintlake.operators import lines as L, scans as S
 from lintlake.operators.ranking import rank_within
 from lintlake.rules import code_rules as R, gate_rules as G
+from lintlake.session import materialise
 
 FINDING = ["repo", "path", "line_no", "rule_id", "type", "level", "message"]
 
@@ -98,9 +99,9 @@ def findings_of_level(findings: DataFrame) -> DataFrame:
     """A4: each level's findings in order, as rows numbered within the level.
 
     A level can hold most findings, so it is never gathered into one list; the numbering is split by repo and by the
-    beginnings of paths.
+    beginnings of paths. The findings are counted and numbered, so they are found once and written.
     """
-    return rank_within(findings, ["level"], [("_repo", F.col("repo")), ("_at", F.substring("path", 1, 12))], [F.col("path"), F.col("line_no"), F.col("rule_id"), F.col("message")])
+    return rank_within(materialise(findings, "findings"), ["level"], [("_repo", F.col("repo")), ("_at", F.substring("path", 1, 12))], [F.col("path"), F.col("line_no"), F.col("rule_id"), F.col("message")])
 
 
 def debt_category(message: Column) -> Column:
