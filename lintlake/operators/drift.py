@@ -147,21 +147,27 @@ def diff_names(old: DataFrame, new: DataFrame, detail: str) -> DataFrame:
 def diff_imports(old: DataFrame, new: DataFrame) -> DataFrame:
     """Imports of ``(repo, path, module, name, alias)``: new modules, new names in kept modules, lost modules."""
     module = ["repo", "path", "module"]
-    old_modules, new_modules = old.select(*module).distinct(), new.select(*module).distinct()
+    pair = [*module, "name", "alias"]
+    # both versions are read once and meet in one aggregate; a window holds one file's imports of one module
+    sides = old.select(*pair, F.lit(True).alias("_o"), F.lit(False).alias("_n")).unionByName(new.select(*pair, F.lit(False).alias("_o"), F.lit(True).alias("_n")))
+    each = sides.groupBy(*pair).agg(F.bool_or("_o").alias("_o"), F.bool_or("_n").alias("_n"))
+    here = W.partitionBy(*module)
+    known = each.select(
+        "*", F.bool_or("_o").over(here).alias("_mo"), F.bool_or("_n").over(here).alias("_mn"), F.row_number().over(here.orderBy("name", "alias")).alias("_at")
+    )
+    # a null module is no module that is known on the other side, so its names are not new ones in a kept module
+    named = F.col("repo").isNotNull() & F.col("path").isNotNull() & F.col("module").isNotNull()
 
-    def rows(df: DataFrame, kind: str, name: Column) -> DataFrame:
-        return df.select("repo", "path", name.alias("name"), F.lit(kind).alias("change_type"), F.lit("import").alias("detail"))
+    def row(cond: Column, kind: str, name: Column) -> Column:
+        return F.when(cond, F.struct(name.alias("name"), F.lit(kind).alias("change_type"), F.lit("import").alias("detail")))
 
-    added = new_modules.join(old_modules, module, "left_anti")
-    deleted = old_modules.join(new_modules, module, "left_anti")
-    pair = [*module, "name", "alias"]
-    names = new.select(*pair).distinct().join(old_modules, module, "left_semi")
-    seen = old.select(*pair).distinct()
-    fresh = names.join(seen, [names[c].eqNullSafe(seen[c]) for c in pair], "left_anti")
-    return (
-        rows(added, "added", F.col("module")).unionByName(rows(deleted, "deleted", F.col("module")))
-        .unionByName(rows(fresh, "added", F.concat("module", F.lit("."), "name")))
+    first = F.col("_at") == 1
+    found = F.array(
+        row(first & F.col("_mn") & ~F.col("_mo"), "added", F.col("module")),
+        row(first & F.col("_mo") & ~F.col("_mn"), "deleted", F.col("module")),
+        row(F.col("_n") & ~F.col("_o") & F.col("_mo") & named, "added", F.concat("module", F.lit("."), "name")),
     )
+    return known.select("repo", "path", F.inline(F.array_compact(found)))
 
 
 def change_rollup(changes: DataFrame) -> DataFrame:
