@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lintlake.session import materialise
@@ -29,6 +33,25 @@ def fresh(docs: DataFrame, name: str) -> str:
 stash = materialise
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system. Only a hint; a C library that lacks the call keeps what it has."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``rows`` (batches to batches), after whose end the worker gives back its free memory: it stays for other operators' tasks."""
+
+    @functools.wraps(rows)
+    def run(batches):
+        yield from rows(batches)
+        give_back()
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM notice that finished steps are unreachable, so that Spark's cleaner deletes their shuffle files now and not
     whenever the driver next runs short of memory. Only a hint; results do not depend on it."""

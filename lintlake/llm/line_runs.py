@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lintlake.llm import text as T
-from lintlake.llm.frames import fresh, row_key, stash
+from lintlake.llm.frames import fresh, row_key, stash, tidy
 
 MIN_DOCUMENTS, FANOUT, BATCHES, HOT_SHARE = 10, 2, 3, 5000
 _NEWLINE = np.zeros(256, bool)
@@ -32,6 +32,7 @@ _OTHER = (np.arange(256) * 167 + 13).astype(np.uint8)
 _LINES = "row long, batch int, place int, h1 long, h2 int, first boolean"
 
 
+@tidy
 def _line_rows(batches):
     for batch in batches:
         data, off = T.flat(batch.column("text"))
@@ -137,7 +138,7 @@ def _without(keyed: DataFrame, docs: DataFrame, gone_name: str) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return keyed.select(*names, gone_name).mapInArrow(run, f"{schema}, {counts_of[0]} long, {counts_of[1]} long")
+    return keyed.select(*names, gone_name).mapInArrow(tidy(run), f"{schema}, {counts_of[0]} long, {counts_of[1]} long")
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:

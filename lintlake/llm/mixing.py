@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lintlake.llm import text as T
-from lintlake.llm.frames import fresh, row_key, stash
+from lintlake.llm.frames import fresh, row_key, stash, tidy
 
 WEIGHTS, MOST, BLOCK_WORDS, LEAST_BLOCKS = (1, 2, 3), 3, 256, 128
 SHARD_SLOTS, BUCKETS, SEED = 16384, 1024, 42
+#: Rows whose texts a task holds several times over while it cuts them.
+CUT_AT_ONCE = 1024
 
 
 def targets(sizes: list[int]) -> list[float]:
@@ -53,6 +55,7 @@ def permuted(j: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@tidy
 def _size_rows(batches):
     for batch in batches:
         data, off = T.flat(batch.column("text"))
@@ -156,7 +159,7 @@ def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def _cut_rows(names: list[str], plan_name: str):
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(lo, CUT_AT_ONCE) for whole in batches for lo in range(0, whole.num_rows, CUT_AT_ONCE)):
             out: list[list] = []
             for k, (text, plan) in enumerate(zip(batch.column("text").to_pylist(), batch.column(plan_name).to_pylist(), strict=True)):
                 data, off = T.flat(pa.array([text], pa.large_string()))
@@ -197,4 +200,4 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     names = docs.columns
     keyed = docs.withColumn(row, row_key()).dropDuplicates([row]).join(taken.hint("merge"), row).select(*names, plan)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed.mapInArrow(_cut_rows(names, plan), schema)
+    return keyed.mapInArrow(tidy(_cut_rows(names, plan)), schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.llm import text as T
-from lintlake.llm.frames import NO_ID, fresh, row_key, stash
+from lintlake.llm.frames import NO_ID, fresh, row_key, stash, tidy
 from lintlake.llm.simhash import _LOWER, connected, near_edges
 
 SHINGLE, SIMILAR, BANDS, ROWS, ALL_PAIRS, HEADS, SLOTS = 5, 0.8, 16, 4, 32, 4, 1 << 16
@@ -67,6 +67,7 @@ def _fingerprints(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _band_rows(batches):
     """The size of each text's set and its keys: ``BANDS`` of minima, then the fingerprint (none of an empty set)."""
     for batch in batches:
@@ -85,6 +86,7 @@ def _band_rows(batches):
             )
 
 
+@tidy
 def _set_rows(batches):
     for batch in batches:
         for _, _, value, cut, sign in _parts(batch):
@@ -123,6 +125,7 @@ def _least(share: float, n: Column) -> Column:
     return F.ceil(F.lit(share) * n - 1e-9)
 
 
+@tidy
 def _slot_rows(batches):
     """(slot, n): how many shingles of a task's sets fall into each slot."""
     counts = np.zeros(SLOTS, np.int64)
@@ -173,7 +176,7 @@ def apart(sets: DataFrame, parts: DataFrame) -> DataFrame:
     counts = sets.sparkSession.sparkContext.broadcast(_slot_counts(sets))
 
     def prefix_rows(batches):
-        return _prefix_rows(counts.value)(batches)
+        return tidy(_prefix_rows(counts.value))(batches)
 
     first = sets.mapInArrow(prefix_rows, "token long, sign long, n long, at long, starts boolean")
     first = first.join(parts.withColumnRenamed("node", "sign"), "sign", "left").select(

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -24,11 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from lintlake.llm.frames import give_back, tidy
+
 LENGTH, SHARD_TOKENS, END_ID = 4096, 2_000_000, 2
 TOKENIZER = "word_bpe_49k.json"
 K1, B = 1.2, 0.75
-#: Distinct words beyond which a worker starts its table anew before the next shard; shards end by their own tokens only.
-MAX_WORDS = 600_000
+#: Distinct words beyond which a worker's table is cut back before the next shard, and what is kept of it then and between tasks, when
+#: the worker may serve other operators. The words met first are kept, mostly the frequent ones. Shards end by their own tokens only.
+MAX_WORDS, KEPT_WORDS = 240_000, 80_000
 _MARK, _START = "<|endoftext|>", "<|startoftext|>"
 #: Latin text whose lower case and classes are the same everywhere, without white space and controls.
 _PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
@@ -83,9 +87,12 @@ class Vocabulary(dict):
 
     def _encoded(self) -> list[bytes]:
         """Token ids of the new words. Words of plain Latin letters, digits and marks go piece by piece, as the tokenizer would cut
-        them; all others go through the tokenizer as a whole."""
+        them (letters alone are one piece); all others go through the tokenizer as a whole."""
         out = []
         for raw in self.new:
+            if raw.isalpha():  # of bytes: ASCII letters only
+                out.append(self.pieces[raw.lower().decode()])
+                continue
             word = raw.decode()
             if _PLAIN.fullmatch(word) and _MARK not in word and _START not in word:
                 found = _PIECE.findall(word.lower())
@@ -111,11 +118,28 @@ class Vocabulary(dict):
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         return self.flat[spans(self.begin[numbers], self.size[numbers])]
 
+    def cut(self, most: int) -> None:
+        """Forget all words and pieces but the first ``most``, whose numbers stay."""
+        if len(self) > most:
+            _keep_first(self, most)
+            self.used = int(self.begin[most] + self.size[most])
+            self.flat, self.begin, self.size = self.flat[: self.used].copy(), self.begin[: most + 1].copy(), self.size[: most + 1].copy()
+        if len(self.pieces) > most:
+            _keep_first(self.pieces, most)
+
+
+def _keep_first(table: dict, most: int) -> None:
+    first = list(islice(table.items(), most))
+    table.clear()  # a table that only loses entries keeps its size
+    table.update(first)
+
 
 def vocabulary(path: str) -> Vocabulary:
-    """The worker's vocabulary; a new one when the old one has grown too large. Ask only when no numbers of the old one are in use."""
-    if path not in _VOCABULARIES or len(_VOCABULARIES[path]) > MAX_WORDS:
+    """The worker's vocabulary, cut back when it has grown too large. Ask only when no numbers of it are in use."""
+    if path not in _VOCABULARIES:
         _VOCABULARIES[path] = Vocabulary(path)
+    if len(_VOCABULARIES[path]) > MAX_WORDS:
+        _VOCABULARIES[path].cut(KEPT_WORDS)
     return _VOCABULARIES[path]
 
 
@@ -258,8 +282,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
                     docs, terms, total = [], [], 0
                     yield packer.batch()
                     words = vocabulary(path)
+                    give_back()
         packer.pack(docs, terms)
         packer.close()
         yield packer.batch()
+        docs, terms = [], []
+        words.cut(KEPT_WORDS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lintlake.llm import text as T
-from lintlake.llm.frames import NO_ID, fresh, row_key, stash
+from lintlake.llm.frames import NO_ID, fresh, row_key, stash, tidy
 
 SHINGLE, DISTANCE, MAX_BUCKET = 3, 3, 16384
 #: Node numbers kept free above all doc_ids.
@@ -183,10 +183,10 @@ def near_edges(nodes: DataFrame, most: int = MAX_BUCKET) -> DataFrame:
     """Edges (a, b) that connect all nodes whose fingerprints differ in at most ``DISTANCE`` bits. ``nodes``: node, fp (distinct)."""
     rows, found = nodes.select("node", "fp"), None
     for level in range(3):
-        variants = rows.mapInArrow(_variant_rows(level), "key long, path int, fp long, node long")
+        variants = rows.mapInArrow(tidy(_variant_rows(level)), "key long, path int, fp long, node long")
         sorted_rows = variants.repartition("key").sortWithinPartitions("key", "fp")
         out = stash(
-            sorted_rows.mapInArrow(_bucket_rows(level == 2, most), "a long, b long, key long, path int, fp long, again boolean"), f"near{level}"
+            sorted_rows.mapInArrow(tidy(_bucket_rows(level == 2, most)), "a long, b long, key long, path int, fp long, again boolean"), f"near{level}"
         )
         edges = out.filter("not again").select("a", "b")
         found = edges if found is None else found.union(edges)

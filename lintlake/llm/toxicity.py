@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lintlake.llm import text as T
-from lintlake.llm.frames import stash
+from lintlake.llm.frames import stash, tidy
 from lintlake.llm.quality_trees import held_out, learnable
 
 MAX_ROWS, MAX_POSTINGS, MAX_SHARE = 4000, 4_000_000, 0.9
@@ -44,6 +44,7 @@ def _terms(column, limit=T.SLICE_BYTES):
         yield lo, hi, words.doc, words.hashes()
 
 
+@tidy
 def _example_rows(batches):
     """One row per (example, distinct term), one without a term for an example that has none."""
     for batch in batches:
@@ -259,7 +260,7 @@ def score_toxicity(
     names = docs.columns
 
     def run(batches):
-        return _score_rows(model.value, names, score, examples)(batches)
+        return tidy(_score_rows(model.value, names, score, examples))(batches)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, `{score}` double, `{examples}` array<long>")

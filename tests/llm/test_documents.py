@@ -356,6 +356,55 @@ def test_words_encode_alone_as_in_their_text():
         assert words.ids(n).tolist() == e.ids
 
 
+def test_a_worker_keeps_few_words_between_tasks(monkeypatch):
+    from types import SimpleNamespace
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    texts = [" ".join(f"Ab{k * 7 % 97}c{k % 3}, é{k} the-{k} {chr(97 + k % 26) * (k % 9 + 1)}" for k in range(a, a + 40)) for a in range(0, 400, 20)]
+    monkeypatch.setattr(packing, "_VOCABULARIES", {})
+    monkeypatch.setattr(packing, "MAX_WORDS", 300)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50, raising=False)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = packing.pack(SimpleNamespace(select=lambda *c: SimpleNamespace(mapInArrow=lambda rows, schema: rows)), shard_tokens=500)
+    whole = [len(e.ids) + 1 for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second task begins with what the first has kept
+        parts = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [t]}) for k, t in enumerate(texts)]
+        rows = [r for batch in run(iter(parts)) for r in batch.to_pylist()]
+        assert [sum(r["length"] for r in rows if r["doc_id"] == k) for k in range(len(texts))] == whole
+        words = packing._VOCABULARIES[path]
+        assert len(words) <= 50 and len(words.pieces) <= 50 and len(words.flat) < 1000 and len(words.begin) < 1000
+    numbers = [words.numbers(t.encode()) for t in texts]
+    words.learn()
+    for n, e in zip(numbers, Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert words.ids(n).tolist() == e.ids
+
+
+def test_mixed_texts_are_cut_some_rows_at_a_time(monkeypatch):
+    plan = [{"begin": 0, "turn": 0, "first": 1, "end": 3}, {"begin": 0, "turn": 1, "first": 0, "end": 4}]
+    rows = pa.table({"doc_id": [1, 2, 3, 4, 5], "text": [f"a{k} b  c d" for k in range(5)], "_plan": [plan] * 5}).to_batches()
+    want = [(k + 1, t) for k in range(5) for t in ("b  c", f"a{k} b  c d")]
+    monkeypatch.setattr(mixing, "CUT_AT_ONCE", 2, raising=False)
+    got = list(mixing._cut_rows(["doc_id", "text"], "_plan")(iter(rows)))
+    assert [b.num_rows for b in got] == [4, 4, 2]
+    assert [(r["doc_id"], r["text"]) for b in got for r in b.to_pylist()] == want
+
+
+def test_free_memory_goes_back_after_a_task(monkeypatch):
+    from lintlake.llm import frames, near_copies
+
+    given = []
+    monkeypatch.setattr(frames, "give_back", lambda: given.append(1))
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "row_key": [3, 4], "text": ["a b c d e f", None]})
+    got = near_copies._band_rows(iter([rows]))
+    assert next(got).num_rows == 2 and not given
+    assert not list(got) and given == [1]
+    monkeypatch.undo()
+    frames.give_back()
+
+
 def test_neighbours_come_by_score():
     terms = [np.array(t) for t in ([1, 2, 3, 9], [1, 2, 8, 9], [4, 5, 9], [4, 5, 6, 9], [7, 9], [1, 10])]
     shard = packing.Shard(terms)
